@@ -59,3 +59,27 @@ def drop_cut(df: DataFrame) -> None:
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id's text falls in the fold that no model learns labels from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+#: Characters that a Python worker holds as separate strings at a time.
+PORTION = 3_000_000
+
+
+def portions(texts):
+    """The texts of an Arrow column, null as empty, in lists of about ``PORTION`` characters."""
+    own, size = [], 0
+    for text in texts:
+        own.append(text.as_py() or "")
+        size += len(own[-1])
+        if size >= PORTION:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own

@@ -33,4 +33,36 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_url_filters, op9_secret_scans)}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import bpe
+
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Added to the conversations: a text that is made of the template's own strings.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import chat
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"),
+    )
+    return chat.digests(chat.format_windows(rows.unionByName(probe)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op9_secret_scans, op10_chat_formatting,
+    )
+}
