@@ -83,3 +83,22 @@ def portions(texts):
             own, size = [], 0
     if own:
         yield own
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``stay`` names by doc_id and text_key, one of equal rows.
+
+    Texts are shuffled once; a row named once needs no further look.
+    """
+    named = cut(
+        stay.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("__n")), "stay"
+    )
+    kept = docs.withColumn("__h", text_key()).join(
+        named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__key"))
+    )
+    repeats = kept.filter("__n > 1").dropDuplicates(["__id", "__key"])
+    return kept.filter("__n = 1").unionByName(repeats).select(*[F.col(f"`{c}`") for c in docs.columns])

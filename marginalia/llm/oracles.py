@@ -15,6 +15,38 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END) AS shingle
+  FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (
+  SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, h) AS rep
+  FROM (SELECT doc_id, count(*) AS n, sum(hash(shingle)::HUGEINT) AS h FROM s GROUP BY doc_id)
+),
+r AS (SELECT s.doc_id, shingle, n FROM s JOIN sets USING (doc_id) WHERE s.doc_id = sets.rep),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM r a JOIN r b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM sets WHERE doc_id = rep
+  UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v
+),
+least_of AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN least_of ON least_of.u = sets.rep
+"""
+
+
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -74,4 +106,4 @@ FROM d LEFT JOIN one USING (rid)
 """
 
 
-ORACLES = {"op4_exact_dedup": OP4, "op9_secret_scans": _op9()}
+ORACLES = {"op4_exact_dedup": OP4, "op8_ngram_jaccard": OP8, "op9_secret_scans": _op9()}

@@ -21,6 +21,12 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import jaccard_join
+
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import secret_scans
 
@@ -63,6 +69,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op9_secret_scans, op10_chat_formatting,
+        op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting,
     )
 }
