@@ -4,6 +4,19 @@ from __future__ import annotations
 
 from marginalia.llm import secret_scans as s
 
+OP2 = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
+"""
+
 OP4 = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -106,4 +119,4 @@ FROM d LEFT JOIN one USING (rid)
 """
 
 
-ORACLES = {"op4_exact_dedup": OP4, "op8_ngram_jaccard": OP8, "op9_secret_scans": _op9()}
+ORACLES = {"op2_exact_topk": OP2, "op4_exact_dedup": OP4, "op8_ngram_jaccard": OP8, "op9_secret_scans": _op9()}

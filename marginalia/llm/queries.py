@@ -39,6 +39,12 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import packing
 
@@ -69,6 +75,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting,
+        op2_exact_topk, op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting,
     )
 }
