@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import held_out
 from marginalia.session import table
 
 
@@ -21,6 +22,14 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return judged(quality.score(docs, model), quality.FOLDS, quality.HELD)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import jaccard_join
 
@@ -39,6 +48,13 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def judged(scored: DataFrame, folds: int, fold: int) -> DataFrame:
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import topk
 
@@ -75,6 +91,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_exact_topk, op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting,
+        op2_exact_topk, op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op7_quality_classifier, op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting,
     )
 }
