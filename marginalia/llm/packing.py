@@ -197,7 +197,7 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         intervals = F.broadcast(intervals)
     at = F.col("rank") - F.col("lo")
     return (
-        cut_pieces.join(base, ["part", "length"])
+        cut_pieces.join(base.hint("merge"), ["part", "length"])
         .withColumn("rank", F.col("base") + F.col("ord"))
         .join(intervals, "length")
         .filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))

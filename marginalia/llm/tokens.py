@@ -1,9 +1,10 @@
 """Ids of whole texts from a tokenizer whose tokens never span white space.
 
-The ids of a text are those of its white-space separated chunks. Chunks come again and
-again, so their ids are kept, up to ``CACHE_ENTRIES`` of them. New chunks of Latin
-letters and punctuation go through the batched merge rounds, all others and texts with
-unusual white space through the tokenizers library.
+Texts of ASCII and Latin letters are lower-cased and cut into words by the tokenizer's
+own pattern; words come again and again, so their ids are kept, up to ``CACHE_ENTRIES``
+of them, and new ones go through the batched merge rounds. Other texts are cut at white
+space, and new chunks go through the tokenizers library, as do whole texts with unusual
+white space.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from marginalia.llm.bpe import CACHE_ENTRIES, SPACE, MergeRounds
 
 #: White space on which Python and the tokenizer may differ; such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\u180e\u200b\ufeff" + SPACE.replace("\t-\r ", "") + "]")
-_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_PLAIN = re.compile(rf"(?:[{_LATIN}]+|[!-&(-/:;=?@\[-`{{}}~]+)+")
-_WORDS = re.compile(rf"[{_LATIN}]+|[^{_LATIN}]+")
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_PLAIN = re.compile(f"[\t-\r -~{_LETTER}]*")
+# The tokenizer's word pattern, for such texts once lower-cased.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\t-\r {_LETTER}0-9]+")
 
 
 class ChunkEncoder:
@@ -39,22 +41,30 @@ class ChunkEncoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if _PLAIN.fullmatch(c)]
-        words = [[w.encode() for w in _WORDS.findall(c.lower())] for c in plain]
-        self.cache.update(zip(plain, self.rounds.ids_of(words), strict=True))
-        other = [c for c in chunks if c not in self.cache]
-        self.cache.update(zip(other, self._library(other), strict=True))
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        known = self.rounds.known
+        cut_up = [_WORDS.findall(t.lower()) for t in texts]
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        new = list({w for words in cut_up for w in words}.difference(known))
+        known.update(zip(new, self.rounds.merge([w.encode() for w in new]), strict=True))
+        return [b"".join(map(known.__getitem__, words)) for words in cut_up]
+
+    def _by_chunks(self, text: str) -> bytes:
+        chunks = text.split()
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        new = list(set(chunks).difference(self.cache))
+        self.cache.update(zip(new, self._library(new), strict=True))
+        return b"".join(map(self.cache.__getitem__, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        cut_up = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        self._learn(list({c for chunks in cut_up if chunks for c in chunks}.difference(self.cache)))
+        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        words = iter(self._by_words([t for t, p in zip(texts, plain, strict=True) if p]))
         return [
-            self._library([t])[0] if chunks is None else b"".join(map(self.cache.__getitem__, chunks))
-            for t, chunks in zip(texts, cut_up, strict=True)
+            next(words) if p else self._library([t])[0] if _ODD_SPACE.search(t) else self._by_chunks(t)
+            for t, p in zip(texts, plain, strict=True)
         ]
 
 
