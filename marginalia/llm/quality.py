@@ -238,13 +238,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / max(np.abs(x).max(), 1e-9)), float(w[1])
 
 
-def training_labels(labels: DataFrame, column: str, folds: int, fold: int, most: int) -> DataFrame:
+def training_labels(
+    labels: DataFrame, column: str, folds: int, fold: int, most: int, only: int | None = None
+) -> DataFrame:
     """doc_id, label: at most ``most`` rows outside the held-out fold, chosen by a hash."""
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min(column).cast("int").alias("label"), F.max(column).alias("high"))
-        .filter("label = high").select("doc_id", "label")
+        .filter("label = high" if only is None else f"label = high AND label = {only}").select("doc_id", "label")
     )
     n = known.count()
     share = int((1 << 20) * min(1.0, 1.1 * most / max(n, 1)))

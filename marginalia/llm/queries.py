@@ -55,6 +55,13 @@ def judged(scored: DataFrame, folds: int, fold: int) -> DataFrame:
     )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), toxicity.FOLDS, toxicity.HELD)
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import topk
 
@@ -91,6 +98,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_exact_topk, op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op7_quality_classifier, op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting,
+        op1_toxicity, op2_exact_topk, op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op7_quality_classifier, op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting,
     )
 }
