@@ -44,6 +44,8 @@ MAX_HEAVY = 200_000
 #: Lossy counting: a block of so many shingles reports those it holds LEAST times or more.
 BLOCK, LEAST = 2_000_000, 4
 FRAGMENTS = 4
+#: Bound on the bitmap of rows to read again; 8 MB.
+MAX_FILTER_BITS = 1 << 26
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -286,45 +288,88 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ).mapInArrow(run, "a long, b long, size_a long, size_b long")
 
 
+def row_filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the wanted rows by hash, and the bits to shift a hash by.
+
+    16 bits a row, MAX_FILTER_BITS at most: what it lets through beyond the wanted rows
+    (a sixteenth at first, more once the bound is met) only costs a shuffle.
+    """
+    n = wanted.count()
+    log = 16
+    while (1 << log) < min(16 * n, MAX_FILTER_BITS):
+        log += 1
+    chunk = 16  # bits of a chunk of the map, as a logarithm
+
+    def mark(batches):
+        import pyarrow as pa
+
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - log)
+            for c in np.unique(slots >> np.uint64(chunk)).tolist():
+                bits = own.setdefault(c, np.zeros(1 << chunk, dtype=bool))
+                bits[(slots[slots >> np.uint64(chunk) == c] & np.uint64((1 << chunk) - 1)).astype(np.int64)] = True
+        d = {"chunk": list(own), "bits": [np.packbits(b, bitorder="little").tobytes() for b in own.values()]}
+        yield pa.RecordBatch.from_arrays([pa.array(d["chunk"], pa.int64()), pa.array(d["bits"], pa.binary())], names=list(d))
+
+    rows = (
+        wanted.select(F.xxhash64("doc_id", "text_key").alias("h"))
+        .repartition(1 << max(0, log - 22), F.shiftrightunsigned("h", 64 - log + chunk))
+        .mapInArrow(mark, "chunk long, bits binary").collect()
+    )
+    bits = np.zeros(1 << (log - 3), dtype=np.uint8)
+    size = 1 << (chunk - 3)
+    for r in rows:
+        bits[r["chunk"] * size : (r["chunk"] + 1) * size] |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits, 64 - log
+
+
 class Fragments:
-    """The sets of the classes in ``wanted``, cut at fixed pivots of the hash order.
+    """The sets of the classes in ``pairs``, cut at fixed pivots of the hash order.
 
     A table of (cls, fragment, part), bucketed by class: each count joins it in place.
+    Texts are read again and not shuffled; a bitmap tells which rows may be needed.
     """
 
-    def __init__(self, docs: DataFrame, wanted: DataFrame):
+    def __init__(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame):
         spark = docs.sparkSession
         self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = scratch_path(spark, "x").rsplit("/", 1)[1].replace("-", "_")
+        self.name = scratch_path(spark, "fragments").rsplit("/", 1)[1].replace("-", "_")
+        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        wanted = cut(classes.join(ends, "cls", "left_semi").select("cls", "doc_id", "text_key"), "wanted")
+        sent = spark.sparkContext.broadcast(row_filter(wanted))
 
         def run(batches):
             import pyarrow as pa
+            import xxhash
 
+            bits, shift = sent.value
             for batch in batches:
-                d = {"cls": [], "fragment": [], "part": []}
-                for cls, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    own = shingle_hashes(text.as_py() or "")
-                    at = np.searchsorted(own >> np.uint64(48), [(k << 16) // FRAGMENTS for k in range(FRAGMENTS + 1)])
-                    for k in range(FRAGMENTS):
-                        if at[k] < at[k + 1]:
-                            d["cls"].append(cls)
-                            d["fragment"].append(k)
-                            d["part"].append(_signed(own[at[k] : at[k + 1]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d["cls"], pa.int64()), pa.array(d["fragment"], pa.int32()),
-                     pa.array(d["part"], pa.list_(pa.int64()))], names=list(d),
-                )
-
-        rows = (
-            docs.withColumn("text_key", text_key()).join(
-                wanted.select("cls", F.col("doc_id").alias("id"), F.col("text_key").alias("key")).hint("shuffle_hash"),
-                F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")),
-            )
-            .select("cls", F.col("text").cast("string"))
-            .mapInArrow(run, "cls long, fragment int, part array<long>")
-        )
+                slots = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)
+                hit = (bits[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
+                for texts in portions(batch.column(1).filter(pa.array(hit.astype(bool)))):
+                    d = {"cls": [], "fragment": [], "part": []}
+                    for text in texts:
+                        own = shingle_hashes(text)
+                        if not own.size:
+                            continue
+                        cls = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+                        at = np.searchsorted(own >> np.uint64(48), np.arange(FRAGMENTS + 1, dtype=np.uint64) * np.uint64(65536 // FRAGMENTS))
+                        for k in range(FRAGMENTS):
+                            if at[k] < at[k + 1]:
+                                d["cls"].append(cls)
+                                d["fragment"].append(k)
+                                d["part"].append(_signed(own[at[k] : at[k + 1]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(d["cls"], pa.int64()), pa.array(d["fragment"], pa.int32()),
+                         pa.array(d["part"], pa.list_(pa.int64()))], names=list(d),
+                    )
+
         (
-            rows.repartition(self.n, "cls").sortWithinPartitions("cls").dropDuplicates(["cls", "fragment"])
+            docs.select(F.xxhash64("doc_id", text_key()).alias("h"), "text")
+            .mapInArrow(run, "cls long, fragment int, part array<long>")
+            .repartition(self.n, "cls").sortWithinPartitions("cls", "fragment")
+            .dropDuplicates(["cls", "fragment"])
             .write.bucketBy(self.n, "cls").sortBy("cls").option("path", scratch_path(spark, "fragments")).saveAsTable(self.name)
         )
         self.rows = spark.table(self.name)
@@ -342,8 +387,11 @@ class Fragments:
             .select(F.col("a").alias("u"), F.col("b").alias("v"))
         )
 
-    def drop(self) -> None:
-        self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links among candidate pairs."""
+    near = cut(bounded(pairs, classes), "near")
+    return cut(Fragments(docs, near, classes).links(near), "links")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -360,10 +408,9 @@ def join(docs: DataFrame) -> DataFrame:
         "classes",
     )
     posts = cut(postings(prefixes(docs, heavy, place)), "postings")
-    fragments = Fragments(docs, classes.join(posts.select("cls").distinct(), "cls", "left_semi"))
-    links = cut(fragments.links(cut(bounded(leader_pairs(posts), classes), "near")), "links")
+    links = counted(docs, leader_pairs(posts), classes)
     labels = cut(components(links), "labels")
-    more = cut(fragments.links(cut(bounded(cross_pairs(posts, labels), classes), "near")), "links")
+    more = counted(docs, cross_pairs(posts, labels), classes)
     # Further links join components, so their ends are known by the first labels.
     name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     merged = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(
