@@ -23,6 +23,11 @@ CONSTRUCTED_SECTIONS = (
 )
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often a lambda in it uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
 

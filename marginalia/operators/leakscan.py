@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
 from marginalia.functions.unicode import tokens
 
 LONGEST = 12
@@ -31,10 +32,14 @@ PLACEHOLDER_DOMAINS = ("example.com", "example.org", "example.net", ".example",
 
 def grams(words: Column, longest: int = LONGEST) -> Column:
     """Distinct runs of 1 to ``longest`` words of an array, joined by a space."""
-    n = F.size(words)
-    of = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), n))
-    return F.when(n > 0, F.array_distinct(F.flatten(F.transform(sizes, of)))).otherwise(F.array().cast("array<string>"))
+
+    def run(w: Column) -> Column:
+        n = F.size(w)
+        of = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), n))
+        return F.when(n > 0, F.array_distinct(F.flatten(F.transform(sizes, of)))).otherwise(F.array().cast("array<string>"))
+
+    return T.bound(words, run)
 
 
 def gram_hashes(texts: DataFrame, key: str, words: Column | None = None, longest: int = LONGEST) -> DataFrame:

@@ -33,13 +33,13 @@ def fragments(of: Column) -> Column:
 
 def ordered_in(hay: Column, parts: Column) -> Column:
     """Whether all parts occur, each after the one before it."""
-    end = F.aggregate(
-        parts, F.lit(1),
-        lambda at, p: F.when(at > 0, F.when(
-            F.call_function("locate", p, hay, at) > 0, F.call_function("locate", p, hay, at) + F.length(p)
-        ).otherwise(0)).otherwise(0),
-    )
-    return end > 0
+
+    def run(text: Column) -> Column:
+        find = lambda at, p: F.call_function("locate", p, text, at)
+        step = lambda at, p: F.when(at > 0, F.when(find(at, p) > 0, find(at, p) + F.length(p)).otherwise(0)).otherwise(0)
+        return F.aggregate(parts, F.lit(1), step) > 0
+
+    return T.bound(hay, run)
 
 
 def straight_quoted(body: Column, shortest: int = SHORTEST) -> Column:
@@ -47,9 +47,9 @@ def straight_quoted(body: Column, shortest: int = SHORTEST) -> Column:
     lines = F.filter(F.split(body, r"\r?\n"), lambda line: ~F.regexp_replace(line, r"\A\s+", "").startswith("```"))
 
     def spans(line: Column) -> Column:
-        pieces = F.split(line, '"', -1)
         # Piece i lies between marks i-1 and i; odd pieces with a mark behind them are quoted.
-        return F.filter(pieces, lambda p, i: (i % 2 == 1) & (i < F.size(pieces) - 1))
+        odd = lambda pieces: F.filter(pieces, lambda p, i: (i % 2 == 1) & (i < F.size(pieces) - 1))
+        return T.bound(F.split(line, '"', -1), odd)
 
     return F.filter(
         F.flatten(F.transform(lines, spans)),

@@ -146,7 +146,7 @@ def entries(pages: DataFrame, key: str, first: int = 1, pattern: str = ENTRY_STA
             stops = [m.start() for m in starts[1:]] + [len(text or "")]
             out += [
                 (rows[key].iloc[0], page, int(m[1]), re.sub(r"\s+", " ", text[m.end() : stop].strip()))
-                for m, stop in zip(starts, stops, strict=True)
+                for m, stop in zip(starts, stops, strict=False)
             ]
         return pd.DataFrame(out, columns=[key, "page", "number", "text"])
 
@@ -160,11 +160,17 @@ def entries_per_page(found: DataFrame) -> DataFrame:
 
 def duplicate_block(text, block: int = BLOCK, stride: int = STRIDE):
     """The first window of ``block`` characters that occurs twice, cut for display; else null."""
-    flat = T.collapse(text)
-    last = F.length(flat) - block - 1
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    twice = F.filter(starts, lambda s: T.occurrences(flat, F.substr(flat, s + 1, F.lit(block))) > 1)
-    return F.when(F.size(twice) > 0, T.strip(F.substr(flat, F.element_at(twice, 1) + 1, F.lit(SHOWN))))
+
+    def find(flat):
+        last = F.length(flat) - block - 1
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        place = lambda w, at: F.call_function("locate", w, flat, at)
+        again = lambda w: place(w, place(w, F.lit(1)) + block) > 0
+        step = lambda a, s: F.when(a >= 0, a).when(T.bound(F.substr(flat, s + 1, F.lit(block)), again), s).otherwise(-1)
+        first = F.aggregate(starts, F.lit(-1), step)
+        return T.bound(first, lambda at: F.when(at >= 0, T.strip(F.substr(flat, at + 1, F.lit(SHOWN)))))
+
+    return T.bound(T.collapse(text), find)
 
 
 def soft_hyphens(pages: DataFrame) -> DataFrame:
