@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import portions, tokenizer_path
+from marginalia.llm.common import map_texts, portions, tokenizer_path
 
 # Unicode white space, and the tokenizer's word pattern over it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -28,7 +28,7 @@ WORD = (
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Chunks a worker keeps the ids of.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
@@ -174,4 +174,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)

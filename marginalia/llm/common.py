@@ -69,7 +69,7 @@ def tokenizer_path(name: str) -> str:
 
 
 #: Characters that a Python worker holds as separate strings at a time.
-PORTION = 3_000_000
+PORTION = 1_000_000
 
 
 def portions(texts):
@@ -102,3 +102,15 @@ def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     )
     repeats = kept.filter("__n > 1").dropDuplicates(["__id", "__key"])
     return kept.filter("__n = 1").unionByName(repeats).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: Rows of an Arrow batch of texts: texts may be long, and a worker holds a batch whole.
+BATCH_ROWS = 1_000
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over rows with texts, in small batches unless the session says how large."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)

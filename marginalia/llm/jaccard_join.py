@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import cut, keep_rows, portions, scratch_path, text_key
+from marginalia.llm.common import cut, keep_rows, map_texts, portions, scratch_path, text_key
 from marginalia.llm.components import components
 
 WORDS = 5
@@ -137,9 +137,8 @@ def profile(docs: DataFrame) -> DataFrame:
         if block:
             yield frequent()
 
-    return docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key().alias("text_key")
-    ).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key().alias("text_key"))
+    return map_texts(rows, run, schema)
 
 
 def heavy_shingles(profiled: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,9 +205,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray) -> DataFrame
         if held:
             yield ready()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(
-        run, "shingle long, cls long, at long, heavy boolean"
-    )
+    return map_texts(docs.select(F.col("text").cast("string")), run, "shingle long, cls long, at long, heavy boolean")
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -366,8 +363,7 @@ class Fragments:
                     )
 
         (
-            docs.select(F.xxhash64("doc_id", text_key()).alias("h"), "text")
-            .mapInArrow(run, "cls long, fragment int, part array<long>")
+            map_texts(docs.select(F.xxhash64("doc_id", text_key()).alias("h"), "text"), run, "cls long, fragment int, part array<long>")
             .repartition(self.n, "cls").sortWithinPartitions("cls", "fragment")
             .dropDuplicates(["cls", "fragment"])
             .write.bucketBy(self.n, "cls").sortBy("cls").option("path", scratch_path(spark, "fragments")).saveAsTable(self.name)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.llm import tokens
-from marginalia.llm.common import cut, portions, tokenizer_path
+from marginalia.llm.common import cut, map_texts, portions, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_up, _PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut_up, _PIECES)
 
 
 class Packer:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import held_out, portions
+from marginalia.llm.common import held_out, map_texts, portions
 
 FOLDS, HELD = 3, 1
 MAX_TRAINING_DOCS = 4_000
@@ -272,11 +272,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int =
                     names=["label", "features", "chars"],
                 )
 
-    rows = (
+    texts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id").select("label", "text")
-        .mapInArrow(features, "label int, features binary, chars binary").collect()
     )
+    rows = map_texts(texts, features, "label int, features binary, chars binary").collect()
     good = np.array([r["label"] for r in rows], dtype=np.float64)
     if good.size == 0 or good.min() == good.max():
         share = float(good.mean()) if good.size else 1.0
@@ -304,8 +304,8 @@ def score(docs: DataFrame, model: LineField) -> DataFrame:
                 [batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, score double"
+    return map_texts(
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double"
     )
 
 
@@ -320,4 +320,4 @@ def keep_good(docs: DataFrame, model: LineField) -> DataFrame:
             keep = np.concatenate(scores) >= 0.5 if scores else np.zeros(0, dtype=bool)
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return map_texts(docs.withColumn("__text", F.col("text").cast("string")), run, docs.schema)

@@ -115,7 +115,7 @@ def search(ids, rows, query_ids, queries, floor, rotation, k: int = K) -> Best:
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=np.int64).reshape(-1, dim)
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=np.int64).reshape(len(column), dim)
 
 
 LOWEST = -(2**62)
@@ -142,18 +142,18 @@ def _top_k(spark, base: DataFrame, dim: int, n: int, every: int, k: int) -> Data
     sample = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int((1 << 20) * share)).select("v").limit(wanted).collect()
     rotation = np.eye(dim)
     if sample and dim:
-        rotation = np.linalg.svd(np.array([r["v"] for r in sample], dtype=np.float64), full_matrices=True)[2].T \
-            if len(sample) < dim else np.linalg.svd(np.array([r["v"] for r in sample], dtype=np.float64), full_matrices=False)[2].T
+        drawn = np.array([r["v"] for r in sample], dtype=np.float64)
+        rotation = np.linalg.svd(drawn, full_matrices=len(drawn) < dim)[2].T
     top = base.orderBy(F.desc("norm2"), "vec_id").select("vec_id", "v").limit(SEEDS).collect()
     seed_ids = np.array([r["vec_id"] for r in top], dtype=np.int64)
-    seeds = np.array([r["v"] for r in top], dtype=np.int64).reshape(-1, dim)
+    seeds = np.array([r["v"] for r in top], dtype=np.int64).reshape(len(top), dim)
 
     def seeded(batches):
         import pyarrow as pa
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            q = _matrix(batch.column(1), dim) if dim else np.zeros((len(ids), 0), dtype=np.int64)
+            q = _matrix(batch.column(1), dim)
             best = search(seed_ids, seeds, ids, q, np.full(len(ids), LOWEST, dtype=np.int64), rotation, k)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(best.bound)], names=["vec_id", "v", "bound"]

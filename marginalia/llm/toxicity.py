@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import portions
+from marginalia.llm.common import map_texts, portions
 from marginalia.llm.quality import logistic, training_labels
 
 FOLDS, HELD = 5, 0
@@ -367,4 +367,4 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 [batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double")
