@@ -20,7 +20,7 @@ PAGE_TWO = "and nobody on the northern shore could say who had lit the lamp in t
 
 def gateway(page: int, text: str) -> str:
     return (
-        f"---\ntype: Source Page\ntitle: Page {page}\ndescription: One page\ntags: [page]\n---\n# Page {page}\n\n"
+        f"---\ntype: Source Page\ntitle: Page {page}\ndescription: The verbatim scoped text of one source page\ntags: [page]\n---\n# Page {page}\n\n"
         f"````text\n{text}\n````\n\n## Sources\n\n- Book\n"
     )
 

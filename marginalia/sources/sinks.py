@@ -100,7 +100,7 @@ def gateway_notes(scoped: DataFrame, title: str, scope_id: str, tags: list[str])
     page = F.lpad(F.col("page").cast("string"), F.greatest(F.lit(4), F.length(F.col("page").cast("string"))), F.lit("0"))
     head = F.concat(F.lit(f"{title}, PDF page "), F.col("page").cast("string"))
     text = F.concat(
-        F.lit("---\ntype: Source Page\ntitle: \""), head, F.lit(f"\"\ndescription: Verbatim scoped text of one source page\ntags: [{', '.join(tags)}]\nscope: {scope_id}\npdf_page: "),
+        F.lit("---\ntype: Source Page\ntitle: \""), head, F.lit(f"\"\ndescription: The verbatim scoped text of one source page\ntags: [{', '.join(tags)}]\nscope: {scope_id}\npdf_page: "),
         F.col("page").cast("string"), F.lit("\nsection: "), "section", F.lit("\nsha256: "), "sha256", F.lit("\n---\n# "), head,
         F.lit("\n\n````text\n"), T.rstrip(F.col("text")), F.lit("\n````\n\n## Sources\n\n- "), head, F.lit("\n"),
     )
