@@ -105,7 +105,7 @@ def parser() -> argparse.ArgumentParser:
         for x in positional:
             p.add_argument(x)
         p.add_argument("--json", action="store_true")
-        p.set_defaults(run=run)
+        p.set_defaults(call=run)
         return p
 
     add("query", run_query, "wiki", "terms").add_argument("--limit", type=int, default=10)
@@ -124,4 +124,4 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
-    return args.run(spark or local_session(), args)
+    return args.call(spark or local_session(), args)
