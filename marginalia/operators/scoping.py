@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from marginalia.functions import text as T
@@ -158,19 +160,40 @@ def entries_per_page(found: DataFrame) -> DataFrame:
     return found.groupBy("page").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
 
 
-def duplicate_block(text, block: int = BLOCK, stride: int = STRIDE):
-    """The first window of ``block`` characters that occurs twice, cut for display; else null."""
+def repeated_block(text: str | None, block: int = BLOCK, stride: int = STRIDE) -> str | None:
+    """The first window of ``block`` characters, at a multiple of ``stride``, that occurs again.
 
-    def find(flat):
-        last = F.length(flat) - block - 1
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        place = lambda w, at: F.call_function("locate", w, flat, at)
-        again = lambda w: place(w, place(w, F.lit(1)) + block) > 0
-        step = lambda a, s: F.when(a >= 0, a).when(T.bound(F.substr(flat, s + 1, F.lit(block)), again), s).otherwise(-1)
-        first = F.aggregate(starts, F.lit(-1), step)
-        return T.bound(first, lambda at: F.when(at >= 0, T.strip(F.substr(flat, at + 1, F.lit(SHOWN)))))
-
-    return T.bound(T.collapse(text), find)
+    Every window's rolling hash is sorted once, so a page of n characters costs n log n;
+    what the hashes suggest is then compared as text. Occurrences must not overlap.
+    """
+    flat = re.sub(r"\s+", " ", text or "").strip()
+    if len(flat) <= block:
+        return None
+    codes = np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    base = np.uint64(0x9E3779B97F4A7C15)  # odd, so its powers can be divided out
+    back = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    powers = np.cumprod(np.full(len(codes), base), dtype=np.uint64)
+    undo = np.cumprod(np.full(len(codes), back), dtype=np.uint64)
+    sums = np.append(np.uint64(0), np.cumsum(codes * powers, dtype=np.uint64))
+    hashes = (sums[block:] - sums[:-block]) * undo[: len(codes) - block + 1]
+    order = np.argsort(hashes, kind="stable")
+    fresh = np.append(True, hashes[order][1:] != hashes[order][:-1])
+    group = np.cumsum(fresh) - 1
+    first = order[fresh]
+    last = order[np.append(np.flatnonzero(fresh)[1:] - 1, len(order) - 1)]
+    apart = (last - first >= block)[group]
+    may = np.zeros(len(hashes), dtype=bool)
+    may[order] = apart
+    for start in np.flatnonzero(may[: len(flat) - block : stride]) * stride:
+        window = flat[start : start + block]
+        if flat.find(window, flat.find(window) + block) >= 0:
+            return window[:SHOWN].strip()
+    return None
+
+
+@F.pandas_udf(S.StringType())
+def duplicate_block(texts: pd.Series) -> pd.Series:
+    return texts.map(repeated_block)
 
 
 def soft_hyphens(pages: DataFrame) -> DataFrame:
