@@ -133,27 +133,33 @@ def entries(pages: DataFrame, key: str, first: int = 1, pattern: str = ENTRY_STA
     """Numbered entries: key, page, number, text.
 
     Which start counts depends on all entries before it, and match positions have no
-    expression, so a document's pages are read in order by one function call.
+    expression. So a document's pages are read in order from a sorted partition, one at a
+    time, with the number then due as the only state.
     """
     compiled = re.compile(pattern)
 
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        due, out = first, []
-        for page, text in rows.sort_values("page")[["page", "text"]].itertuples(index=False):
-            starts = []
-            for m in compiled.finditer(text or ""):
-                if int(m[1]) == due:
-                    starts.append(m)
-                    due += 1
-            stops = [m.start() for m in starts[1:]] + [len(text or "")]
-            out += [
-                (rows[key].iloc[0], page, int(m[1]), re.sub(r"\s+", " ", text[m.end() : stop].strip()))
-                for m, stop in zip(starts, stops, strict=False)
-            ]
-        return pd.DataFrame(out, columns=[key, "page", "number", "text"])
+    def split(batches):
+        current, due, started = None, first, False
+        for rows in batches:
+            out = []
+            for own, page, text in rows[[key, "page", "text"]].itertuples(index=False):
+                if not started or own != current:
+                    current, due, started = own, first, True
+                starts = []
+                for m in compiled.finditer(text or ""):
+                    if int(m[1]) == due:
+                        starts.append(m)
+                        due += 1
+                stops = [m.start() for m in starts[1:]] + [len(text or "")]
+                out += [
+                    (own, page, int(m[1]), re.sub(r"\s+", " ", text[m.end() : stop].strip()))
+                    for m, stop in zip(starts, stops, strict=False)
+                ]
+            yield pd.DataFrame(out, columns=[key, "page", "number", "text"])
 
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, page {pages.schema['page'].dataType.simpleString()}, number int, text string"
-    return pages.select(key, "page", "text").groupBy(key).applyInPandas(split, schema)
+    ordered = pages.select(key, "page", "text").repartition(key).sortWithinPartitions(key, "page")
+    return ordered.mapInPandas(split, schema)
 
 
 def entries_per_page(found: DataFrame) -> DataFrame:
