@@ -36,24 +36,28 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+#: Rows of a narrow table that one task writes, where the number of rows is known.
+FILE_ROWS = 40_000
+
+
+def cut(df: DataFrame, what: str = "cut", rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The rows survive a lost executor and later steps do not repeat the work before
-    them. The columns keep their names and types.
+    them. The columns keep their names and types. ``rows``, the rough number of rows,
+    keeps narrow tables from becoming one small file per shuffle partition.
     """
     path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame that :func:`cut` returned and no plan needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no plan needs any more, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

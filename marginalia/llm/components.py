@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import cut
+from marginalia.llm.common import cut, delete
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,15 +27,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label for every node of an edge (u, v); label is the component's least node."""
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, label for every node of an edge (u, v); label is the component's least node.
+
+    ``rows``: the rough number of edges, if it is known.
+    """
     edges = cut(
-        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
+        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows
     )
     state = None
     while True:
-        edges = cut(_star(edges, large=True), "large")
-        edges = cut(_star(edges, large=False), "small")
+        n = edges.count() if state is None else state[0]
+        for large in (True, False):
+            before, edges = edges, cut(_star(edges, large), "star", n)
+            delete(edges.sparkSession, before.cut_path)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import cut, scratch_path
+from marginalia.llm.common import cut, delete, scratch_path
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -39,7 +39,7 @@ class DigestIndex:
     """
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int | None = None):
-        self.spark, self.name = spark, name
+        self.spark, self.name, self.path = spark, name, path
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         where = f"LOCATION '{path}/buckets={self.buckets}'" if path else ""
         spark.sql(
@@ -88,7 +88,10 @@ class DigestIndex:
         )
 
     def drop(self) -> None:
+        """Forget the index and its files; decisions made before stay readable."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.path:
+            delete(self.spark, self.path)
 
 
 def new_index(spark: SparkSession) -> DigestIndex:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import cut, keep_rows, map_texts, portions, scratch_path, text_key
+from marginalia.llm.common import cut, delete, keep_rows, map_texts, portions, scratch_path, text_key
 from marginalia.llm.components import components
 
 WORDS = 5
@@ -249,14 +249,14 @@ def leader_pairs(posts: DataFrame) -> DataFrame:
     )
 
 
-def cross_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
+def cross_pairs(posts: DataFrame, labels: DataFrame, n_posts: int) -> DataFrame:
     """Pairs of a posting list that lie in different components."""
     named = posts.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn(
         "label", F.coalesce("label", "cls")
     )
-    named = cut(named, "named")
+    named = cut(named, "named", n_posts)
     mixed = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    open_lists = cut(named.join(mixed.select("shingle"), "shingle", "left_semi"), "open")
+    open_lists = cut(named.join(mixed.select("shingle"), "shingle", "left_semi"), "open", n_posts)
     other = open_lists.select(
         "shingle", F.col("cls").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b")
     )
@@ -328,12 +328,13 @@ class Fragments:
     Texts are read again and not shuffled; a bitmap tells which rows may be needed.
     """
 
-    def __init__(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame):
+    def __init__(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_docs: int):
         spark = docs.sparkSession
         self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = scratch_path(spark, "fragments").rsplit("/", 1)[1].replace("-", "_")
+        self.path = scratch_path(spark, "fragments")
+        self.name = self.path.rsplit("/", 1)[1].replace("-", "_")
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = cut(classes.join(ends, "cls", "left_semi").select("cls", "doc_id", "text_key"), "wanted")
+        wanted = cut(classes.join(ends, "cls", "left_semi").select("cls", "doc_id", "text_key"), "wanted", n_docs)
         sent = spark.sparkContext.broadcast(row_filter(wanted))
 
         def run(batches):
@@ -341,6 +342,7 @@ class Fragments:
             import xxhash
 
             bits, shift = sent.value
+            sent_on: set[int] = set()  # classes of this task: copies that slipped through go once
             for batch in batches:
                 slots = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)
                 hit = (bits[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
@@ -351,6 +353,9 @@ class Fragments:
                         if not own.size:
                             continue
                         cls = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+                        if cls in sent_on:
+                            continue
+                        sent_on.add(cls)
                         at = np.searchsorted(own >> np.uint64(48), np.arange(FRAGMENTS + 1, dtype=np.uint64) * np.uint64(65536 // FRAGMENTS))
                         for k in range(FRAGMENTS):
                             if at[k] < at[k + 1]:
@@ -366,7 +371,7 @@ class Fragments:
             map_texts(docs.select(F.xxhash64("doc_id", text_key()).alias("h"), "text"), run, "cls long, fragment int, part array<long>")
             .repartition(self.n, "cls").sortWithinPartitions("cls", "fragment")
             .dropDuplicates(["cls", "fragment"])
-            .write.bucketBy(self.n, "cls").sortBy("cls").option("path", scratch_path(spark, "fragments")).saveAsTable(self.name)
+            .write.bucketBy(self.n, "cls").sortBy("cls").option("path", self.path).saveAsTable(self.name)
         )
         self.rows = spark.table(self.name)
 
@@ -383,11 +388,19 @@ class Fragments:
             .select(F.col("a").alias("u"), F.col("b").alias("v"))
         )
 
+    def drop(self) -> None:
+        spark = self.rows.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(spark, self.path)
+
 
-def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
     """The links among candidate pairs."""
-    near = cut(bounded(pairs, classes), "near")
-    return cut(Fragments(docs, near, classes).links(near), "links")
+    near = cut(bounded(pairs, classes), "near", n_docs)
+    fragments = Fragments(docs, near, classes, n_docs)
+    links = cut(fragments.links(near), "links", n_docs)
+    fragments.drop()
+    return links
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -401,27 +414,27 @@ def join(docs: DataFrame) -> DataFrame:
         rows.filter("cls IS NOT NULL").groupBy("cls").agg(
             F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "size", "bits")).alias("first")
         ).select("cls", "first.doc_id", "first.text_key", "first.size", "first.bits"),
-        "classes",
+        "classes", n_docs,
     )
     posts = cut(postings(prefixes(docs, heavy, place)), "postings")
-    links = counted(docs, leader_pairs(posts), classes)
-    labels = cut(components(links), "labels")
-    more = counted(docs, cross_pairs(posts, labels), classes)
+    links = counted(docs, leader_pairs(posts), classes, n_docs)
+    labels = cut(components(links, n_docs), "labels", n_docs)
+    more = counted(docs, cross_pairs(posts, labels, posts.count()), classes, n_docs)
     # Further links join components, so their ends are known by the first labels.
     name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     merged = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(
         F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v")
     )
-    second = cut(components(merged), "labels")
+    second = cut(components(merged, n_docs), "labels", n_docs)
     label = F.coalesce("label2", "label", "cls")
     labelled = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn(
         "one", F.coalesce("label", "cls")
     ).join(second.select(F.col("node").alias("one"), F.col("label").alias("label2")), "one", "left").select(
         "cls", "doc_id", label.alias("label")
     )
-    labelled = cut(labelled, "labelled")
+    labelled = cut(labelled, "labelled", n_docs)
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = cut(labelled.join(least, "label").select("cls", "component_id"), "named")
+    named = cut(labelled.join(least, "label").select("cls", "component_id"), "named", n_docs)
     linked = rows.filter("cls IS NOT NULL").join(named, "cls").select(
         "doc_id", "text_key", F.col("size").alias("n_shingles"), "component_id"
     )

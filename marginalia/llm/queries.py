@@ -12,7 +12,9 @@ from marginalia.session import table
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import exact_dedup
 
-    decided = exact_dedup.new_index(spark).ingest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    index = exact_dedup.new_index(spark)
+    decided = index.ingest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    index.drop()
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -32,7 +32,7 @@ from marginalia.llm.common import map_texts, portions
 from marginalia.llm.quality import logistic, training_labels
 
 FOLDS, HELD = 5, 0
-MAX_POSITIVE, MAX_NEGATIVE = 2_500, 3_500
+MAX_POSITIVE, MAX_NEGATIVE = 1_500, 2_000
 WINDOW, STRIDE = 32, 16
 STATE, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
@@ -65,8 +65,8 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if k + 1 in GRAMS:
             inside = word[:size] == word[k:]
             mixed = (rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            found.append((mixed[inside] % np.uint64(CHAR_BUCKETS)).astype(np.int64))
-            owner.append(word[:size][inside])
+            found.append((mixed[inside] % np.uint64(CHAR_BUCKETS)).astype(np.int32))
+            owner.append(word[:size][inside].astype(np.int32))
     owner, found = np.concatenate(owner), np.concatenate(found)
     order = np.argsort(owner, kind="stable")
     return buckets, found[order], np.bincount(owner, minlength=len(words))
@@ -83,10 +83,10 @@ def window_starts(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gather_windows(ids: np.ndarray, n_words: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """(windows x WINDOW) word rows, 0 where a window runs past its text."""
     base = np.cumsum(n_words) - n_words
-    at = start[:, None] + np.arange(WINDOW)
+    at = (start[:, None] + np.arange(WINDOW)).astype(np.int32)
     inside = at < n_words[doc][:, None]
     where = np.where(inside, base[doc][:, None] + at, 0)
-    return np.where(inside, ids[where] if ids.size else 0, 0)
+    return np.where(inside, ids[where] if ids.size else 0, 0).astype(np.int32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -113,12 +113,18 @@ class Network:
         self.constant: float | None = None
 
     def inputs(self, buckets: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Word and character input of each word."""
-        first = np.cumsum(counts) - counts
+        """Word and character input of each word, some thousand words at a time."""
         chars = np.zeros((len(counts), CHAR_DIM), dtype=np.float32)
-        some = counts > 0
-        if some.any():
-            chars[some] = np.add.reduceat(self.p["char"][grams], first[some]) / np.sqrt(counts[some, None])
+        stops = np.cumsum(counts)
+        for at in range(0, len(counts), 10_000):
+            own = counts[at : at + 10_000]
+            if not own.sum():
+                continue
+            low = stops[at] - own[0]
+            some = own > 0
+            first = (np.cumsum(own) - own)[some]
+            block = chars[at : at + 10_000]
+            block[some] = np.add.reduceat(self.p["char"][grams[low : low + own.sum()]], first) / np.sqrt(own[some, None])
         return np.concatenate([self.p["word"][buckets], chars], axis=1)
 
     def table(self, x: np.ndarray) -> np.ndarray:
@@ -243,18 +249,18 @@ class Lexicon:
 
 def _log_odds(net: Network, lex: Lexicon, doc_of_word: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Starts the first number of every vector at how toxic its documents are; per word."""
-    pairs = np.unique(np.stack([doc_of_word, lex.ids]), axis=1)
-    total = np.array([max((label == 0).sum(), 1), max((label == 1).sum(), 1)], dtype=np.float64)
-
-    def odds(slot: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-        both = np.unique(doc * np.int64(size) + slot)
-        doc, slot = both // size, both % size
-        n = [np.bincount(slot[label[doc] == y], minlength=size) for y in (0, 1)]
-        return np.clip(np.log((n[1] + 0.5) / total[1]) - np.log((n[0] + 0.5) / total[0]), -4, 4).astype(np.float32)
-
-    buckets, grams, counts = lex.pick(pairs[1])
-    net.p["word"][:, 0] = odds(buckets, pairs[0], WORD_BUCKETS) / 2
-    net.p["char"][:, 0] = odds(grams, np.repeat(pairs[0], counts), CHAR_BUCKETS)
+    size = np.int64(len(lex.counts) + 1)
+    pairs = np.unique(doc_of_word * size + lex.ids)
+    toxic, word = label[pairs // size] == 1, pairs % size - 1
+    # Documents that hold each word, by label; an n-gram has those of its words.
+    docs = [np.bincount(word[toxic == y], minlength=len(lex.counts)).astype(np.float64) for y in (False, True)]
+    total = [max(int((label == y).sum()), 1) for y in (0, 1)]
+
+    def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        return np.clip(np.log((n1 + 0.5) / total[1]) - np.log((n0 + 0.5) / total[0]), -4, 4).astype(np.float32)
+
+    net.p["word"][:, 0] = odds(*[np.bincount(lex.buckets, weights=d, minlength=WORD_BUCKETS) for d in docs]) / 2
+    net.p["char"][:, 0] = odds(*[np.bincount(lex.grams, weights=np.repeat(d, lex.counts), minlength=CHAR_BUCKETS) for d in docs])
     x = net.inputs(lex.buckets, lex.grams, lex.counts)
     return np.append(np.float32(0), x[:, 0] + x[:, WORD_DIM])
 
