@@ -25,7 +25,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
     from marginalia.llm import exact_dedup
 
-    return exact_dedup.deduplicate(docs, exact_dedup.new_index(spark))
+    index = exact_dedup.new_index(spark)
+    stay = exact_dedup.deduplicate(docs, index)
+    index.drop()
+    return stay
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
