@@ -394,11 +394,11 @@ class Fragments:
         delete(spark, self.path)
 
 
-def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
+def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_docs: int, n_posts: int) -> DataFrame:
     """The links among candidate pairs."""
-    near = cut(bounded(pairs, classes), "near", n_docs)
+    near = cut(bounded(pairs, classes), "near", n_posts)
     fragments = Fragments(docs, near, classes, n_docs)
-    links = cut(fragments.links(near), "links", n_docs)
+    links = cut(fragments.links(near), "links", n_posts)
     fragments.drop()
     return links
 
@@ -417,9 +417,10 @@ def join(docs: DataFrame) -> DataFrame:
         "classes", n_docs,
     )
     posts = cut(postings(prefixes(docs, heavy, place)), "postings")
-    links = counted(docs, leader_pairs(posts), classes, n_docs)
+    n_posts = posts.count()
+    links = counted(docs, leader_pairs(posts), classes, n_docs, n_posts)
     labels = cut(components(links, n_docs), "labels", n_docs)
-    more = counted(docs, cross_pairs(posts, labels, posts.count()), classes, n_docs)
+    more = counted(docs, cross_pairs(posts, labels, n_posts), classes, n_docs, n_posts)
     # Further links join components, so their ends are known by the first labels.
     name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     merged = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(
