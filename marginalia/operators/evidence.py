@@ -68,6 +68,13 @@ def packets(notes: DataFrame, size: int = NOTES) -> DataFrame:
     return ranked.select("packet", "path", "pages", F.left("text", F.lit(NOTE_CHARACTERS)).alias("text"))
 
 
+def cap(packed: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` packets, and one row with how many were left out."""
+    if most is None:
+        return packed, packed.agg(F.lit(0).cast("long").alias("skipped"))
+    return packed.filter(F.col("packet") < most), packed.filter(F.col("packet") >= most).agg(F.count_distinct("packet").alias("skipped"))
+
+
 def page_demand(packed: DataFrame, pages: DataFrame) -> DataFrame:
     """packet, page, demand, chars of the cited pages that exist. pages: page, chars."""
     asked = packed.select("packet", "path", F.explode(F.array_distinct("pages")).alias("page"))

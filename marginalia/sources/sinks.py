@@ -123,3 +123,19 @@ def page_map_note(mapped: DataFrame) -> DataFrame:
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.concat(F.lit("| "), row, F.lit(" |")).alias("line")))), lambda x: x["line"]), "\n")
     head = "# Page map\n\n| Page | Opening | Characters | SHA-256 |\n|-|-|-|-|\n"
     return mapped.agg(rows.alias("rows")).select(F.lit("reference/page-map.md").alias("path"), F.concat(F.lit(head), "rows", F.lit("\n")).alias("text"))
+
+
+def table_note(rows: DataFrame, path: str, title: str, order: str) -> DataFrame:
+    """One note with a table of all rows and columns: the form of the derived notes on
+    scope, provenance, anomalies and apparatus. Bars in cells are escaped."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("—")), F.lit("|"), F.lit("\\|")) for c in rows.columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"]), "\n")
+    head = f"# {title}\n\n| {' | '.join(rows.columns)} |\n|{'-|' * len(rows.columns)}\n"
+    return rows.agg(lines.alias("lines")).select(F.lit(path).alias("path"), F.concat(F.lit(head), "lines", F.lit("\n")).alias("text"))
+
+
+def staged_images(notes: DataFrame, images: DataFrame, marker: str = r"!\[[^\]]*\]\((?:\.\./)*images/([^)\s]+)\)") -> DataFrame:
+    """The images that some note embeds, once each. images: name and whatever belongs to it."""
+    used = notes.select(F.explode(F.regexp_extract_all("text", F.lit(marker), F.lit(1))).alias("name")).distinct()
+    return images.join(used, "name", "left_semi")

@@ -85,6 +85,27 @@ def test_rendered_notes(spark):
     assert index["sources/pdf-pages/index.md"] == "# Index\n\n- [Book, PDF page 7](page-0007.md)\n"
 
 
+def test_table_notes_and_images(spark):
+    rows = spark.createDataFrame([(2, "b|c"), (1, None)], "page int, what string")
+    note = sinks.table_note(rows, "reference/x.md", "X", "page").first()
+    assert note.text == "# X\n\n| page | what |\n|-|-|\n| 1 | — |\n| 2 | b\\|c |\n"
+    notes = spark.createDataFrame([("a.md", "![m](../images/p1.png) ![n](images/p1.png)")], "path string, text string")
+    images = spark.createDataFrame([("p1.png",), ("p2.png",)], "name string")
+    assert [r.name for r in sinks.staged_images(notes, images).collect()] == ["p1.png"]
+
+
+def test_rounds(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.plans import rounds
+
+    notes = spark.createDataFrame([("a", "xx"), ("b", "x")], "path string, text string")
+    find = lambda n: n.filter(F.contains("text", F.lit("x")))
+    fix = lambda n, bad: n.withColumn("text", F.regexp_replace("text", "^x", ""))
+    assert rounds.repair(notes, find, fix, 3)[1:] == (2, 0) and rounds.repair(notes, find, fix, 1)[1:] == (1, 1)
+    assert rounds.binding({"a": "1", "b": "2"}) == rounds.binding({"b": "2", "a": "1"})
+
+
 def stream_rows(spark, query, name):
     q = query.queryName(name).format("memory").start()
     q.processAllAvailable()

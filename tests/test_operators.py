@@ -196,6 +196,8 @@ def test_packets_and_budget(spark):
     packed = evidence.packets(notes).orderBy("packet", "path").collect()
     assert [(r.packet, r.path) for r in packed] == [(0, f"n{k}") for k in (2, 3, 4, 5, 6)] + [(1, "n0"), (1, "n1")]
     assert all(len(r.text) == evidence.NOTE_CHARACTERS for r in packed)
+    kept, skipped = evidence.cap(evidence.packets(notes), 1)
+    assert kept.count() == 5 and skipped.first().skipped == 1 and evidence.cap(kept, None)[1].first().skipped == 0
     two = spark.createDataFrame([(0, "a", [1, 2]), (0, "b", [1]), (1, "c", [])], "packet int, path string, pages array<int>")
     sizes = spark.createDataFrame([(1, 60), (2, 10)], "page int, chars int")
     got = {r.packet: (r.supplied, r.omitted) for r in evidence.packet_pages(two, sizes, budget=50).collect()}
