@@ -19,6 +19,8 @@ alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ STEPS, RATE, RIDGE = 120, 0.15, 1e-3
 
 FEATURES = (
     "log_length", "words", "word_length", "upper", "digits", "stops", "marks", "quotes", "bars", "symbols",
-    "foreign", "runs", "repeated", "variety", "controls",
+    "foreign", "runs", "repeated", "variety", "echoes", "controls",
 )
 _SPACE, _LOWER, _UPPER, _DIGIT, _STOP, _MARK, _QUOTE, _BAR, _SYMBOL, _LEAD, _TAIL, _CONTROL = range(12)
 
@@ -67,7 +69,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     same = np.zeros(buf.size, dtype=bool)
     same[2:] = (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2]) & ~space[2:]
     runs = np.bincount(line[same], minlength=n).astype(np.float64)
-    repeated, variety = np.zeros(n), np.ones(n)
+    repeated, variety, echoes = np.zeros(n), np.ones(n), np.zeros(n)
     at = 0
     for lines in split:
         seen: set[str] = set()
@@ -77,7 +79,9 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                     repeated[at] = 1.0
                 seen.add(own)
                 if words[at] > 1:
-                    variety[at] = len(set(own.split())) / words[at]
+                    spoken = own.split()
+                    variety[at] = len(set(spoken)) / words[at]
+                    echoes[at] = sum(map(operator.eq, spoken, spoken[1:])) / words[at]
             at += 1
     chars = counts.sum(1) - counts[:, _TAIL]
     size = np.maximum(chars, 1.0)
@@ -85,7 +89,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return (
         np.stack([
             np.log2(chars + 1), words, size / np.maximum(words, 1), share(_UPPER), share(_DIGIT), share(_STOP),
-            share(_MARK), share(_QUOTE), share(_BAR), share(_SYMBOL), share(_LEAD), runs / size, repeated, variety,
+            share(_MARK), share(_QUOTE), share(_BAR), share(_SYMBOL), share(_LEAD), runs / size, repeated, variety, echoes,
             share(_CONTROL),
         ], axis=1).astype(np.float32),
         chars, n_lines,
