@@ -354,13 +354,14 @@ _HITS = "h AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON instr
 
 @query(f"""
 WITH {_HITS}, f AS (SELECT b.item_id, min(h.doc_id) AS first_doc FROM benchmark b LEFT JOIN h USING (item_id) GROUP BY b.item_id)
-SELECT item_id, first_doc, ((row_number() OVER (ORDER BY coalesce(first_doc, 1000000000), item_id) - 1) // 5)::INTEGER AS packet FROM f
+SELECT item_id, coalesce(first_doc, -1) AS first_doc, ((row_number() OVER (ORDER BY coalesce(first_doc, 1000000000), item_id) - 1) // 5)::INTEGER AS packet FROM f
 """)
 def review_packets(spark, sf):
     items = table(spark, sf, "benchmark").select("item_id")
     first = hits(spark, sf).groupBy("item_id").agg(F.min("doc_id").alias("first_doc"))
     ranked = items.join(first, "item_id", "left").withColumn("o", F.coalesce("first_doc", F.lit(evidence.NO_PAGE)))
-    return evidence.chunk(ranked, evidence.NOTES, "o", "item_id", name="packet").drop("o")
+    packed = evidence.chunk(ranked, evidence.NOTES, "o", "item_id", name="packet").drop("o")
+    return packed.withColumn("first_doc", F.coalesce("first_doc", F.lit(-1).cast("long")))
 
 
 @query(f"""
