@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -26,14 +27,20 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\t-\r {_LETT
 
 class ChunkEncoder:
     def __init__(self, path: str):
+        self.path = path
+        self.rounds = MergeRounds(path)
+        self.cache: dict[str, bytes] = {}
+
+    @cached_property
+    def tokenizer(self):
+        """Loaded for the first text that needs it."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.rounds = MergeRounds(path)
-        self.cache: dict[str, bytes] = {}
+        own = Tokenizer.from_file(self.path)
+        own.no_padding()
+        own.no_truncation()
+        return own
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [
