@@ -31,6 +31,14 @@ WORD = (
 CACHE_ENTRIES = 200_000
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
+# The same pattern for texts of ASCII and Latin letters alone, where its classes are short.
+LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+PLAIN = re.compile(f"[\t-\r -~{LETTER}]*")
+_PLAIN_WORD = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+"
+    rf"| ?[^\t-\r {LETTER}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
+
 
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in the vocabulary: itself if it prints."""
@@ -129,12 +137,16 @@ class MergeRounds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        cut_up = [self._chunks(t) for t in texts]
+        plain = [bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        cut_up = [_PLAIN_WORD.findall(t) if p else self._chunks(t) for t, p in zip(texts, plain, strict=True)]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        new = list({c for chunks in cut_up for c in chunks}.difference(self.cache))
-        words = [[w.encode() for w in self.words(c)] if c not in self.special else [] for c in new]
-        self.cache.update(zip(new, self.ids_of(words), strict=True))
+        # A plain text's word and another text's chunk of the same letters have the same ids.
+        words = list({w for ws, p in zip(cut_up, plain, strict=True) if p for w in ws}.difference(self.cache))
+        self.cache.update(zip(words, self.merge([w.encode() for w in words]), strict=True))
+        new = list({c for cs, p in zip(cut_up, plain, strict=True) if not p for c in cs}.difference(self.cache))
+        parts = [[w.encode() for w in self.words(c)] if c not in self.special else [] for c in new]
+        self.cache.update(zip(new, self.ids_of(parts), strict=True))
         for chunk in self.special.keys() & new:
             self.cache[chunk] = np.array([self.special[chunk]], dtype="<u4").tobytes()
         return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in cut_up]
