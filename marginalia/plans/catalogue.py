@@ -99,25 +99,26 @@ def weak_description(spark, sf):
 def hits(spark, sf) -> DataFrame:
     """item_id, doc_id of the documents that hold a benchmark passage.
 
-    The passages share few rare words with a text: an equality join on each passage's
-    five first words as one shingle finds the candidates; containment is then tested.
+    An equality join on each passage's second to fifth word finds the candidates, and
+    containment is then tested on them. Passages of fewer than seven words, which have no
+    such key for certain, are compared with every text.
     """
     items = table(spark, sf, "benchmark").filter("text IS NOT NULL AND length(text) > 0").select("item_id", F.col("text").alias("quote"))
     flat = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    # A passage may start inside a word of the text, so its second to sixth word are the key.
+    # A passage may start and end inside a word of the text, so its outer words are left out.
     key = F.array_join(F.slice(flat("quote"), 2, 4), " ")
     long_ones = items.filter(F.size(flat("quote")) >= 7).withColumn("key", key)
     short_ones = items.filter(F.size(flat("quote")) < 7)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 4), " "))
     keys = T.bound(flat("text"), runs)
-    wanted = F.broadcast(long_ones.select("key").distinct())
+    wanted = long_ones.select("key").distinct()
     found = (
         docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(wanted, "key", "left_semi")
         .join(long_ones.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
         .join(docs, "doc_id").join(items, "item_id").filter(F.instr("text", F.col("quote")) > 0).select("item_id", "doc_id")
     )
-    few = docs.join(F.broadcast(short_ones), F.expr("instr(text, quote) > 0")).select("item_id", "doc_id")
+    few = docs.join(short_ones, F.expr("instr(text, quote) > 0")).select("item_id", "doc_id")
     return found.unionByName(few)
 
 
