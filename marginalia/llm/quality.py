@@ -254,7 +254,8 @@ def training_labels(
     )
     n = known.count()
     share = int((1 << 20) * min(1.0, 1.1 * most / max(n, 1)))
-    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).limit(most)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    return known.filter(drawn < share).orderBy(drawn, "doc_id").limit(most)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = MAX_TRAINING_DOCS) -> LineField:
@@ -281,6 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int =
         .join(F.broadcast(chosen), "doc_id").select("label", "text")
     )
     rows = map_texts(texts, features, "label int, features binary, chars binary").collect()
+    rows.sort(key=lambda r: (r["label"], bytes(r["features"])))  # the same sums in every run
     good = np.array([r["label"] for r in rows], dtype=np.float64)
     if good.size == 0 or good.min() == good.max():
         share = float(good.mean()) if good.size else 1.0

@@ -122,7 +122,6 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     needs = F.create_map(*[y for k, v in NEEDS.items() for y in (F.lit(k), F.array(*[F.lit(x) for x in v]))])
     bins = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
     weak = parts.filter(F.col("rank") >= BASE)
-    # A strong span that covers the weak one tells the same thing already.
     around = parts.select(
         "row_no", F.col("kind").alias("kind2"), role[F.col("kind")].alias("role"),
         F.col("start").alias("start2"), F.col("end").alias("end2"),
@@ -133,6 +132,7 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         (F.col("kind2") != F.col("kind"))
         & (F.col("start2") - scope < F.col("end")) & (F.col("end2") + scope > F.col("start"))
     )
+    # A weak part inside a strong span tells nothing new.
     return (
         probes.join(around, ["row_no", "bin"]).filter(near)
         .groupBy("row_no", "rank", "kind", "start", "end")
