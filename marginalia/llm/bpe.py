@@ -65,6 +65,9 @@ class MergeRounds:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)[order]
+        # Where the pairs of single bytes stand, looked up once: most pairs of a first round.
+        single = np.concatenate([self.first, self.last])
+        self.opening = self._find((single[:, None] * self.size + single).ravel())
         self.bytes_of: dict[int, bytes] = {i: bytes(back[c] for c in t.removesuffix(suffix)) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
@@ -73,15 +76,21 @@ class MergeRounds:
         self.cache: dict[str, bytes] = {}
         self.known: dict[bytes, bytes] = {}
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key among the sorted pair keys, or -1."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each non-empty word, as little-endian unsigned 32-bit bytes."""
         if not words:
             return []
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
-        sym, word = self.first[flat], np.repeat(np.arange(len(words)), sizes)
-        ends = np.cumsum(sizes) - 1
-        sym[ends] = self.last[flat[ends]]
+        word = np.repeat(np.arange(len(words)), sizes)
+        code = flat.astype(np.int64)
+        code[np.cumsum(sizes) - 1] += 256  # the last byte of a word
+        sym = np.where(code < 256, self.first[flat], self.last[flat])
         none = np.iinfo(np.int64).max
         pair, rank = np.zeros(sym.size, dtype=np.int64), np.full(sym.size, none)
         look = np.arange(sym.size)
@@ -89,9 +98,11 @@ class MergeRounds:
         while sym.size:
             # Only pairs next to a merged symbol are new; the others keep their rank.
             look = look[look < sym.size - 1]
-            keys = sym[look] * self.size + sym[look + 1]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = (self.keys[at] == keys) & (word[look] == word[look + 1])
+            if code is not None:
+                at, code = self.opening[code[:-1] * 512 + code[1:]], None
+            else:
+                at = self._find(sym[look] * self.size + sym[look + 1])
+            hit = (at >= 0) & (word[look] == word[look + 1])
             pair[look], rank[look] = at, np.where(hit, self.ranks[at], none)
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             low = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, sym.size)))
@@ -142,9 +153,9 @@ class MergeRounds:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         # A plain text's word and another text's chunk of the same letters have the same ids.
-        words = list({w for ws, p in zip(cut_up, plain, strict=True) if p for w in ws}.difference(self.cache))
+        words = list(set().union(*[ws for ws, p in zip(cut_up, plain, strict=True) if p]).difference(self.cache))
         self.cache.update(zip(words, self.merge([w.encode() for w in words]), strict=True))
-        new = list({c for cs, p in zip(cut_up, plain, strict=True) if not p for c in cs}.difference(self.cache))
+        new = list(set().union(*[cs for cs, p in zip(cut_up, plain, strict=True) if not p]).difference(self.cache))
         parts = [[w.encode() for w in self.words(c)] if c not in self.special else [] for c in new]
         self.cache.update(zip(new, self.ids_of(parts), strict=True))
         for chunk in self.special.keys() & new:

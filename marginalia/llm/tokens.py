@@ -53,7 +53,7 @@ class ChunkEncoder:
         cut_up = [_WORDS.findall(t.lower()) for t in texts]
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        new = list({w for words in cut_up for w in words}.difference(known))
+        new = list(set().union(*cut_up).difference(known))
         known.update(zip(new, self.rounds.merge([w.encode() for w in new]), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in cut_up]
 
