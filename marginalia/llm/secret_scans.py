@@ -127,7 +127,7 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         F.col("start").alias("start2"), F.col("end").alias("end2"),
         bins(F.greatest(F.col("start") - scope, F.lit(0)), F.col("end") + scope).alias("bin"),
     )
-    probes = weak.select("*", F.floor(F.col("start") / scope).alias("bin"))
+    probes = weak.select("*", bins(F.col("start"), F.col("end") - 1).alias("bin"))
     near = (
         (F.col("kind2") != F.col("kind"))
         & (F.col("start2") - scope < F.col("end")) & (F.col("end2") + scope > F.col("start"))

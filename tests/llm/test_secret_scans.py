@@ -62,6 +62,18 @@ def test_spans_against_brute_force(spark):
     assert not got[8] and not got[9] and not got[10]
 
 
+def test_companions_behind_weak_parts_that_cross_bins(spark):
+    """Gaps about the scope behind weak parts that start in one bin and end in another."""
+    token = lambda n: ("Ab3" + "xYz9" * (n // 4 + 1))[:n]
+    texts = [(190, 28, 183), (0, 500, 1), (390, 28, 150), (190, 28, 198), (190, 28, 199), (190, 28, 200), (150, 250, 199), (399, 450, 160)]
+    rows = [(i, " " * at + token(n) + " " * gap + KEY) for i, (at, n, gap) in enumerate(texts)]
+    rows.append((len(rows), " " * 150 + "https://" + "host." * 40 + "com" + " " * 170 + f"{KEY} {HEX}"))
+    found = {r.doc_id: [(x.start, x.rank, x.kind, x.end) for x in r.spans] for r in s.scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert found[i] == sorted(base(t) + weak(t)), i
+    assert [len(found[i]) for i, _ in rows] == [2, 2, 2, 2, 2, 1, 2, 2, 3]
+
+
 def test_redact(spark):
     source = frame(spark, [*TEXTS, TEXTS[0]])
     out = s.redact(source)
