@@ -67,7 +67,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import topk
 
-    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), repeats=True)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

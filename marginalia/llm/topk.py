@@ -11,7 +11,8 @@ best of those are the answer.
 
 Defined results: a null vec_id or vector, and a vector with a null or non-finite
 component, takes no part; vectors of different dimension do not meet; of rows that
-repeat a vec_id the least vector counts; ties go to the smaller vec_id; fewer than k
+repeat a vec_id the least vector counts, or with ``repeats`` every row is a candidate of
+all other ids and the rows of a query's id share one answer, the best of all their pairs; ties go to the smaller vec_id; fewer than k
 candidates give fewer rows; an empty table gives none. Scores must fit 64 bits.
 """
 
@@ -32,17 +33,20 @@ SAMPLE_NUMBERS = 1 << 20
 CHUNK = 1_024
 
 
-def integer_vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, v, dim, norm2 of the vectors that take part."""
+def integer_vectors(embeddings: DataFrame, repeats: bool = False) -> DataFrame:
+    """vec_id, v, dim, norm2, row_no of the vectors that take part."""
     x = F.col("embedding")
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     usable = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, finite)
-    return (
-        embeddings.filter(F.coalesce(usable, F.lit(False)))
-        .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(256 * c.cast("double"))).alias("v"))
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
-        .select("vec_id", "v", F.size("v").alias("dim"),
-                F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")).alias("norm2"))
+    rows = embeddings.filter(F.coalesce(usable, F.lit(False))).select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(256 * c.cast("double"))).alias("v")
+    )
+    if not repeats:
+        rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(
+        "vec_id", "v", F.size("v").alias("dim"),
+        F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")).alias("norm2"),
+        F.monotonically_increasing_id().alias("row_no"),
     )
 
 
@@ -121,10 +125,10 @@ def _matrix(column, dim: int) -> np.ndarray:
 LOWEST = -(2**62)
 
 
-def top_k(embeddings: DataFrame, every: int = 50, k: int = K) -> DataFrame:
+def top_k(embeddings: DataFrame, every: int = 50, k: int = K, repeats: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
     spark = embeddings.sparkSession
-    base = cut(integer_vectors(embeddings), "vectors")
+    base = cut(integer_vectors(embeddings, repeats), "vectors")
     parts = [_top_k(spark, base.filter(F.col("dim") == r["dim"]), int(r["dim"]), int(r["n"]), every, k)
              for r in base.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()]
     out = spark.createDataFrame([], "query_id long, vec_id long, score long")
@@ -139,7 +143,7 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = K) -> DataFrame:
 def _top_k(spark, base: DataFrame, dim: int, n: int, every: int, k: int) -> DataFrame:
     wanted = max(1, SAMPLE_NUMBERS // max(dim, 1))
     share = min(1.0, wanted / max(n, 1))
-    sample = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int((1 << 20) * share)).select("v").limit(wanted).collect()
+    sample = base.filter(F.pmod(F.xxhash64("row_no"), F.lit(1 << 20)) < int((1 << 20) * share)).select("v").limit(wanted).collect()
     rotation = np.eye(dim)
     if sample and dim:
         drawn = np.array([r["v"] for r in sample], dtype=np.float64)
@@ -156,18 +160,19 @@ def _top_k(spark, base: DataFrame, dim: int, n: int, every: int, k: int) -> Data
             q = _matrix(batch.column(1), dim)
             best = search(seed_ids, seeds, ids, q, np.full(len(ids), LOWEST, dtype=np.int64), rotation, k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(best.bound)], names=["vec_id", "v", "bound"]
+                [*batch.columns, pa.array(best.bound)], names=["vec_id", "v", "row_no", "bound"]
             )
 
     queries = cut(
-        base.filter(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(seeded, "vec_id long, v array<long>, bound long"),
+        base.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "row_no")
+        .mapInArrow(seeded, "vec_id long, v array<long>, row_no long, bound long"),
         "queries",
     )
     n_queries = queries.count()
     tasks = spark.sparkContext.defaultParallelism
     blocks = max(1, -(-n // CANDIDATES), min(tasks, n // 2_048))
     query_blocks = max(1, -(-n_queries // QUERIES))
-    block_of = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m))
+    block_of = lambda m: F.pmod(F.xxhash64("row_no"), F.lit(m))
     left = base.select((block_of(blocks) * query_blocks).alias("b"), "vec_id", "v").select(
         F.explode(F.sequence("b", F.col("b") + query_blocks - 1)).alias("block"), "vec_id", "v"
     )

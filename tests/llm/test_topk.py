@@ -45,6 +45,24 @@ def test_unusable_rows_and_dimensions(spark):
     check(spark, rows)
 
 
+def test_query_keeps_all_rows_of_a_repeated_id(spark, tmp_path):
+    """The registered query against its SQL, with ids repeated as candidates and as queries."""
+    import duckdb
+
+    from marginalia.llm import oracles, queries
+
+    rng = random.Random(9)
+    rows = [(i % 90, [rng.gauss(0, 1) for _ in range(6)]) for i in range(240)]
+    rows += [(7, [9.0] * 6), (7, [-9.0] * 6), (50, [1.0] * 6), (50, [-1.0] * 6), (8, rows[8][1])]
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(path)
+    got = sorted(tuple(r) for r in queries.op2_exact_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert got == sorted(con.execute(oracles.OP2).fetchall())
+    assert {7} == {v for q, r, v, _ in got if q == 50 and r <= 2}
+
+
 def test_empty_and_few(spark):
     check(spark, [])
     check(spark, [(0, [1.0])])
