@@ -294,6 +294,29 @@ def running_sequence(spark, sf):
     return turns.select("conv_id", F.size(scoping.running_sequence(F.col("ts"), F.lit(0), F.lit(3))).cast("long").alias("accepted"))
 
 
+@query("""
+WITH o AS (SELECT conv_id, turn, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1, 0) AS expected FROM conversations)
+SELECT conv_id, turn, expected FROM o WHERE turn <> expected
+""")
+def sequence_gaps_all(spark, sf):
+    """Faults of every turn as it stands; sequence_gaps leaves some out to make gaps."""
+    return integrity.sequence_faults(table(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", "turn", start=0)
+
+
+@query("""
+WITH l AS (SELECT conv_id, list(turn ORDER BY turn) AS ts FROM conversations GROUP BY conv_id)
+SELECT conv_id, list_reduce(ts, lambda e, x: CASE WHEN x = e THEN e + 1 ELSE e END, 0::BIGINT) AS accepted FROM l
+""")
+def running_sequence_all(spark, sf):
+    """Every turn, up to the conversation's own last one."""
+    return followed(table(spark, sf, "conversations"))
+
+
+def followed(turns: DataFrame) -> DataFrame:
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.col("turn").cast("int"))).alias("ts"))
+    return rows.select("conv_id", F.size(scoping.running_sequence(F.col("ts"), F.lit(0), F.array_max("ts"))).cast("long").alias("accepted"))
+
+
 @query("""
 WITH RECURSIVE r AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS k FROM documents QUALIFY k <= 12),
 f AS (

@@ -22,3 +22,22 @@ def test_furniture_of_other_languages_is_stripped(spark):
     docs = spark.createDataFrame([(1, "Ein Satz.\nReleased under CC\nEnde 12345678"), (2, "Nada")], "doc_id long, text string")
     rows = {r.doc_id: r for r in catalogue.stripped(docs).collect()}
     assert (rows[1].license, rows[1].digits, rows[2].license, rows[2].digits) == (True, True, False, False)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_sequences_are_followed_over_every_turn(spark):
+    turns = table(spark, SF, "conversations")
+    held = {r.conv_id: r["count"] for r in turns.groupBy("conv_id").count().collect()}
+    faulty = {r.conv_id for r in catalogue.QUERIES["sequence_gaps_all"](spark, SF).collect()}
+    got = {r.conv_id: r.accepted for r in catalogue.QUERIES["running_sequence_all"](spark, SF).collect()}
+    assert got.keys() == held.keys() and max(held.values()) > 4
+    assert all(got[c] == n for c, n in held.items() if c not in faulty)
+
+
+def test_sequences_with_invented_gaps(spark, tmp_path):
+    rows = [(1, t) for t in (0, 1, 2, 3, 4, 5)] + [(2, t) for t in (0, 1, 3)] + [(3, 1)] + [(4, t) for t in (0, 1, 2, 3, 4, 6, 7)]
+    spark.createDataFrame(rows, "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    faults = {tuple(r) for r in catalogue.sequence_gaps_all(spark, str(tmp_path)).collect()}
+    assert faults == {(2, 3, 2), (3, 1, 0), (4, 6, 5)}
+    accepted = {r.conv_id: r.accepted for r in catalogue.running_sequence_all(spark, str(tmp_path)).collect()}
+    assert accepted == {1: 6, 2: 2, 3: 0, 4: 5}
