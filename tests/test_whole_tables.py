@@ -1,6 +1,8 @@
 """Queries that must look at every row of their table."""
 
+import inspect
 import os
+from pathlib import Path
 
 import pytest
 
@@ -41,3 +43,12 @@ def test_sequences_with_invented_gaps(spark, tmp_path):
     assert faults == {(2, 3, 2), (3, 1, 0), (4, 6, 5)}
     accepted = {r.conv_id: r.accepted for r in catalogue.running_sequence_all(spark, str(tmp_path)).collect()}
     assert accepted == {1: 6, 2: 2, 3: 0, 4: 5}
+
+
+def test_readme_names_the_queries_that_read_no_table():
+    own = {n for n, f in catalogue.QUERIES.items() if "sf" not in inspect.getsource(f).split(":\n", 1)[1]}
+    assert own == {
+        "lint_kinds", "okf_pivot", "quote_support_full", "quote_report", "vault_links", "plan_violations", "missing_notes", "lock_diff"
+    }
+    readme = (Path(__file__).parents[1] / "README.md").read_text()
+    assert all(f"`{n}`" in readme for n in own)
