@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-#: Rows of a narrow table that one task writes, where the number of rows is known.
-FILE_ROWS = 40_000
+#: Rows of a narrow table in one file, where the number of rows is known.
+FILE_ROWS = 400_000
 
 
 def cut(df: DataFrame, what: str = "cut", rows: int | None = None) -> DataFrame:
@@ -45,19 +46,77 @@ def cut(df: DataFrame, what: str = "cut", rows: int | None = None) -> DataFrame:
 
     The rows survive a lost executor and later steps do not repeat the work before
     them. The columns keep their names and types. ``rows``, the rough number of rows,
-    keeps narrow tables from becoming one small file per shuffle partition.
+    keeps narrow tables from becoming one small file per shuffle partition: they are
+    dealt anew, so the work before them runs in as many tasks as it would without.
+    What is not released is deleted when this process ends.
     """
     path = scratch_path(df.sparkSession, what)
-    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
+    (df if rows is None else df.repartition(1 + rows // FILE_ROWS)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    _WRITTEN.append(path)
     return out
 
 
+_WRITTEN: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete the scratch files that this process wrote, if its JVM still answers."""
+    spark = SparkSession.getActiveSession()
+    for path in _WRITTEN if spark else []:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  at exit the JVM may be gone already
+            return
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder that no plan needs any more, in whatever store it is."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, store = _store(spark, path)
+    store.delete(where, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for frames that no plan needs any more; other frames own nothing."""
+    for df in frames:
+        if path := getattr(df, "cut_path", None):
+            delete(df.sparkSession, path)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    where, store = _store(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless it is there already, which the store decides."""
+    where, store = _store(spark, path)
+    try:
+        out = store.create(where, False)
+    except Py4JJavaError as refused:
+        if "FileAlreadyExists" not in refused.java_exception.getClass().getName():
+            raise
+        return False
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    where, store = _store(spark, path)
+    stream = store.open(where)
+    try:
+        return bytes(stream.readNBytes(1 << 16)).decode()
+    finally:
+        stream.close()
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -93,19 +152,32 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that no column of ``df`` has, in whatever case: the wanted ones, lengthened if need be."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``stay`` names by doc_id and text_key, one of equal rows.
 
-    Texts are shuffled once; a row named once needs no further look.
+    Texts are shuffled once; a row named once needs no further look. A null doc_id names
+    rows with a null doc_id; other columns pass, whatever their names.
     """
-    named = cut(
-        stay.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("__n")), "stay"
-    )
-    kept = docs.withColumn("__h", text_key()).join(
-        named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__key"))
-    )
-    repeats = kept.filter("__n > 1").dropDuplicates(["__id", "__key"])
-    return kept.filter("__n = 1").unionByName(repeats).select(*[F.col(f"`{c}`") for c in docs.columns])
+    i, key, n, h = fresh_names(docs, "id_", "key_", "n_", "h_")
+    named = cut(stay.groupBy(F.col("doc_id").alias(i), F.col("text_key").alias(key)).agg(F.count("*").alias(n)), "stay")
+    kept = docs.withColumn(h, text_key()).join(named, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(key)))
+    repeats = kept.filter(F.col(n) > 1).dropDuplicates([i, key])
+    return kept.filter(F.col(n) == 1).unionByName(repeats).select(*own_columns(docs))
 
 
 #: Rows of an Arrow batch of texts: texts may be long, and a worker holds a batch whole.

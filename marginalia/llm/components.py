@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import cut, delete
+from marginalia.llm.common import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,21 +30,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node, label for every node of an edge (u, v); label is the component's least node.
 
-    ``rows``: the rough number of edges, if it is known.
+    ``rows``: the rough number of edges, if it is known. A round is both stars and one
+    write; it is the last when it leaves the edges as they were.
     """
     edges = cut(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows
     )
     state = None
     while True:
-        n = edges.count() if state is None else state[0]
-        for large in (True, False):
-            before, edges = edges, cut(_star(edges, large), "star", n)
-            delete(edges.sparkSession, before.cut_path)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
+        before, edges = edges, cut(_star(_star(edges, True), False), "star", now[0])
+        release(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )

@@ -23,17 +23,19 @@ share one is 3 in 10^4.
 Defined results: null and empty texts have no shingles and are their own component; a
 text of fewer than five words is one shingle; equal texts link; rows that repeat a
 doc_id each count; a null doc_id is never a component's id unless alone; empty tables
-give no rows; other columns are ignored, or kept by ``keep_first``.
+give no rows; other columns are ignored, or kept by ``keep_first`` whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import cut, delete, keep_rows, map_texts, portions, scratch_path, text_key
+from marginalia.llm.common import cut, delete, keep_rows, map_texts, portions, release, scratch_path, text_key
 from marginalia.llm.components import components
 
 WORDS = 5
@@ -43,7 +45,8 @@ HEAVY_SHARE = 0.001
 MAX_HEAVY = 200_000
 #: Lossy counting: a block of so many shingles reports those it holds LEAST times or more.
 BLOCK, LEAST = 2_000_000, 4
-FRAGMENTS = 4
+#: Fragments of the global order; as many more, doubling, as keep parts near LARGEST_PART.
+FRAGMENTS, LARGEST_PART = 4, 16_384
 #: Bound on the bitmap of rows to read again; 8 MB.
 MAX_FILTER_BITS = 1 << 26
 
@@ -250,22 +253,29 @@ def leader_pairs(posts: DataFrame) -> DataFrame:
 
 
 def cross_pairs(posts: DataFrame, labels: DataFrame, n_posts: int) -> DataFrame:
-    """Pairs of a posting list that lie in different components."""
+    """Pairs of a posting list that lie in different components, and the table to release.
+
+    Sizes of a pair differ by a quarter at most, so a list is joined by classes of sizes
+    (each a little wider than that): a class with itself and with the one below.
+    """
+    size_class = F.floor(F.log(F.shiftright("at", 32).cast("double")) / F.lit(math.log(101 / PERCENT)))
     named = posts.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn(
         "label", F.coalesce("label", "cls")
     )
-    named = cut(named, "named", n_posts)
     mixed = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    open_lists = cut(named.join(mixed.select("shingle"), "shingle", "left_semi"), "open", n_posts)
+    open_lists = cut(
+        named.join(mixed.select("shingle"), "shingle", "left_semi").withColumn("sizes", size_class), "open", n_posts
+    )
     other = open_lists.select(
-        "shingle", F.col("cls").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b")
+        "shingle", F.explode(F.array("sizes", F.col("sizes") + 1)).alias("sizes"), F.col("sizes").alias("sizes_b"),
+        F.col("cls").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"),
     )
-    return (
-        open_lists.withColumnRenamed("cls", "a").hint("merge")
-        .join(other, (open_lists["shingle"] == other["shingle"]) & (F.col("a") < F.col("b"))
-              & (F.col("label") != F.col("label_b")) & _fits("at", "at_b"))
-        .select("a", "b").distinct()
+    pairs = (
+        open_lists.withColumnRenamed("cls", "a").hint("merge").join(other, ["shingle", "sizes"])
+        .filter(((F.col("sizes") > F.col("sizes_b")) | (F.col("a") < F.col("b"))) & (F.col("label") != F.col("label_b")) & _fits("at", "at_b"))
+        .select(*_pair()).distinct()
     )
+    return pairs, open_lists
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -285,13 +295,12 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ).mapInArrow(run, "a long, b long, size_a long, size_b long")
 
 
-def row_filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the wanted rows by hash, and the bits to shift a hash by.
+def row_filter(wanted: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the wanted rows (``n`` at most) by hash, and the bits to shift a hash by.
 
     16 bits a row, MAX_FILTER_BITS at most: what it lets through beyond the wanted rows
     (a sixteenth at first, more once the bound is met) only costs a shuffle.
     """
-    n = wanted.count()
     log = 16
     while (1 << log) < min(16 * n, MAX_FILTER_BITS):
         log += 1
@@ -321,21 +330,38 @@ def row_filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
     return bits, 64 - log
 
 
+def fragments_of(size: int) -> int:
+    """Fragments that a pair is counted in, by the size of its larger set."""
+    n = FRAGMENTS
+    while n * LARGEST_PART < size:
+        n *= 2
+    return n
+
+
+def _fragments_of(size: Column) -> Column:
+    out, n = F.lit(1 << 40), 1 << 30
+    while n >= FRAGMENTS:
+        out, n = F.when(size <= n * LARGEST_PART, F.lit(n)).otherwise(out), n // 2
+    return out
+
+
 class Fragments:
     """The sets of the classes in ``pairs``, cut at fixed pivots of the hash order.
 
-    A table of (cls, fragment, part), bucketed by class: each count joins it in place.
-    Texts are read again and not shuffled; a bitmap tells which rows may be needed.
+    A table of (cls, cuts, fragment, part), bucketed by class: ``cuts`` is the number of
+    fragments, which grows with the set, so a part stays small. A set is there in the
+    numbers that pairs with it may be counted in, nearly always one. Texts are read again
+    and not shuffled; a bitmap tells which rows may be needed.
     """
 
-    def __init__(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_docs: int):
+    def __init__(self, docs: DataFrame, pairs: DataFrame, n_pairs: int, classes: DataFrame):
         spark = docs.sparkSession
         self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = scratch_path(spark, "fragments")
         self.name = self.path.rsplit("/", 1)[1].replace("-", "_")
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = cut(classes.join(ends, "cls", "left_semi").select("cls", "doc_id", "text_key"), "wanted", n_docs)
-        sent = spark.sparkContext.broadcast(row_filter(wanted))
+        wanted = classes.join(ends, "cls", "left_semi").select("doc_id", "text_key")
+        sent = spark.sparkContext.broadcast(row_filter(wanted, 2 * n_pairs))
 
         def run(batches):
             import pyarrow as pa
@@ -347,7 +373,7 @@ class Fragments:
                 slots = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)
                 hit = (bits[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
                 for texts in portions(batch.column(1).filter(pa.array(hit.astype(bool)))):
-                    d = {"cls": [], "fragment": [], "part": []}
+                    d = {"cls": [], "cuts": [], "fragment": [], "part": []}
                     for text in texts:
                         own = shingle_hashes(text)
                         if not own.size:
@@ -356,30 +382,39 @@ class Fragments:
                         if cls in sent_on:
                             continue
                         sent_on.add(cls)
-                        at = np.searchsorted(own >> np.uint64(48), np.arange(FRAGMENTS + 1, dtype=np.uint64) * np.uint64(65536 // FRAGMENTS))
-                        for k in range(FRAGMENTS):
-                            if at[k] < at[k + 1]:
-                                d["cls"].append(cls)
-                                d["fragment"].append(k)
-                                d["part"].append(_signed(own[at[k] : at[k + 1]]))
+                        for cuts in {fragments_of(own.size), fragments_of(100 * own.size // PERCENT)}:
+                            pivots = np.arange(1, cuts, dtype=np.uint64) << np.uint64(64 - cuts.bit_length() + 1)
+                            at = [0, *np.searchsorted(own, pivots).tolist(), own.size]
+                            for k in range(cuts):
+                                if at[k] < at[k + 1]:
+                                    d["cls"].append(cls)
+                                    d["cuts"].append(cuts)
+                                    d["fragment"].append(k)
+                                    d["part"].append(_signed(own[at[k] : at[k + 1]]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(d["cls"], pa.int64()), pa.array(d["fragment"], pa.int32()),
+                        [pa.array(d["cls"], pa.int64()), pa.array(d["cuts"], pa.int32()), pa.array(d["fragment"], pa.int32()),
                          pa.array(d["part"], pa.list_(pa.int64()))], names=list(d),
                     )
 
         (
-            map_texts(docs.select(F.xxhash64("doc_id", text_key()).alias("h"), "text"), run, "cls long, fragment int, part array<long>")
-            .repartition(self.n, "cls").sortWithinPartitions("cls", "fragment")
-            .dropDuplicates(["cls", "fragment"])
+            map_texts(
+                docs.select(F.xxhash64("doc_id", text_key()).alias("h"), "text"), run,
+                "cls long, cuts int, fragment int, part array<long>",
+            )
+            .repartition(self.n, "cls").sortWithinPartitions("cls", "cuts", "fragment")
+            .dropDuplicates(["cls", "cuts", "fragment"])
             .write.bucketBy(self.n, "cls").sortBy("cls").option("path", self.path).saveAsTable(self.name)
         )
         self.rows = spark.table(self.name)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose partial overlaps, summed over the fragments, reach the bound."""
-        side = lambda x: self.rows.select(F.col("cls").alias(x), "fragment", F.col("part").alias(f"part_{x}"))
+        side = lambda x: self.rows.select(
+            F.col("cls").alias(x), F.col("cuts").alias(f"cuts_{x}"), "fragment", F.col("part").alias(f"part_{x}")
+        )
+        asked = pairs.withColumn("cuts", _fragments_of(F.greatest("size_a", "size_b")))
         partial = (
-            pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"])
+            asked.join(side("a"), "a").filter("cuts = cuts_a").join(side("b"), ["b", "fragment"]).filter("cuts - cuts_b = 0")
             .select("a", "b", "size_a", "size_b", F.size(F.array_intersect("part_a", "part_b")).alias("n"))
         )
         return (
@@ -394,13 +429,17 @@ class Fragments:
         delete(spark, self.path)
 
 
-def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_docs: int, n_posts: int) -> DataFrame:
-    """The links among candidate pairs."""
+def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_posts: int) -> tuple[DataFrame, int]:
+    """The links among candidate pairs, and a bound on their number."""
     near = cut(bounded(pairs, classes), "near", n_posts)
-    fragments = Fragments(docs, near, classes, n_docs)
-    links = cut(fragments.links(near), "links", n_posts)
+    n = near.count()
+    if not n:
+        return near.select(F.col("a").alias("u"), F.col("b").alias("v")), 0
+    fragments = Fragments(docs, near, n, classes)
+    links = cut(fragments.links(near), "links", n)
     fragments.drop()
-    return links
+    release(near)
+    return links, n
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -418,22 +457,22 @@ def join(docs: DataFrame) -> DataFrame:
     )
     posts = cut(postings(prefixes(docs, heavy, place)), "postings")
     n_posts = posts.count()
-    links = counted(docs, leader_pairs(posts), classes, n_docs, n_posts)
-    labels = cut(components(links, n_docs), "labels", n_docs)
-    more = counted(docs, cross_pairs(posts, labels, n_posts), classes, n_docs, n_posts)
+    links, n_links = counted(docs, leader_pairs(posts), classes, n_posts)
+    labels = cut(components(links, n_links), "labels", n_links)
+    pairs, open_lists = cross_pairs(posts, labels, n_posts)
+    more, n_more = counted(docs, pairs, classes, n_posts)
     # Further links join components, so their ends are known by the first labels.
     name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     merged = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(
         F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v")
     )
-    second = cut(components(merged, n_docs), "labels", n_docs)
-    label = F.coalesce("label2", "label", "cls")
+    second = cut(components(merged, n_more), "labels", n_more)
+    release(posts, open_lists, links, more)
     labelled = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn(
         "one", F.coalesce("label", "cls")
     ).join(second.select(F.col("node").alias("one"), F.col("label").alias("label2")), "one", "left").select(
-        "cls", "doc_id", label.alias("label")
+        "cls", "doc_id", F.coalesce("label2", "one").alias("label")
     )
-    labelled = cut(labelled, "labelled", n_docs)
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = cut(labelled.join(least, "label").select("cls", "component_id"), "named", n_docs)
     linked = rows.filter("cls IS NOT NULL").join(named, "cls").select(
