@@ -13,7 +13,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import exact_dedup
 
     index = exact_dedup.new_index(spark)
-    decided = index.ingest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decided = exact_dedup.decide_in_order(table(spark, sf_dir, "documents").select("doc_id", "text"), index)
     index.drop()
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
