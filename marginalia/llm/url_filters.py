@@ -1,8 +1,8 @@
 """URL filters: allow and block rules, and gradient-boosted trees where no rule fits.
 
-The trees are grown on histograms that DataFrame aggregations make, and become one
-CASE expression, so training and scoring are both DataFrame work. Labels come from the
-URLs that a rule fits.
+Labels come from the URLs that a rule fits. DataFrame aggregations reduce all of them to
+a histogram of at most ``MAX_TRAINING_ROWS`` rows, on which the driver grows the trees.
+They become one CASE expression, so no row meets Python.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule
 and the trees' verdict; with no labelled URL at all, or labels of one kind only, the
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +23,13 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
-#: Bound on the labelled rows that the trees are fitted on, and their shape.
+#: Bound on the rows of the histogram that the trees are fitted on, and their shape.
 MAX_TRAINING_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, RIDGE = 10, 3, 16, 0.4, 1.0
-#: A suffix with less than this share of all pages is counted with the other rare ones,
-#: so there are at most 1 / COMMON_SUFFIX + 1 rows of suffix statistics at any size.
+TREES, DEPTH, BINS, RATE, RIDGE = 16, 3, 16, 0.3, 1.0
+#: Suffixes with this share of all pages are broadcast: 1 / COMMON_SUFFIX of them at most.
 COMMON_SUFFIX = 0.002
+#: Folds of the labelled URLs, and URLs without a label that each suffix is given besides.
+FOLDS, PRIOR, BLIND = 5, 10, 2
 
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "letter_ratio",
@@ -86,33 +88,45 @@ def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def with_suffixes(judged: DataFrame) -> DataFrame:
-    """Adds suffix_share and suffix_blocked; the statistics are over all rows."""
+    """Adds suffix_share and suffix_blocked; the statistics are over all rows.
+
+    suffix_share is the power of ten below a suffix's share of all pages: anything finer
+    would name the suffix, and the trees would learn names in place of words.
+    suffix_blocked is the share of blocked URLs among all of a suffix, where a URL
+    without a rule, and ``PRIOR`` more, count as the mean does: labels speak for a suffix
+    as far as they cover it. A labelled URL's own fold takes no part, so no label is read
+    from the statistic; and to those of the first ``BLIND`` folds their suffix is as one
+    without labels, so the trees learn to judge URLs of new suffixes. Common suffixes are broadcast, the others joined by shuffle.
+    """
+    fold = F.pmod(F.crc32(F.coalesce(F.col("url"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
+    judged = judged.withColumn("fold", F.when(F.col("fit").isNotNull(), fold))
+    blocked = (F.col("fit.verdict") == "block").cast("long")
+    in_fold = lambda k: F.col("fold") == k
     counts = cut(
         judged.groupBy("suffix").agg(
-            F.count("*").alias("n"), F.count("fit").alias("ruled"),
-            F.coalesce(F.sum((F.col("fit.verdict") == "block").cast("long")), F.lit(0)).alias("blocked"),
+            F.count("*").alias("n"),
+            F.array(*[F.count_if(in_fold(k)) for k in range(FOLDS)]).alias("ruled"),
+            F.array(*[F.coalesce(F.sum(F.when(in_fold(k), blocked)), F.lit(0)) for k in range(FOLDS)]).alias("blocked"),
         ),
         "suffixes",
     )
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    stats = lambda n, ruled, blocked: F.struct(
-        (n / F.lit(float(max(total, 1)))).alias("share"), ((blocked + 1.0) / (ruled + 2.0)).alias("rate")
-    )
-    common = counts.filter(F.col("n") >= COMMON_SUFFIX * total).select(
-        "suffix", stats(F.col("n"), F.col("ruled"), F.col("blocked")).alias("own")
+    sum_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    total, ruled, hits = counts.agg(F.sum("n"), F.sum(sum_of("ruled")), F.sum(sum_of("blocked"))).first()
+    mean = ((hits or 0) + 1.0) / ((ruled or 0) + 2.0)
+    common = F.col("n") >= COMMON_SUFFIX * (total or 0)
+    own = lambda c: F.coalesce(F.get(c, F.col("fold")), F.lit(0))
+    others_ruled, others_blocked = (sum_of(c) - own(c) for c in ("ruled", "blocked"))
+    known = judged.join(F.broadcast(counts.filter(common)), "suffix").unionByName(
+        judged.join(F.broadcast(counts.filter(common).select("suffix")), "suffix", "left_anti").join(
+            counts.filter(~common).hint("merge"), "suffix"
+        )
     )
-    rest = counts.filter(F.col("n") < COMMON_SUFFIX * total).agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ruled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))
-    ).first()
-    other = stats(F.lit(float(rest[0])), F.lit(float(rest[1])), F.lit(float(rest[2])))
-    known = F.coalesce(F.col("own"), other)
-    return judged.join(F.broadcast(common), "suffix", "left").withColumns(
-        {"suffix_share": known["share"], "suffix_blocked": known["rate"]}
-    ).drop("own")
-
-
-def _leaf(total_g: float, total_h: float) -> float:
-    return -RATE * total_g / (total_h + RIDGE)
+    size = F.col("n") - own("ruled")
+    rate = (others_blocked + mean * (size - others_ruled + PRIOR)) / (size + PRIOR)
+    return known.withColumns({
+        "suffix_share": F.floor(F.log10(F.col("n") / F.lit(float(max(total or 0, 1))) + 1e-12)).cast("double"),
+        "suffix_blocked": F.when(F.col("fold") < BLIND, F.lit(mean)).otherwise(rate),
+    }).drop("n", "ruled", "blocked", "fold")
 
 
 class BoostedTrees:
@@ -137,86 +151,85 @@ class BoostedTrees:
 
 
 def fit(labelled: DataFrame, label: str = "y", max_rows: int = MAX_TRAINING_ROWS) -> BoostedTrees:
-    """Boosted trees on at most about ``max_rows`` rows, chosen by a hash of the url."""
-    n, positive = labelled.agg(F.count("*"), F.sum(label)).first()
-    if not n or not positive or positive == n:
-        return BoostedTrees(0.0 if not n else (4.0 if positive else -4.0), [])
-    if n > max_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    edges = labelled.agg(*[
+    """Boosted trees on the histogram of all labelled rows.
+
+    Rows whose features fall in the same bins are one row of the histogram with its
+    counts, so a URL that repeats adds none. Of more than ``max_rows`` such rows the least
+    by hash are learnt from. One aggregation finds the bins, a second the histogram.
+    """
+    found = labelled.agg(F.count("*").alias("n"), F.sum(label).alias("positive"), *[
         F.percentile_approx(f, [(i + 1) / BINS for i in range(BINS - 1)], 1000).alias(f) for f in FEATURES
     ]).first()
-    edges = {f: sorted(set(edges[f])) for f in FEATURES}
-    def bin_of(f: str) -> Column:
-        return sum((F.col(f) > float(e)).cast("int") for e in edges[f][1:]) + (F.col(f) > float(edges[f][0])).cast("int")
-
-    binned = F.array(*[bin_of(f) for f in FEATURES])
-    rows = cut(labelled.select(label, binned.alias("bins"), *FEATURES).coalesce(1), "training").coalesce(1)
+    n, positive = found["n"], found["positive"]
+    if not n or not positive or positive == n:
+        return BoostedTrees(0.0 if not n else (4.0 if positive else -4.0), [])
+    edges = [sorted({float(e) for e in found[f]}) for f in FEATURES]
+    bins = F.array(*[sum(((F.col(f) > e).cast("int") for e in own), F.lit(0)) for f, own in zip(FEATURES, edges, strict=True)])
+    rows = (
+        labelled.groupBy(bins.alias("bins")).agg(F.count("*").alias("n"), F.sum(label).alias("positive"))
+        .orderBy(F.xxhash64("bins"), "bins").limit(max_rows).collect()
+    )
+    cells = np.array([r["bins"] for r in rows], dtype=np.int64)
+    count, hit = (np.array([r[c] for r in rows], dtype=np.float64) for c in ("n", "positive"))
     base = math.log(positive / (n - positive))
-    model = BoostedTrees(base, [])
+    margin, trees = np.full(len(rows), base), []
     for _ in range(TREES):
-        p = model.probability()
-        scored = cut(rows.select("bins", (p - F.col(label)).alias("g"), (p * (1 - p)).alias("h")), "margins").coalesce(1)
-        model.trees.append(_grow(scored, edges))
-    return model
-
-
-def _grow(scored: DataFrame, edges: dict) -> object:
-    """One tree, level by level; a level's histogram has at most nodes x features x bins rows."""
-    splits: dict[int, tuple] = {}
-    leaves: dict[int, float] = {}
-
-    def node_of() -> Column:
-        node = F.lit(1)
-        for at in sorted(splits):
-            f, cut_at = splits[at]
-            node = F.when(node == at, F.when(F.col("bins")[f] <= cut_at, 2 * at).otherwise(2 * at + 1)).otherwise(node)
+        p = 1 / (1 + np.exp(-margin))
+        tree = _grow(cells, count * p - hit, count * p * (1 - p), np.arange(len(rows)), margin)
+        trees.append(_named(tree, edges))
+    return BoostedTrees(base, trees)
+
+
+def _grow(cells: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, margin: np.ndarray, depth: int = 0):
+    """A tree over some rows of the histogram; adds its leaves to their margins.
+
+    A leaf value, or (feature, last bin to the left, left, right).
+    """
+    total_g, total_h = g[rows].sum(), h[rows].sum()
+    best_gain, best = 1e-6, None
+    for f in range(cells.shape[1] if depth < DEPTH else 0):
+        own = cells[rows, f]
+        left_g, left_h = (np.cumsum(np.bincount(own, weights=x[rows], minlength=BINS))[:-1] for x in (g, h))
+        gain = left_g**2 / (left_h + RIDGE) + (total_g - left_g) ** 2 / (total_h - left_h + RIDGE) - total_g**2 / (total_h + RIDGE)
+        at = int(np.argmax(gain))
+        if gain[at] > best_gain and (own <= at).any() and (own > at).any():
+            best_gain, best = gain[at], (f, at)
+    if best is None:
+        leaf = float(-RATE * total_g / (total_h + RIDGE))
+        margin[rows] += leaf
+        return leaf
+    f, at = best
+    left = cells[rows, f] <= at
+    return (f, at, *[_grow(cells, g, h, rows[side], margin, depth + 1) for side in (left, ~left)])
+
+
+def _named(node, edges: list[list[float]]):
+    """The tree with names of features and thresholds in place of numbers of bins."""
+    if isinstance(node, float):
         return node
+    f, at, left, right = node
+    return (FEATURES[f], edges[f][at], _named(left, edges), _named(right, edges))
 
-    open_nodes = {1}
-    for level in range(DEPTH):
-        histogram = (
-            scored.select(node_of().alias("node"), F.posexplode("bins").alias("f", "b"), "g", "h")
-            .groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        )
-        cells: dict = {}
-        for r in histogram:
-            cells.setdefault(r["node"], {}).setdefault(r["f"], {})[r["b"]] = (r["g"], r["h"])
-        grown = set()
-        for node in sorted(open_nodes & cells.keys()):
-            total_g = sum(g for g, _ in cells[node][0].values())
-            total_h = sum(h for _, h in cells[node][0].values())
-            best = (1e-6, None)
-            for f, by_bin in sorted(cells[node].items()):
-                g = h = 0.0
-                for b in sorted(by_bin)[:-1]:
-                    g, h = g + by_bin[b][0], h + by_bin[b][1]
-                    gain = g * g / (h + RIDGE) + (total_g - g) ** 2 / (total_h - h + RIDGE) - total_g**2 / (total_h + RIDGE)
-                    if gain > best[0]:
-                        best = (gain, (f, b, _leaf(g, h), _leaf(total_g - g, total_h - h)))
-            leaves.setdefault(node, _leaf(total_g, total_h))
-            if best[1]:
-                f, b, left, right = best[1]
-                splits[node], leaves[2 * node], leaves[2 * node + 1] = (f, b), left, right
-                grown |= {2 * node, 2 * node + 1}
-        open_nodes = grown
-        if not grown:
-            break
-
-    def build(node: int):
-        if node not in splits:
-            return float(leaves.get(node, 0.0))
-        f, b = splits[node]
-        return (FEATURES[f], float(edges[FEATURES[f]][b]), build(2 * node), build(2 * node + 1))
-
-    return build(1)
+
+def labelled_rows(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("fit").isNotNull()).withColumn("y", (F.col("fit.verdict") == "block").cast("int"))
+
+
+def held_out_accuracy(pages: DataFrame, held: Column, rules=RULES) -> tuple[int, int]:
+    """Labelled URLs that ``held`` (over the columns of ``lexical``) keeps from training, and how many are judged right."""
+    whole = cut(lexical(pages.select("page_id", "url"), rules), "lexical")
+    masked = whole.withColumn("truth", F.col("fit")).withColumn("fit", F.when(~held, F.col("fit")))
+    judged = cut(with_suffixes(masked), "masked")
+    score = fit(labelled_rows(judged)).probability()
+    right = F.when(score >= 0.5, "block").otherwise("allow") == F.col("truth.verdict")
+    n, good = judged.filter(F.col("truth").isNotNull() & F.col("fit").isNull()).agg(F.count("*"), F.count_if(right)).first()
+    return n, good
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for every page."""
-    judged = with_suffixes(cut(lexical(pages.select("page_id", "url"), rules), "lexical"))
-    ruled = judged.filter(F.col("fit").isNotNull()).withColumn("y", (F.col("fit.verdict") == "block").cast("int"))
-    score = fit(ruled).probability()
+    judged = cut(with_suffixes(cut(lexical(pages.select("page_id", "url"), rules), "lexical")), "judged")
+    score = fit(labelled_rows(judged)).probability()
     return judged.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce(F.col("fit.verdict"), F.when(score >= 0.5, "block").otherwise("allow")).alias("verdict"),
