@@ -6,15 +6,17 @@ two neighbours; neighbouring labels are tied by transition weights. Forward-back
 marginals, weighted by line length, give a document's share of good text, and a logistic
 curve turns that into a score.
 
-The model is fitted in numpy on at most ``MAX_TRAINING_DOCS`` labelled documents, chosen
-by a hash of the id; a document's label stands for all its lines. Line features are
-computed where the texts lie; only the sample's features reach the driver.
+The model is fitted in numpy on at most ``MAX_TRAINING_DOCS`` labelled documents of at
+most ``MAX_TRAINING_SIZE`` in all, chosen by a hash of the id; a document's label stands
+for all its lines. Line features are computed where the texts lie; only the sample's
+features reach the driver.
 
 Defined results: a null text counts as empty, which is one empty line; lines without
 text count alike if all are; documents without a label, or with labels that disagree,
-are not learnt from (of repeated labels the smallest counts); without both kinds of
-label all scores are the share of good ones, or 1 if there is none; repeated rows score
-alike; an empty table gives no rows.
+are not learnt from; of rows that repeat a doc_id one is learnt from; without both kinds
+of label all scores are the share of good ones, or 1 if there is none; repeated rows
+score alike; other columns pass ``keep_good``, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import held_out, map_texts, portions
+from marginalia.llm.common import fresh_names, held_out, map_texts, own_columns, portions
 
 FOLDS, HELD = 3, 1
 MAX_TRAINING_DOCS = 4_000
+#: Bound on all labelled texts that are learnt from: characters, and LINE_SIZE for a line.
+MAX_TRAINING_SIZE, LINE_SIZE = 40_000_000, 100
 BINS = 8
 STEPS, RATE, RIDGE = 120, 0.15, 1e-3
 
@@ -258,6 +262,31 @@ def training_labels(
     return known.filter(drawn < share).orderBy(drawn, "doc_id").limit(most)
 
 
+def training_texts(docs: DataFrame, chosen: DataFrame, most_size: int) -> DataFrame:
+    """doc_id, label, text of the chosen documents (doc_id, label), one row per doc_id.
+
+    Of rows that repeat a doc_id the text with the least hash counts. Texts are taken in
+    order of the id's hash while their sizes (characters, and ``LINE_SIZE`` for every line)
+    add up to ``most_size`` at most; one that does not fit any more is not learnt from.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    sizes = (
+        rows.join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "label", F.struct("key", (F.length("text") + LINE_SIZE * lines).cast("long").alias("size")).alias("own"))
+        .groupBy("doc_id", "label").agg(F.min("own").alias("own"))
+        .select("doc_id", "label", "own.key", "own.size", F.xxhash64("doc_id").alias("drawn")).collect()
+    )
+    picked, room = [], most_size
+    for r in sorted(sizes, key=lambda r: (r["drawn"], r["doc_id"])):
+        if r["size"] <= room:
+            room -= r["size"]
+            picked.append((r["doc_id"], r["key"], r["label"]))
+    named = docs.sparkSession.createDataFrame(picked, "doc_id long, key long, label int")
+    return rows.join(F.broadcast(named), ["doc_id", "key"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = MAX_TRAINING_DOCS) -> LineField:
     """The model for ``column`` of ``labels``; at most ``most`` documents are learnt from."""
     chosen = training_labels(labels, column, FOLDS, HELD, most)
@@ -277,10 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int =
                     names=["label", "features", "chars"],
                 )
 
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(chosen), "doc_id").select("label", "text")
-    )
+    texts = training_texts(docs, chosen, MAX_TRAINING_SIZE).select("label", "text")
     rows = map_texts(texts, features, "label int, features binary, chars binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["features"])))  # the same sums in every run
     good = np.array([r["label"] for r in rows], dtype=np.float64)
@@ -322,8 +348,9 @@ def keep_good(docs: DataFrame, model: LineField) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            scores = [model.score(texts) for texts in portions(batch.column("__text"))]
+            scores = [model.score(texts) for texts in portions(batch.column(batch.num_columns - 1))]
             keep = np.concatenate(scores) >= 0.5 if scores else np.zeros(0, dtype=bool)
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
 
-    return map_texts(docs.withColumn("__text", F.col("text").cast("string")), run, docs.schema)
+    (text,) = fresh_names(docs, "text_")
+    return map_texts(docs.select(*own_columns(docs), F.col("text").cast("string").alias(text)), run, docs.schema)

@@ -6,15 +6,17 @@ attention pools their states, and a linear unit scores the window. Windows overl
 half and cover the whole text; the most toxic one speaks for the document, and a logistic
 curve turns its score into a probability.
 
-The network is trained in numpy, by back-propagation through time, on a bounded number of
-labelled documents per class, chosen by a hash of the id. Only documents are labelled, so
+The network is trained in numpy, by back-propagation through time, on at most
+``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled documents, of at most ``MAX_TRAINING_SIZE``
+in all, chosen by a hash of the id. Only documents are labelled, so
 each pass first scores all windows of a document and then learns from its highest one.
 
 Words come again and again: what a word adds to the gates is kept in a table of at most
 ``TABLE_ROWS`` words per worker.
 
 Defined results: a null text counts as empty, which scores as a window without words;
-of disagreeing labels for a document none is learnt from; without both kinds of label
+of disagreeing labels for a document none is learnt from, and of rows that repeat a
+doc_id one; without both kinds of label
 all scores are 0 or 1, as the labels are, and 0 without any; repeated rows score alike;
 an empty table gives no rows.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import map_texts, portions
-from marginalia.llm.quality import logistic, training_labels
+from marginalia.llm.quality import MAX_TRAINING_SIZE, logistic, training_labels, training_texts
 
 FOLDS, HELD = 5, 0
 MAX_POSITIVE, MAX_NEGATIVE = 1_500, 2_000
@@ -351,10 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Network:
     chosen = training_labels(labels, column, FOLDS, HELD, MAX_POSITIVE, 1).unionByName(
         training_labels(labels, column, FOLDS, HELD, MAX_NEGATIVE, 0)
     )
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
-    )
+    rows = training_texts(docs, chosen, MAX_TRAINING_SIZE).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64))
 
