@@ -7,6 +7,8 @@ Reading PDF itself is out of scope.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,3 +99,55 @@ def artifact_counts(expected: DataFrame, found: DataFrame) -> DataFrame:
     """kind, expected, found of artifacts by kind."""
     e, f = expected.groupBy("kind").agg(F.count("*").alias("expected")), found.join(expected.select("path"), "path", "left_semi").groupBy("kind").agg(F.count("*").alias("found"))
     return e.join(f, "kind", "left").na.fill(0)
+
+
+def same_multiset(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row, ok: both sides hold every value of ``key`` equally often."""
+    counted = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = counted(left, "n_left").join(counted(right, "n_right"), key, "full_outer")
+    return both.agg((F.count_if(~F.col("n_left").eqNullSafe(F.col("n_right"))) == 0).alias("ok"))
+
+
+def checks(
+    pages: DataFrame, occurrences: DataFrame, objects: DataFrame, page_count: int, *, listed: DataFrame | None = None,
+    page_files: DataFrame | None = None, files: DataFrame | None = None, targets: DataFrame | None = None,
+    recognised: DataFrame | None = None, variants: DataFrame | None = None, variant_pages: DataFrame | None = None,
+    counted_images: int | None = None, written_images: int | None = None, hashes: tuple[str, str] | None = None,
+) -> DataFrame:
+    """check, ok: one row per check of an extraction; what is not given is not checked.
+
+    objects: xref, encoded_stream_file, native_file, rendered_file. listed: xref, as the
+    document itself lists them. page_files: kind, path, one row a page and kind.
+    recognised and variants: page, path, one row per output file. files: path of all that exist.
+    """
+    out = [
+        ("page_record_count", pages.agg((F.count("*") == page_count).alias("ok"))),
+        ("occurrences_have_pages", occurrences.agg((F.count_if(~F.coalesce(F.col("page").between(1, page_count), F.lit(False))) == 0).alias("ok"))),
+    ]
+    if {"encoded_stream_file", "native_file", "rendered_file"} <= set(objects.columns):
+        kept = F.col("encoded_stream_file").isNotNull() & (F.col("native_file").isNotNull() | F.col("rendered_file").isNotNull())
+        out.append(("objects_have_data", objects.agg((F.count_if(~kept) == 0).alias("ok"))))
+    if hashes:
+        out.append(("source_unchanged", pages.sparkSession.range(1).select(F.lit(hashes[0] == hashes[1]).alias("ok"))))
+    if listed is not None:
+        out.append(("listed_objects_extracted", same_multiset(listed, objects, "xref")))
+    if page_files is not None and files is not None:
+        there = page_files.join(files.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+        per_kind = there.groupBy("kind").agg(((F.count("*") == page_count) & (F.count("there") == F.count("*"))).alias("ok"))
+        out.append((F.concat(F.col("kind"), F.lit("_pages_complete")), per_kind))
+    if targets is not None and recognised is not None:
+        out.append(("recognition_complete", same_multiset(targets.select("page").distinct(), recognised.select("page").distinct(), "page")))
+    if variants is not None and variant_pages is not None:
+        grid = variant_pages.select("page", F.lit(1).alias("images"), F.lit(1).alias("native_text_characters"))
+        wanted = fallback_grid(grid).select(F.struct("page", "rotation", "mode").alias("v"))
+        out.append(("fallback_complete", same_multiset(wanted, variants.select(F.struct("page", "rotation", "mode").alias("v")).distinct(), "v")))
+    outputs = [x.select("path") for x in (recognised, variants) if x is not None and "path" in x.columns]
+    if outputs and files is not None:
+        lost = reduce(DataFrame.unionByName, outputs).join(files.select("path"), "path", "left_anti")
+        out.append(("recognition_outputs_exist", lost.agg((F.count("*") == 0).alias("ok"))))
+    if counted_images is not None:
+        out.append(("image_count_matches", occurrences.agg((F.count("*") == counted_images).alias("ok"))))
+    if written_images is not None:
+        out.append(("no_image_missed", occurrences.agg((F.count("*") >= written_images).alias("ok"))))
+    named = [df.select((F.lit(name) if isinstance(name, str) else name).alias("check"), "ok") for name, df in out]
+    return reduce(DataFrame.unionByName, named)

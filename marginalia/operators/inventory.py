@@ -45,9 +45,19 @@ def _whole(spark, rule: int, violation: str) -> DataFrame:
     return spark.createDataFrame([(rule, -1, 0, violation)], "rule int, ord int, step int, violation string")
 
 
+def several(df: DataFrame, key: str) -> DataFrame:
+    """key, n, first, last: values of a key that more than one row has, with their least and greatest ``ord``."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last")).filter("n > 1")
+
+
+def fewer_than(df: DataFrame, key: str, floor: int) -> DataFrame:
+    """key, n: values of a key that fewer rows have than the floor."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") < floor)
+
+
 def repeated(df: DataFrame, key: str, rule: int, say: str) -> DataFrame:
     """Values of a key that occur more than once."""
-    twice = df.groupBy(key).agg(F.count("*").alias("n"), F.max("ord").alias("ord")).filter("n > 1")
+    twice = several(df, key).withColumnRenamed("last", "ord")
     return twice.select(F.lit(rule).alias("rule"), "ord", F.lit(0).alias("step"), _say(say, F.col(key)).alias("violation"))
 
 

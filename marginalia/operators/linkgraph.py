@@ -65,6 +65,17 @@ def broken(links: DataFrame, files: DataFrame) -> DataFrame:
     return links.join(files.select(F.col("path").alias("target")).distinct(), "target", "left_anti")
 
 
+def without_inbound(nodes: DataFrame, links: DataFrame, node: str = "path") -> DataFrame:
+    """The nodes (with their path) that no other node links to. links: source (a ``node``), path.
+
+    Of the links to a path only the least and the greatest source count: if any source
+    differs from the node, one of these does. So a path that everything links to is one row.
+    """
+    ends = links.groupBy("path").agg(F.min("source").alias("__low"), F.max("source").alias("__high"))
+    linked = F.coalesce((F.col("__low") != F.col(node)) | (F.col("__high") != F.col(node)), F.lit(False))
+    return nodes.join(ends, "path", "left").filter(~linked).drop("__low", "__high")
+
+
 def orphans(notes: DataFrame) -> DataFrame:
     """Checked notes that no other note links to; catalogues and gateways do not count as sources."""
     sources = kept(notes).filter((T.name(F.col("path")) != "index.md") & ~is_gateway(F.col("path")))

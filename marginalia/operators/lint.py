@@ -220,10 +220,15 @@ def audit(notes: DataFrame, *carry: str) -> DataFrame:
     )
 
 
+def pivot(rows: DataFrame, key: str, kind: str, kinds: tuple[str, ...]) -> DataFrame:
+    """key and one zero-filled count per kind, in a fixed order; other kinds are left out."""
+    return rows.groupBy(key).pivot(kind, list(kinds)).count().na.fill(0)
+
+
 def audit_table(snapshots: DataFrame) -> DataFrame:
     """dir, notes, errors and one zero-filled column per kind; snapshots: dir, path, text."""
     ruled = G.kept(snapshots).filter(~T.name(F.col("path")).isin(*STRUCTURAL, *NO_BLOCK))
-    kinds = audit(snapshots, "dir").groupBy("dir").pivot("kind", list(AUDIT_KINDS)).count()
+    kinds = pivot(audit(snapshots, "dir"), "dir", "kind", AUDIT_KINDS)
     filled = (
         snapshots.select("dir").distinct().join(ruled.groupBy("dir").agg(F.count("*").alias("notes")), "dir", "left")
         .join(kinds, "dir", "left").na.fill(0)

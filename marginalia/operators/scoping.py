@@ -6,6 +6,7 @@ join with a checked size.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -13,9 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
-from pyspark.sql.window import Window
 
 from marginalia.functions import text as T
+from marginalia.operators import evidence
 
 #: How a numbered entry starts; window and stride of repeated passages.
 ENTRY_START = r"(?m)^(\d{1,3})\.\s"
@@ -119,6 +120,48 @@ def canonical(scoped: DataFrame, primary_banner: str, apparatus_banner: str | No
     )
 
 
+def canonical_digest(scoped: DataFrame, primary_banner: str, apparatus_banner: str | None = None, key: str = "key") -> DataFrame:
+    """key, canonical_characters, canonical_sha256: as ``canonical``, without building the text.
+
+    A digest is sequential, so one task reads the pages of a key, in order and one at a
+    time, from a sorted partition; no text is ever whole in memory.
+    """
+
+    def run(batches):
+        current, digest, size, part = None, None, 0, 0
+        ready: list[tuple] = []
+
+        def add(piece: str) -> None:
+            nonlocal size
+            digest.update(piece.encode())
+            size += len(piece)
+
+        for rows in batches:
+            for own, now, text in rows[[key, "part", "text"]].itertuples(index=False):
+                if digest is None or own != current:
+                    if digest is not None:
+                        add("\n")
+                        ready.append((current, size, digest.hexdigest()))
+                    current, digest, size, part = own, hashlib.sha256(), 0, 0
+                    add(primary_banner)
+                if now and not part:
+                    add(f"\n{apparatus_banner or ''}")
+                part = now
+                add(f"\n{text}")
+            yield pd.DataFrame(ready, columns=[key, "canonical_characters", "canonical_sha256"])
+            ready = []
+        if digest is not None:
+            add("\n")
+            yield pd.DataFrame([(current, size, digest.hexdigest())], columns=[key, "canonical_characters", "canonical_sha256"])
+
+    first = F.when(F.col("section") == "primary_text", 0).otherwise(1)
+    ordered = (
+        scoped.select(key, first.alias("part"), "page", T.rstrip(F.col("text")).alias("text"))
+        .repartition(key).sortWithinPartitions(key, "part", "page")
+    )
+    return ordered.mapInPandas(run, f"{key} {scoped.schema[key].dataType.simpleString()}, canonical_characters long, canonical_sha256 string")
+
+
 def running_sequence(numbers, first, last):
     """The numbers accepted in turn: each equal to the one then due, up to ``last``."""
     due = F.aggregate(numbers, first.cast("int"), lambda e, x: F.when((x == e) & (e <= last), e + 1).otherwise(e))
@@ -208,10 +251,9 @@ def soft_hyphens(pages: DataFrame) -> DataFrame:
 
 
 def page_ranges(pages: DataFrame, chunks: int = 2) -> DataFrame:
-    """At most ``chunks`` ranges (first, last) of equal size, rounded up."""
-    size = F.ceil(F.count("*").over(Window.partitionBy()) / F.lit(chunks))
-    numbered = pages.select("page", F.floor((F.row_number().over(Window.orderBy("page")) - 1) / size).alias("chunk"))
-    return numbered.groupBy("chunk").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    """chunk, first, last: at most ``chunks`` ranges of equal size, rounded up."""
+    size = max(1, -(-pages.count() // chunks))
+    return evidence.chunk(pages.select("page"), size, "page").groupBy("chunk").agg(F.min("page").alias("first"), F.max("page").alias("last"))
 
 
 def page_map(pages: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ SELECT source, length(c) AS canonical_characters, sha256(c) AS canonical_sha256
 """)
 def canonical_by_source(spark, sf):
     pages = notes(spark, sf).select("source", F.col("doc_id").alias("page"), "text", F.lit("primary_text").alias("section"))
-    return scoping.canonical(pages, "BANNER", key="source").select("source", F.col("canonical_characters").cast("long").alias("canonical_characters"), "canonical_sha256")
+    return scoping.canonical_digest(pages, "BANNER", key="source")
 
 
 @query(r"""
@@ -223,15 +223,14 @@ def page_paths(spark, sf) -> DataFrame:
 @query(_TARGETS + "SELECT target, count(*) AS links FROM l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.path = l.target) GROUP BY target")
 def link_status(spark, sf):
     """Link targets that no page answers to."""
-    return link_edges(spark, sf).join(page_paths(spark, sf).select(F.col("path").alias("target")).distinct(), "target", "left_anti").groupBy("target").agg(F.count("*").alias("links"))
+    return linkgraph.broken(link_edges(spark, sf), page_paths(spark, sf)).groupBy("target").agg(F.count("*").alias("links"))
 
 
 @query(_TARGETS + "SELECT page_id FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)', 1) AS path FROM pages) q WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = q.path AND l.page_id <> q.page_id)")
 def inbound_orphans(spark, sf):
     """Pages that no other page links to."""
-    pages = page_paths(spark, sf)
-    inbound = link_edges(spark, sf).select(F.col("page_id").alias("from"), F.col("target").alias("path"))
-    return pages.join(inbound, (pages["path"] == inbound["path"]) & (F.col("from") != F.col("page_id")), "left_anti").select("page_id")
+    inbound = link_edges(spark, sf).select(F.col("page_id").alias("source"), F.col("target").alias("path"))
+    return linkgraph.without_inbound(page_paths(spark, sf), inbound, "page_id").select("page_id")
 
 
 @query(_TARGETS + "SELECT target, count(*) AS inbound, count(DISTINCT page_id) AS from_pages FROM l GROUP BY target")
@@ -427,14 +426,14 @@ def latest_snapshot(spark, sf):
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) < 5")
 def floors(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n < 5")
+    return inventory.fewer_than(table(spark, sf, "orders"), "o_custkey", 5)
 
 
 @query("SELECT text_key, n, first_doc FROM (SELECT sha256(text) AS text_key, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1) WHERE n > 1")
 def uniqueness(spark, sf):
     """Keys that several rows share."""
     rows = notes(spark, sf).select(T.sha256(F.col("text")).alias("text_key"), F.col("doc_id").alias("ord"))
-    return rows.groupBy("text_key").agg(F.count("*").alias("n"), F.min("ord").alias("first_doc")).filter("n > 1")
+    return inventory.several(rows, "text_key").select("text_key", "n", F.col("first").alias("first_doc"))
 
 
 @query("""
@@ -456,7 +455,7 @@ SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE
 """)
 def kinds_pivot(spark, sf):
     """Zero-filled pivot over a fixed list of kinds, one of them absent."""
-    return table(spark, sf, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr", "xx"]).count().na.fill(0)
+    return lint.pivot(table(spark, sf, "documents"), "source", "lang", ("de", "en", "es", "fr", "xx"))
 
 
 @query("""
@@ -571,7 +570,7 @@ def numbered_entries(spark, sf):
     return scoping.entries(pages, "source").select("source", "page", "number", F.length("text").alias("characters"))
 
 
-@query()
+@query("SELECT doc_id AS page, rotation, mode FROM documents, (VALUES (0), (90), (180), (270)) r(rotation), (VALUES (6), (11)) m(mode) WHERE n_chars % 3 > 0 OR n_chars = 0")
 def ocr_grid(spark, sf):
     pages = table(spark, sf, "documents").select(
         F.col("doc_id").alias("page"), (F.col("n_chars") % 3).alias("images"), F.col("n_chars").alias("native_text_characters")

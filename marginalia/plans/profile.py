@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.unicode import canonical_json
 from marginalia.operators import integrity, scoping
+from marginalia.sources import sinks
 
 # Schema versions, sections, keep rules, floors and note types of a profile.
 PROFILE_VERSION, LOCK_VERSION = 1, 1
@@ -145,6 +146,71 @@ def check_profile(data: dict) -> Profile:
     return Profile(data, primary, extra, _furniture(scope["page_furniture"]), scope["boundaries"], apparatus, banners, floors)
 
 
+def infer_profile(
+    metadata: DataFrame, pages: DataFrame, pdf: str, extraction: str, *, primary: list[int] | None = None,
+    apparatus_pages: list[int] | None = None, apparatus: dict | None = None,
+) -> dict:
+    """A starter profile from what an extraction left: metadata (key, value) and pages (page).
+
+    Title and author come from the metadata, else from the file's name and as unknown; all
+    pages are primary unless chosen. Floors are zero, to be reviewed.
+    """
+    known = {r["key"]: r["value"].strip() for r in metadata.filter("key IN ('title', 'author') AND value IS NOT NULL").collect()}
+    page_count = pages.agg(F.max("page")).first()[0] or 0
+    _need(page_count > 0, "the extraction has no pages")
+    title = known.get("title") or re.sub(r"\.[^.]*$", "", pdf.rsplit("/", 1)[-1]).replace("_", " ").strip()
+    slug = re.sub(r"[^a-z0-9]+", "-", title.lower()).strip("-") or "document"
+    extra = sorted(set(apparatus_pages or []))
+    own = sorted(set(primary)) if primary else list(range(1, page_count + 1))
+    _need(max(own + extra) <= page_count, f"a selected page exceeds the extraction's {page_count} pages")
+    # Banners, and what an unnamed author is called.
+    banners = {"primary": "=== PRIMARY TEXT ==="} | ({"apparatus": "=== CITATION APPARATUS ==="} if extra else {})
+    data = {
+        "schema_version": PROFILE_VERSION, "profile_id": f"{slug}-selected-scope", "source": {"pdf": pdf, "extraction": extraction},
+        "document": {"id": slug, "title": title, "author": known.get("author") or "Unknown author"},
+        "scope": {
+            "id": "selected-scope", "title": "Selected scope", "label": f"{len(own)} selected primary PDF page(s)",
+            "primary_pages": own, "apparatus_pages": extra, "canonical_banners": banners, "boundaries": [], "page_furniture": [],
+        } | ({"apparatus": apparatus} if apparatus else {}),
+        "architecture": {
+            "rationale": "Floors are zero and must be reviewed against the source before any run.",
+            "minimums": dict.fromkeys(FLOORS, 0), "nullable_rationales": {}, "required_note_types": list(NOTE_TYPES),
+        },
+        "output": {"format": "Open Knowledge Format", "okf_version": "0.2"},
+    }
+    check_profile(data)
+    return data
+
+
+#: Where the settings of a run lie in a profile and, if there is one, in its lock.
+RUNTIME = {
+    "profile_id": "profile_id", "document_id": "document.id", "document_title": "document.title", "document_author": "document.author",
+    "scope_id": "scope.id", "scope_title": "scope.title", "scope_label": "scope.label", "primary_pages": "scope.primary_pages",
+    "apparatus_pages": "scope.apparatus_pages", "apparatus_label": "scope.apparatus.label", "apparatus_slug": "scope.apparatus.id",
+    "apparatus_entry_pattern": "scope.apparatus.entry_pattern", "canonical_banners": "scope.canonical_banners", "boundaries": "scope.boundaries",
+    "page_furniture": "scope.page_furniture", "architecture": "architecture", "output": "output", "source_pdf": "source.pdf",
+    "extraction_root": "source.extraction",
+}
+RUNTIME_LOCK = {
+    "source_pdf_sha256": "source.pdf", "canonical_scope_sha256": "scope.canonical_sha256",
+    "canonical_scope_characters": "scope.canonical_characters", "page_text_characters": "scope.page_text_characters",
+}
+
+
+def flat(profile: Profile, lock: dict | None = None) -> dict:
+    """The profile's (and its lock's) settings under one name each; absent ones are null."""
+
+    def at(value: Any, path: str) -> Any:
+        for step in path.split("."):
+            value = value.get(step) if isinstance(value, dict) else None
+        return value
+
+    out = {name: at(profile.data, path) for name, path in RUNTIME.items()}
+    ends = profile.apparatus or {}
+    out["apparatus_range"] = [ends["entry_first"], ends["entry_last"]] if ends else []
+    return out | ({name: at(lock, path) for name, path in RUNTIME_LOCK.items()} if lock else {})
+
+
 def scoped_pages(spark: SparkSession, profile: Profile, pages: DataFrame) -> DataFrame:
     sections = spark.createDataFrame(
         [(p, SECTIONS[0]) for p in profile.primary] + [(p, SECTIONS[1]) for p in profile.apparatus_pages], "page int, section string"
@@ -215,6 +281,31 @@ def verify_lock(spark: SparkSession, lock: dict, now: dict) -> None:
         raise ProfileError("source drifted: " + integrity.first_difference(spark, lock, now))
 
 
+def stage(spark: SparkSession, profile: Profile, lock: dict, pages: DataFrame, inventory: DataFrame, source: dict[str, str], folder: str) -> dict:
+    """Verifies the lock against the source as it is now and leaves the scope in a fresh folder.
+
+    ``folder`` gets the scoped pages as Parquet and, last of all, manifest.json, which is
+    also returned: without it a stage is incomplete. An existing folder is an error.
+    """
+    _need(not sinks.exists(spark, folder), f"{folder} exists")
+    verify_lock(spark, lock, build_lock(spark, profile, pages, inventory, source))
+    wanted = pages.filter(F.col("page").isin(profile.scope_pages)).select("page", "text")
+    sinks.exclusive(scoped_pages(spark, profile, wanted).orderBy("page"), f"{folder}/pages")
+    settings = flat(profile, lock)
+    manifest = {
+        "status": "passed", "profile_sha256": profile.sha256, "profile_lock_sha256": sha256_json(lock), "pages": lock["scope"]["pages"], "staged": "pages",
+    } | {k: settings[k] for k in ("profile_id", "source_pdf", "extraction_root", *RUNTIME_LOCK)}
+    sinks.atomic_text(spark, f"{folder}/manifest.json", canonical_json(manifest), overwrite=False)
+    return manifest
+
+
+def freeze(spark: SparkSession, inventory: dict, path: str) -> dict:
+    """Writes an accepted inventory once, with its digest; a second time is an error."""
+    record = {"inventory_sha256": sha256_json(inventory), "inventory": inventory}
+    sinks.atomic_text(spark, path, canonical_json(record), overwrite=False)
+    return record
+
+
 @dataclass(frozen=True)
 class RunSettings:
     """Limits of a run, in seconds and counts."""

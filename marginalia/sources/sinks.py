@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,21 +34,30 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def atomic_text(spark: SparkSession, path: str, value: str, overwrite: bool = True) -> None:
-    """A small file, complete or absent: written aside, then renamed."""
+    """A small file, complete or absent: written aside, then renamed.
+
+    The store decides whether the target may be replaced, in the same step as the rename
+    where it can (a local file system cannot, and checks first).
+    """
     aside, fs = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     target, _ = _fs(spark, path)
-    if not overwrite and fs.exists(target):
-        raise FileExistsError(path)
     out = fs.create(aside)
     try:
         out.write(bytearray(value.encode()))
     finally:
         out.close()
-    if overwrite and fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(aside, target):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE if overwrite else kinds.NONE
+    store = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        store.rename(aside, target, how)
+    except Py4JJavaError as refused:
         fs.delete(aside, False)
-        raise OSError(f"cannot rename to {path}")
+        if "FileAlreadyExists" in refused.java_exception.getClass().getName():
+            raise FileExistsError(path) from refused
+        raise
 
 
 def staged(df: DataFrame, path: str, format: str = "parquet") -> None:

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from marginalia.plans import catalogue
+from marginalia.plans import bound, catalogue
 from marginalia.session import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +44,10 @@ def test_query(spark, duck, name):
     assert rows(frame.toPandas(), sorted(wanted.columns)) == rows(wanted, sorted(wanted.columns))
 
 
+def test_every_bound_query_has_sql():
+    assert {n for n, f in catalogue.QUERIES.items() if f.__module__ == bound.__name__} <= set(catalogue.ORACLES)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
