@@ -1,19 +1,25 @@
 """Exact top-k inner product search over norm-sorted vectors.
 
-Vectors are integers: floor(256 x) of every component. Queries start with the k-th score
-against the longest vectors (a fixed number of them). Queries and candidates then meet
-in blocks of fixed size; inside a block candidates come by falling length, and a
-candidate is scored only if neither bound rules it out: the product of both lengths, and,
-after rotation into the singular directions of a sample, the partial sum over the leading
-directions plus the product of the lengths of the residuals (Cauchy-Schwarz). Bounds are
-floating and slack; scores are integers. Each block keeps its k best per query, and the
-best of those are the answer.
+Vectors are integers: floor(256 x) of every component, rotated into the singular
+directions of a sample. Both sides are dealt into blocks of so many numbers: candidates by
+falling length, queries by the length that a candidate must have to reach their k-th
+score against the longest vectors. A pair of blocks in which no candidate is long enough
+for any query never meets.
+
+Inside a pair of blocks candidates come by falling length too. The product of both
+lengths bounds a score first. Then partial sums over the leading directions grow in
+``STEPS``, each with the product of the lengths of what is left (Cauchy-Schwarz), and a
+candidate is dropped at the first bound that falls below the query's k-th score. The most
+promising candidates of a chunk are scored first, so that score rises early. Bounds are
+floating and slack; scores are integers. Each pair of blocks keeps its k best per query,
+and the best of those are the answer.
 
 Defined results: a null vec_id or vector, and a vector with a null or non-finite
 component, takes no part; vectors of different dimension do not meet; of rows that
 repeat a vec_id the least vector counts, or with ``repeats`` every row is a candidate of
-all other ids and the rows of a query's id share one answer, the best of all their pairs; ties go to the smaller vec_id; fewer than k
-candidates give fewer rows; an empty table gives none. Scores must fit 64 bits.
+all other ids and the rows of a query's id share one answer, the best of all their pairs;
+ties go to the smaller vec_id; fewer than k candidates give fewer rows; an empty table
+gives none; other columns are ignored. Scores must fit 64 bits.
 """
 
 from __future__ import annotations
@@ -23,14 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import cut
+from marginalia.llm.common import cut, release
 
 K = 5
-#: Rows of a block of candidates and of queries; rows that seed the thresholds.
-CANDIDATES, QUERIES, SEEDS = 32_768, 4_096, 1_024
-#: Bound on the sample whose singular directions rotate the vectors, in numbers.
+#: Numbers in a block of candidates or of queries, and the least rows of one; of the sample
+#: whose singular directions rotate the vectors; of the vectors that seed the thresholds,
+#: and the rows of those.
+BLOCK_NUMBERS, LEAST_ROWS = 1 << 20, 2_048
 SAMPLE_NUMBERS = 1 << 20
-CHUNK = 1_024
+SEED_NUMBERS, SEEDS = 1 << 20, 1_024
+#: Candidates that are judged at once, and the eighths of the directions that partial sums cover.
+CHUNK, STEPS = 512, (2, 4, 5, 6, 7)
+#: The share of pairs below which they are followed one by one.
+FEW = 1 / 8
 
 
 def integer_vectors(embeddings: DataFrame, repeats: bool = False) -> DataFrame:
@@ -50,25 +61,17 @@ def integer_vectors(embeddings: DataFrame, repeats: bool = False) -> DataFrame:
     )
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T for integers, by floating products where they are exact."""
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), dtype=np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
-
-
 class Best:
-    """The k best (score, id) per query, in arrays."""
+    """The k best (score, id) per query, in arrays; ``scored`` counts exact scores."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
         self.k, self.bound = k, floor.copy()
         self.q = np.empty(0, dtype=np.int64)
         self.score, self.id = self.q.copy(), self.q.copy()
-        self.n = n
+        self.n, self.scored = n, 0
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        self.scored += q.size
         ok = score >= self.bound[q]
         self.q, self.score, self.id = (np.concatenate(x) for x in ((self.q, q[ok]), (self.score, score[ok]), (self.id, ids[ok])))
         order = np.lexsort((self.id, -self.score, self.q))
@@ -82,39 +85,64 @@ class Best:
         self.q, self.score, self.id = self.q[order], self.score[order], self.id[order]
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of ``a`` with rows j of ``b``."""
+    return np.concatenate([np.zeros(0, dtype=a.dtype)] + [
+        np.einsum("ij,ij->i", a[i[at : at + 32_768]], b[j[at : at + 32_768]]) for at in range(0, i.size, 32_768)
+    ])
+
+
+class Turned:
+    """Rotated rows with their lengths, and the lengths of what each step leaves out."""
+
+    def __init__(self, rows: np.ndarray, turn: np.ndarray, steps: list[int]):
+        self.rows = rows @ turn
+        self.length = np.sqrt((rows.astype(np.float64) ** 2).sum(1))
+        self.rest = [np.sqrt((self.rows[:, s:] ** 2).sum(1)) for s in steps]
+
+
 def search(ids, rows, query_ids, queries, floor, rotation, k: int = K) -> Best:
     """The k best rows per query that score ``floor`` at least, other than the query's own."""
     best = Best(len(queries), k, floor)
     if not len(rows) or not len(queries):
         return best
-    length = np.sqrt((rows.astype(np.float64) ** 2).sum(1))
-    order = np.lexsort((ids, -length))
-    ids, rows, length = ids[order], rows[order], length[order]
-    head = max(1, rows.shape[1] // 4)
-    turn = rotation if rotation is not None and rotation.shape[0] == rows.shape[1] else np.eye(rows.shape[1])
-    turned, turned_q = rows @ turn, queries @ turn
-    rest = np.sqrt((turned[:, head:] ** 2).sum(1))
-    rest_q = np.sqrt((turned_q[:, head:] ** 2).sum(1))
-    length_q = np.sqrt((turned_q**2).sum(1))
+    dim = rows.shape[1]
+    steps = sorted({max(1, dim * s // 8) for s in STEPS})
+    order = np.lexsort((ids, -(rows.astype(np.float64) ** 2).sum(1)))
+    ids, rows = ids[order], rows[order]
+    turn = rotation if rotation is not None and rotation.shape[0] == dim else np.eye(dim)
+    own, ask = Turned(rows, turn, steps), Turned(queries, turn, steps)
     for at in range(0, len(rows), CHUNK):
         part = slice(at, at + CHUNK)
-        slack = 1e-6 * (1 + length_q * length[at])
-        active = np.flatnonzero(length_q * length[at] + slack >= best.bound)
+        slack = 1e-6 * (1 + ask.length * own.length[at])
+        active = np.flatnonzero(ask.length * own.length[at] + slack >= best.bound)
         if not active.size:
             break  # all later rows are shorter, and bounds only rise
         for some in np.array_split(active, -(-active.size // 1024)):
-            reach = turned_q[some, :head] @ turned[part, :head].T + rest_q[some, None] * rest[None, part]
-            open_ = reach + slack[some, None] >= best.bound[some, None]
-            open_ &= query_ids[some, None] != ids[None, part]
+            other = query_ids[some, None] != ids[None, part]
+            partial, low = np.zeros(other.shape), 0
+            for step, high in enumerate(steps):
+                partial += ask.rows[some, low:high] @ own.rows[part, low:high].T
+                reach = partial + ask.rest[step][some, None] * own.rest[step][None, part]
+                low, open_ = high, other & (reach + slack[some, None] >= best.bound[some, None])
+                if np.count_nonzero(open_) <= FEW * open_.size:
+                    break
+            # The most promising candidates of every query first.
+            few = min(k, partial.shape[1])
+            first = np.argpartition(-np.where(open_, partial, -np.inf), few - 1, axis=1)[:, :few]
+            i, j = np.repeat(np.arange(len(some)), few), first.ravel()
+            i, j = i[open_[i, j]], j[open_[i, j]]
+            best.add(some[i], _pairs(queries, rows, some[i], at + j), ids[at + j])
+            open_[i, j] = False
+            open_ &= reach + slack[some, None] >= best.bound[some, None]
             i, j = np.nonzero(open_)
-            if i.size * 8 > open_.size:
-                scores = exact(queries[some], rows[part])[i, j]
-            else:
-                scores = np.concatenate([np.empty(0, dtype=np.int64)] + [
-                    np.einsum("ij,ij->i", queries[some[i[b : b + 32_768]]], rows[at + j[b : b + 32_768]])
-                    for b in range(0, i.size, 32_768)
-                ])
-            best.add(some[i], scores, ids[at + j])
+            value = partial[i, j]
+            for later in range(step + 1, len(steps)):
+                low, high = steps[later - 1], steps[later]
+                value = value + _pairs(ask.rows[:, low:high], own.rows[:, low:high], some[i], at + j)
+                ok = value + ask.rest[later][some[i]] * own.rest[later][at + j] + slack[some[i]] >= best.bound[some[i]]
+                i, j, value = i[ok], j[ok], value[ok]
+            best.add(some[i], _pairs(queries, rows, some[i], at + j), ids[at + j])
     return best
 
 
@@ -140,6 +168,10 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = K, repeats: bool = Fa
     )
 
 
+def _blocks(n: int, dim: int, tasks: int) -> int:
+    return max(1, -(-n * max(dim, 1) // BLOCK_NUMBERS), min(tasks, n // LEAST_ROWS))
+
+
 def _top_k(spark, base: DataFrame, dim: int, n: int, every: int, k: int) -> DataFrame:
     wanted = max(1, SAMPLE_NUMBERS // max(dim, 1))
     share = min(1.0, wanted / max(n, 1))
@@ -148,9 +180,11 @@ def _top_k(spark, base: DataFrame, dim: int, n: int, every: int, k: int) -> Data
     if sample and dim:
         drawn = np.array([r["v"] for r in sample], dtype=np.float64)
         rotation = np.linalg.svd(drawn, full_matrices=len(drawn) < dim)[2].T
-    top = base.orderBy(F.desc("norm2"), "vec_id").select("vec_id", "v").limit(SEEDS).collect()
+    seeds_wanted = max(k + 1, min(SEEDS, SEED_NUMBERS // max(dim, 1)))
+    top = base.orderBy(F.desc("norm2"), "vec_id").select("vec_id", "v").limit(seeds_wanted).collect()
     seed_ids = np.array([r["vec_id"] for r in top], dtype=np.int64)
     seeds = np.array([r["v"] for r in top], dtype=np.int64).reshape(len(top), dim)
+    tasks = spark.sparkContext.defaultParallelism
 
     def seeded(batches):
         import pyarrow as pa
@@ -160,26 +194,31 @@ def _top_k(spark, base: DataFrame, dim: int, n: int, every: int, k: int) -> Data
             q = _matrix(batch.column(1), dim)
             best = search(seed_ids, seeds, ids, q, np.full(len(ids), LOWEST, dtype=np.int64), rotation, k)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(best.bound)], names=["vec_id", "v", "row_no", "bound"]
+                [*batch.columns, pa.array(best.bound)], names=["vec_id", "v", "norm2", "row_no", "bound"]
             )
 
-    queries = cut(
-        base.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "row_no")
-        .mapInArrow(seeded, "vec_id long, v array<long>, row_no long, bound long"),
+    asked = cut(
+        base.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "norm2", "row_no")
+        .mapInArrow(seeded, "vec_id long, v array<long>, norm2 double, row_no long, bound long"),
         "queries",
     )
-    n_queries = queries.count()
-    tasks = spark.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // CANDIDATES), min(tasks, n // 2_048))
-    query_blocks = max(1, -(-n_queries // QUERIES))
-    block_of = lambda m: F.pmod(F.xxhash64("row_no"), F.lit(m))
-    left = base.select((block_of(blocks) * query_blocks).alias("b"), "vec_id", "v").select(
-        F.explode(F.sequence("b", F.col("b") + query_blocks - 1)).alias("block"), "vec_id", "v"
+    # The length below which no candidate counts for a query.
+    needed = F.when(F.col("norm2") > 0, F.col("bound") / F.sqrt("norm2")).otherwise(F.lit(float(LOWEST)))
+    queries = cut(
+        asked.withColumn("needed", needed).repartitionByRange(_blocks(asked.count(), dim, 1), "needed", "row_no")
+        .select(F.spark_partition_id().alias("q_block"), "vec_id", "v", "bound", "needed"),
+        "query-blocks",
     )
-    right = queries.withColumn("b", block_of(query_blocks)).select(
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda c: c * query_blocks + F.col("b"))).alias("block"),
-        "vec_id", "v", "bound",
+    ranged = cut(
+        base.repartitionByRange(_blocks(n, dim, tasks), F.desc("norm2"), "row_no")
+        .select(F.spark_partition_id().alias("block"), "vec_id", "v", "norm2"),
+        "blocks",
     )
+    longest = ranged.groupBy("block").agg(F.sqrt(F.max("norm2")).alias("longest"))
+    least = queries.groupBy("q_block").agg(F.min("needed").alias("needed"))
+    meeting = cut(longest.join(least, F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("needed")).select("block", "q_block"), "meeting")
+    left = ranged.join(meeting, "block").select("block", "q_block", "vec_id", "v")
+    right = queries.join(meeting, "q_block").select("block", "q_block", "vec_id", "v", "bound")
 
     def meet(rows, asks):
         import pandas as pd
@@ -192,6 +231,7 @@ def _top_k(spark, base: DataFrame, dim: int, n: int, every: int, k: int) -> Data
         )
         return pd.DataFrame({"query_id": ask_ids[best.q], "vec_id": best.id, "score": best.score})
 
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(
+    release(asked)
+    return left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block")).applyInPandas(
         meet, "query_id long, vec_id long, score long"
     )

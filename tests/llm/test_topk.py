@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -6,6 +7,8 @@ import pytest
 
 from marginalia.llm import topk
 
+SF = "/root/testdata/sf0.001"
+
 
 def brute(rows, every, k):
     vectors = {}
@@ -81,3 +84,36 @@ def test_search_prunes_nothing_that_counts(dim):
     for q in range(40):
         wanted = sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if i != q)[:5]
         assert sorted((-s, i) for s, i, own in zip(best.score.tolist(), best.id.tolist(), best.q.tolist(), strict=True) if own == q) == wanted
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_most_pairs_are_never_scored(spark):
+    """Lengths in the driver's table hardly differ, so this is the partial sums' work."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    ids = np.array([r.vec_id for r in rows])
+    v = np.floor(256 * np.array([r.embedding for r in rows], dtype=np.float64)).astype(np.int64)
+    asked = ids % 10 == 0
+    turn = np.linalg.svd(v.astype(np.float64), full_matrices=False)[2].T
+    best = topk.search(ids, v, ids[asked], v[asked], np.full(asked.sum(), topk.LOWEST), turn)
+    assert best.scored < 0.15 * len(ids) * asked.sum()
+    scores = v[asked] @ v.T
+    for q, own in enumerate(ids[asked]):
+        wanted = sorted((-s, i) for i, s in zip(ids.tolist(), scores[q].tolist(), strict=True) if i != own)[:5]
+        assert sorted((-s, i) for s, i, k in zip(best.score.tolist(), best.id.tolist(), best.q.tolist(), strict=True) if k == q) == wanted
+
+
+def test_blocks_of_short_vectors_meet_no_query(spark, monkeypatch):
+    """A few long vectors answer every query; most blocks are too short to matter."""
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", 400)
+    met, search = [], topk.cut
+    monkeypatch.setattr(topk, "cut", lambda df, what, *a: (lambda out: (what == "meeting" and met.append(out.count()), out)[1])(search(df, what, *a)))
+    rng = random.Random(12)
+    rows = [(i, [abs(rng.gauss(0, 1)) * (20.0 if i % 50 == 7 else 0.02) for _ in range(4)]) for i in range(1000)]
+    check(spark, rows)
+    blocks = -(-1000 * 4 // 400)
+    assert met[0] < blocks * max(1, -(-200 * 4 // 400))
+
+
+def test_ties_in_length_are_split_among_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", 100)
+    check(spark, [(i, [1.0, 1.0] if i % 3 else [-1.0, 1.0]) for i in range(300)])
