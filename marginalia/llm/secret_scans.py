@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import cut
+from marginalia.llm.common import cut, fresh_names, own_columns, text_key
 
 ASSIGN = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
@@ -150,32 +150,62 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def masks(flagged: DataFrame, *key: str) -> DataFrame:
+    """key, masks: per key of ``flagged`` (key, spans) what is to be masked, in order.
+
+    Spans that overlap become one mask; spans that only touch stay two.
+    """
+    order = Window.partitionBy(*key).orderBy("s.start", "s.rank")
+    before = F.max("s.end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (
+        flagged.select(*key, F.explode("spans").alias("s"))
+        .withColumn("new", (F.col("s.start") >= F.coalesce(before, F.lit(0))).cast("int"))
+        .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    )
+    merged = runs.groupBy(*key, "run").agg(F.min("s.start").alias("start"), F.max("s.end").alias("end"))
+    return merged.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("masks"))
+
+
+#: Masks that are cut out of one piece of a text.
+PIECE = 64
+
+
+def masked(text: Column, at: Column) -> Column:
+    """``text`` with ``MASK`` for every mask of ``at``.
+
+    Positions in a text are found by walking it. So a text is first cut into pieces of
+    ``PIECE`` masks and then each piece into the gaps between them.
+    """
+    end_of = lambda g: F.coalesce(F.get(at, g - 1)["end"], F.lit(0))
+    start_of = lambda g: F.coalesce(F.get(at, g)["start"], F.lit((1 << 31) - 1))
+    part = lambda t, low, high: F.substring(t, (low + 1).cast("int"), (high - low).cast("int"))
+
+    def piece(b: Column) -> Column:
+        first, last = b * PIECE, F.least(b * PIECE + PIECE - 1, F.size(at))
+        low = end_of(first)
+        gaps = lambda own: F.transform(F.sequence(first, last), lambda g: part(own, end_of(g) - low, start_of(g) - low))
+        return F.transform(F.array(part(text, low, start_of(last))), lambda own: F.array_join(gaps(own), MASK))[0]
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(at) / PIECE).cast("int")), piece), MASK)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every reported span replaced by ``MASK``; n_chars follows the text.
 
-    Overlapping spans become one mask; texts without spans are unchanged.
+    Overlapping spans become one mask; texts without spans, null texts and other columns,
+    whatever their names, are unchanged.
     """
-    flagged = cut(
-        scan(docs).filter(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-        .agg(F.first("spans").alias("__spans")),
-        "flagged",
-    )
-    text = F.col("text")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    masked = F.aggregate(
-        F.col("__spans"), start,
-        lambda a, s: F.struct(
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit(MASK)))
-            .otherwise(a["out"]).alias("out"),
-            F.greatest(a["at"], s["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.length(text))),
+    i, key, own, h, new = fresh_names(docs, "id_", "key_", "masks_", "h_", "masked_")
+    flagged = (
+        scan(docs.select("doc_id", "text")).filter(F.size("spans") > 0)
+        .groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
     )
-    found = F.col("__spans").isNotNull()
+    found = cut(masks(flagged, "doc_id", "text_key").toDF(i, key, own), "flagged")
+    text, at = F.col("text"), F.col(own)
     out = (
-        docs.withColumn("__h", F.xxhash64(F.coalesce(text, F.lit(""))))
-        .join(flagged, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__key")), "left")
-        .withColumn("__text", F.when(found, masked).otherwise(text))
+        docs.withColumn(h, text_key())
+        .join(found, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(key)), "left")
+        .withColumn(new, F.when(at.isNotNull(), masked(text, at)).otherwise(text))
     )
-    change = {"text": F.col("__text")} | ({"n_chars": F.when(found, F.length("__text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return out.select(*[change.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    change = {"text": F.col(new), "n_chars": F.when(at.isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[change.get(c, own_column).alias(c) for c, own_column in zip(docs.columns, own_columns(docs), strict=True)])

@@ -1,3 +1,4 @@
+import random
 import re
 
 from marginalia.llm import secret_scans as s
@@ -94,3 +95,32 @@ def test_redact(spark):
 def test_empty(spark):
     assert s.scan(frame(spark, [])).count() == 0
     assert s.redact(frame(spark, [])).count() == 0
+
+
+def masked(text, spans):
+    out, at = "", 0
+    for start, _, _, end in sorted(spans):
+        if start >= at:
+            out += text[at:start] + s.MASK
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redact_against_brute_force_with_many_spans(spark):
+    """More masks than one piece holds, at its edges too, in a text of wide characters."""
+    rng = random.Random(2)
+    filler = lambda: "".join(rng.choice("äß漢𝔘 e") for _ in range(rng.randrange(30)))
+    rows = [(n, "".join(filler() + rng.choice([KEY, HEX, f"token={HEX}", KEY + HEX]) + " " for _ in range(n)) + filler()) for n in (1, 63, 64, 65, 128, 300)]
+    rows += [(1000, KEY), (1001, KEY + HEX), (1002, " " + KEY)]
+    out = {r.doc_id: r.text for r in s.redact(frame(spark, rows)).collect()}
+    spans = {r.doc_id: r.spans for r in s.scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert out[i] == masked(t, [(x.start, x.rank, x.kind, x.end) for x in spans[i]]), i
+
+
+def test_names_that_the_operator_might_use(spark):
+    names = ["__id", "__spans", "__h", "id_", "KEY_", "masks_", "h_", "masked_", "s"]
+    source = spark.createDataFrame([(1, f"x {KEY}", *range(9)), (2, None, *range(9))], ["doc_id", "text", *names])
+    out = s.redact(source)
+    assert out.columns == source.columns
+    assert sorted(map(tuple, out.collect())) == [(1, f"x {s.MASK}", *range(9)), (2, None, *range(9))]
