@@ -31,6 +31,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Up to this many intervals go to every task; more are joined by shuffle.
 MAX_BROADCAST_INTERVALS = 200_000
+#: Ranks of a length that meet as one key then.
+RANKS = 1 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, ord long"
 
@@ -193,13 +195,18 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     intervals = spark.createDataFrame(
         packer.events, "length long, lo long, hi long, sequence long, copies long, offset long"
     )
+    ranked = cut_pieces.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("ord"))
+    keys = ["length"]
     if len(packer.events) <= MAX_BROADCAST_INTERVALS:
         intervals = F.broadcast(intervals)
+    else:
+        # A length may be that of a third of all pieces, so they meet by ranges of ranks.
+        span = lambda c: F.floor(c / RANKS)
+        intervals = intervals.withColumn("span", F.explode(F.sequence(span(F.col("lo")), span(F.col("hi") - 1))))
+        ranked, keys = ranked.withColumn("span", span(F.col("rank"))), ["length", "span"]
     at = F.col("rank") - F.col("lo")
     return (
-        cut_pieces.join(base.hint("merge"), ["part", "length"])
-        .withColumn("rank", F.col("base") + F.col("ord"))
-        .join(intervals, "length")
+        ranked.join(intervals, keys)
         .filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
         .select(
             "doc_id", "piece", "start", "length", "ids_crc32",

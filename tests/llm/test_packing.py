@@ -98,3 +98,13 @@ def test_pack(spark):
         assert at <= 4096
     assert len(used) == -(-sum(r.length for r in got) // 4096) or len(used) <= 1 + sum(r.length for r in got) // 4096 * 2
     assert packing.pack(frame.limit(0)).count() == 0
+
+
+def test_many_intervals_are_joined_by_ranges_of_ranks(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, "same text " * (1 + i % 3)) for i in range(40)], "doc_id long, text string")
+    key = lambda rows: sorted((r.doc_id, r.piece, r.sequence_id, r.offset, r.ids_crc32) for r in rows)
+    pieces = packing.cut(packing.pieces(frame, tokenizer_path("word_bpe_49k.json"), 16), "pieces")
+    wanted = key(packing.place(pieces, 16).collect())
+    monkeypatch.setattr(packing, "MAX_BROADCAST_INTERVALS", 0)
+    monkeypatch.setattr(packing, "RANKS", 3)
+    assert key(packing.place(pieces, 16).collect()) == wanted and len(wanted) == 40
