@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import tokenizer_path
+from marginalia.llm.common import map_texts, tokenizer_path
 
 BUDGET = 2048
 HISTORY = 2
@@ -181,7 +181,7 @@ def format_windows(conversations: DataFrame, path: str | None = None, budget: in
         if ready:
             yield pa.RecordBatch.from_pylist(ready, schema)
 
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return map_texts(ordered.select("conv_id", "role", "text"), run, WINDOWS)
 
 
 def digests(windows: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def digests(windows: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        rows = ((r["conv_id"], r) for batch in batches for r in batch.to_pylist())
+        rows = ((r["conv_id"], r) for batch in batches for at in range(0, batch.num_rows, 100) for r in batch.slice(at, 100).to_pylist())
         ready: list[tuple] = []
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
@@ -224,8 +224,8 @@ def digests(windows: DataFrame) -> DataFrame:
         if ready:
             yield batch_of(ready)
 
-    return windows.mapInArrow(
-        run,
+    return map_texts(
+        windows, run,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
         "formatted_chars long, n_windows long",
     )
