@@ -453,7 +453,7 @@ def join(docs: DataFrame) -> DataFrame:
         rows.filter("cls IS NOT NULL").groupBy("cls").agg(
             F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "size", "bits")).alias("first")
         ).select("cls", "first.doc_id", "first.text_key", "first.size", "first.bits"),
-        "classes", n_docs,
+        "classes", 8 * n_docs,  # bitmaps make these rows wide
     )
     posts = cut(postings(prefixes(docs, heavy, place)), "postings")
     n_posts = posts.count()
