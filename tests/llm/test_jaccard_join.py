@@ -120,3 +120,22 @@ def test_components(spark):
         if a != b:
             parent[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_names_that_the_operator_might_use(spark):
+    names = ["__n", "__id", "__key", "__h", "id_", "KEY_", "n_", "h_", "cls", "size"]
+    frame = spark.createDataFrame([(k, "one two three four five six", *range(10)) for k in (2, 1, 1)], ["doc_id", "text", *names])
+    out = j.keep_first(frame)
+    assert out.columns == frame.columns and [tuple(r) for r in out.collect()] == [(1, "one two three four five six", *range(10))]
+
+
+def test_parts_of_large_sets_stay_small(spark, monkeypatch):
+    """Sets on both sides of a change in the number of fragments are counted in the same ones."""
+    monkeypatch.setattr(j, "LARGEST_PART", 8)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(70)]
+    rows = [(k, " ".join(base[: 70 - k])) for k in range(0, 20, 2)] + [(100 + k, " ".join(base[: 30 + k])) for k in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.join(frame).collect()), key=repr)
+    assert got == brute(rows)
+    assert {j.fragments_of(n) for n in (32, 33, 64, 65)} == {4, 8, 16}

@@ -80,3 +80,22 @@ def test_odd_rows(spark):
         got = q.score(docs, q.fit(docs, frame)).collect()
         assert len(got) == len(odd) and all(0 <= r.score <= 1 for r in got)
     assert q.score(docs.limit(0), q.fit(docs.limit(0), frame)).count() == 0
+
+
+def test_training_texts_are_bounded(spark):
+    """One row per doc_id however often it is repeated, and no more than fits in all."""
+    rows = [(1, "again and again")] * 5000 + [(2, "x" * 900), (3, "y" * 50), (4, None), (5, "\n" * 30), (1, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = spark.createDataFrame([(i, i % 2) for i in range(1, 7)], "doc_id long, label int")
+    got = q.training_texts(docs, chosen, 10**6).collect()
+    assert sorted((r.doc_id, r.label) for r in got) == [(1, 1), (2, 0), (3, 1), (4, 0), (5, 1)]
+    small = q.training_texts(docs, chosen, 1000).collect()
+    size = lambda t: len(t) + q.LINE_SIZE * (t.count("\n") + 1)
+    assert 0 < sum(size(r.text) for r in small) <= 1000 and 5 not in {r.doc_id for r in small}
+    assert q.training_texts(docs, chosen.limit(0), 1000).count() == 0
+
+
+def test_keep_good_with_names_that_it_might_use(spark):
+    docs = spark.createDataFrame([(1, "A good line.", 7, 8), (2, None, 7, 8)], ["doc_id", "text", "__text", "TEXT_"])
+    model = q.LineField([np.zeros(0)] * len(q.FEATURES), 30.0)
+    assert sorted(map(tuple, q.keep_good(docs, model).collect())) == [(1, "A good line.", 7, 8), (2, None, 7, 8)]
