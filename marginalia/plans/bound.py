@@ -6,12 +6,14 @@ tables of the star schema under the names that the operators ask for.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions.frontmatter import front_matter
-from marginalia.operators import eventlog, extraction, integrity, inventory, leakscan, linkgraph, lint, scoping
+from marginalia.operators import evidence, eventlog, extraction, integrity, inventory, leakscan, linkgraph, lint, scoping
 from marginalia.plans.catalogue import query
 from marginalia.plans.corpora import SQL_NOTES, files, notes, sql_path
 from marginalia.session import table
@@ -479,3 +481,208 @@ def event_kinds(spark, sf):
     counts, last = eventlog.kind_counts(rows), eventlog.latest(rows, "kind", "event_id")
     part = lambda k: F.split_part("kind", F.lit("|"), F.lit(k))
     return counts.join(last, "kind").select(part(1).cast("long").alias("user_id"), part(2).alias("event_type"), F.col("event_id").alias("last_id"), "n")
+
+
+# Gates and reviews --------------------------------------------------------------------
+
+
+@query("""SELECT event_id AS run_id, CASE WHEN event_type <> 'purchase' THEN 'smoke did not pass' WHEN user_id % 5 = 0 THEN 'smoke was corrected'
+  WHEN user_id % 7 = 0 THEN 'smoke published a wiki' WHEN ts <= TIMESTAMP '2024-01-08 00:00:00' THEN 'smoke has expired'
+  WHEN event_id % 11 = 0 THEN 'smoke times are out of order' WHEN user_id % 2 = 0 THEN 'smoke belongs to another binding' END AS reason FROM events""")
+def smoke_reasons(spark, sf):
+    """A smoke report for every event, with faults by its numbers."""
+    i, u = F.col("event_id"), F.col("user_id")
+    report = table(spark, sf, "events").select(
+        i.alias("run_id"), F.when(F.col("event_type") == "purchase", "passed").otherwise("failed").alias("status"), (u % 5 == 0).alias("corrected"),
+        (u % 7 == 0).alias("creates_published_wiki"), F.col("ts").cast("string").alias("expires_at"),
+        F.when(i % 11 == 0, F.col("ts")).otherwise(F.col("ts") - F.expr("INTERVAL 1 HOUR")).cast("string").alias("created_at"),
+        F.when(u % 2 == 0, "other").otherwise("mine").alias("binding_sha256"),
+    )
+    return integrity.smoke_gate(report, "mine", F.to_timestamp(F.lit("2024-01-08 00:00:00"))).select("run_id", "reason")
+
+
+@query("""SELECT (SELECT count(*) FROM documents WHERE lang = 'xx') AS lint, (SELECT count(*) FROM nation WHERE n_regionkey > 99) AS okf,
+  (SELECT count(*) FROM labels WHERE toxic = 1) AS gates, (SELECT count(*) FROM labels WHERE toxic = 1) = 0 AS sealed""")
+def seal_counts(spark, sf):
+    return integrity.seal_gate(
+        table(spark, sf, "documents").filter("lang = 'xx'"), table(spark, sf, "nation").filter("n_regionkey > 99"), table(spark, sf, "labels").filter("toxic = 1"))
+
+
+@query("SELECT p_partkey, p_type AS tool FROM part WHERE contains(lower(p_type), 'promo') OR contains(lower(p_type), 'larg')")
+def tools_refused(spark, sf):
+    return integrity.isolation(table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("tool")), ("promo", "larg"))
+
+
+@query(f"WITH {SQL_NOTES} SELECT path FROM n WHERE folder NOT IN ('concepts', 'cases') UNION ALL SELECT 'log.md' UNION ALL SELECT 'people/unread.md'")
+def stray_notes(spark, sf):
+    return integrity.stray_files(notes(spark, sf).select("path"), ["index.md"], ["concepts", "cases"])
+
+
+@query("SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM orders WHERE starts_with(o_orderpriority, n_nationkey::VARCHAR))")
+def prefixes_missing(spark, sf):
+    """Nations whose number starts no order's priority."""
+    required = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("prefix"), "n_name")
+    labels = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("label")).distinct()
+    return integrity.missing_prefixes(required, labels).select("n_name")
+
+
+@query("SELECT o_orderkey AS path, 'changed' AS status FROM orders WHERE o_totalprice > 100000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
+def forbidden_changes(spark, sf):
+    """Dear orders have changed; those with a large line were allowed to."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.lit("a").alias("sha256"), F.when(F.col("o_totalprice") > 100000, "b").otherwise("a").alias("now"))
+    allowed = table(spark, sf, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("path")).distinct()
+    return integrity.unchanged(orders.select("path", "sha256"), orders.select("path", F.col("now").alias("sha256")), allowed)
+
+
+@query("SELECT sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes, max(doc_id) AS modified FROM documents")
+def activity_total(spark, sf):
+    return integrity.activity(table(spark, sf, "documents").select(F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), F.col("doc_id").alias("modified")))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 80")
+def log_tail(spark, sf):
+    """The last eighty lines of a log, by design."""
+    return integrity.tail(table(spark, sf, "events").select("event_id", "event_type"), 80, "event_id")
+
+
+_ERRORS = ("APITimeoutError", "AuthenticationError", "RateLimitError", "ValueError", "ConnectionNotFoundError", "KeyError")
+
+
+@query(f"SELECT event_id, ({list(_ERRORS)})[event_id % 6 + 1] AS name, event_id % 6 IN (0, 2) AS again FROM events")
+def retries(spark, sf):
+    names = F.array(*map(F.lit, _ERRORS))
+    rows = table(spark, sf, "events").select("event_id", names[(F.col("event_id") % 6).cast("int")].alias("name"))
+    return rows.withColumn("again", eventlog.retryable(F.col("name")))
+
+
+@query("""WITH d AS (SELECT doc_id, least(greatest(doc_id % 40, 1), 39) AS a FROM documents),
+g AS (SELECT packet, page, count(*) AS demand FROM (SELECT doc_id // 50 AS packet, unnest([a, a + 1]) AS page FROM d) GROUP BY ALL),
+r AS (SELECT packet, page, row_number() OVER (PARTITION BY packet ORDER BY demand DESC, page) AS k FROM g)
+SELECT packet, array_to_string(list_sort(list(page) FILTER (WHERE k <= 12)), ',') AS supplied, coalesce(array_to_string(list_sort(list(page) FILTER (WHERE k > 12)), ','), '') AS omitted
+FROM r GROUP BY packet""")
+def packet_evidence(spark, sf):
+    """Pages supplied to packets of fifty documents, each citing two of forty pages."""
+    a = F.least(F.greatest(F.col("doc_id") % 40, F.lit(1)), F.lit(39)).cast("int")
+    packed = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 50).alias("packet"), F.col("doc_id").alias("path"), F.array(a, a + 1).alias("pages"))
+    pages = spark.range(1, 41).select(F.col("id").cast("int").alias("page"), F.lit(100).cast("long").alias("chars"))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    out = evidence.packet_pages(packed, pages)
+    return out.select("packet", text(F.col("supplied")).alias("supplied"), text(F.array_sort("omitted")).alias("omitted"))
+
+
+@query("""SELECT o_custkey AS round, count(*) AS packet_count, count(*) FILTER (WHERE o_orderstatus = 'F') AS material_findings,
+  CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'failed' ELSE 'passed' END AS execution_status,
+  CASE WHEN NOT bool_or(o_orderpriority = '1-URGENT') AND count(*) FILTER (WHERE o_orderstatus = 'F') = 0 THEN 'clear' ELSE 'findings' END AS finding_status,
+  CASE WHEN bool_or(o_orderpriority = '1-URGENT') OR bool_or(o_orderkey % 9 = 0) THEN 'partial' ELSE 'complete' END AS coverage,
+  coalesce(array_to_string(list_sort(list(DISTINCT o_orderkey % 9) FILTER (WHERE o_orderkey % 9 > 0)), ','), '') AS reviewed
+FROM orders GROUP BY o_custkey""")
+def round_reports(spark, sf):
+    """Review rounds made of customers, packets of their orders; page 0 is cited and never supplied."""
+    page = (F.col("o_orderkey") % 9).cast("int")
+    packets = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("round"), F.array(F.lit("n")).alias("notes"), F.when(page > 0, F.array(page)).otherwise(F.array().cast("array<int>")).alias("pages_supplied"),
+        F.array(page).alias("pages_cited"), (F.col("o_orderstatus") == "F").cast("int").alias("findings"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "x").alias("error"), F.lit(0).alias("skipped"), F.lit(0).alias("reduced"),
+    )
+    return evidence.round_report(packets).select(
+        "round", "packet_count", "material_findings", "execution_status", "finding_status", "coverage", F.array_join(F.col("pages_reviewed").cast("array<string>"), ",").alias("reviewed"),
+    )
+
+
+def _joined(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query("""WITH e AS (
+  SELECT 'chapters/01-all.md' AS path, 'scope hub' AS reason UNION ALL SELECT 'sections/0' || r_regionkey || '.md', 'section: ' || r_name FROM region
+  UNION ALL SELECT 'cases/' || lower(n_name) || '.md', 'episode: ' || n_name FROM nation UNION ALL SELECT 'concepts/p' || p_partkey || '.md', 'concept: ' || p_name FROM part
+  UNION ALL SELECT 'people/g' || s_nationkey || '.md', 'role roster: g' || s_nationkey || ' (' || count(*) || ' named)' FROM supplier GROUP BY s_nationkey)
+SELECT path, reason FROM e WHERE path NOT IN (SELECT 'concepts/p' || l_partkey || '.md' FROM lineitem WHERE l_quantity > 49)""")
+def notes_missing(spark, sf):
+    """Notes that an inventory of the star schema calls for; the root notes and those of parts in large lines are there."""
+    t = lambda n: table(spark, sf, n)
+    own = {
+        "chapter": spark.createDataFrame([("01-all",)], "slug string"),
+        "sections": t("region").select(_joined("0", F.col("r_regionkey")).alias("slug"), F.col("r_name").alias("title")),
+        "episodes": t("nation").select(F.lower("n_name").alias("slug"), F.col("n_name").alias("title")),
+        "concepts": t("part").select(_joined("p", F.col("p_partkey")).alias("slug"), F.col("p_name").alias("title")),
+        "people": t("supplier").select(F.col("s_name").alias("name"), _joined("g", F.col("s_nationkey")).alias("group")),
+    }
+    there = t("lineitem").filter("l_quantity > 49").select(_joined("concepts/p", F.col("l_partkey"), ".md").alias("path")).distinct()
+    return inventory.missing_notes(own, "all", there.unionByName(spark.createDataFrame([(p,) for p in inventory.ROOT_NOTES], "path string")))
+
+
+@query("""SELECT 'sections' AS relation, r_name AS slug FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)
+UNION ALL (SELECT 'episodes', n_name FROM nation WHERE n_regionkey = (SELECT min(r_regionkey) FROM region) ORDER BY n_nationkey LIMIT 2)
+UNION ALL (SELECT 'concepts', p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1)
+UNION ALL (SELECT 'people', s_name FROM supplier WHERE s_nationkey = (SELECT s_nationkey FROM supplier ORDER BY s_suppkey LIMIT 1) ORDER BY s_suppkey LIMIT 4)""")
+def narrowed(spark, sf):
+    """A small inventory of the same shape: a sample by design."""
+    t = lambda n: table(spark, sf, n)
+    own = {
+        "sections": t("region").select(F.col("r_regionkey").alias("order"), F.col("r_name").alias("slug")),
+        "episodes": t("nation").select(F.col("n_nationkey").alias("ord"), F.col("n_regionkey").alias("section_order"), F.col("n_name").alias("slug")),
+        "concepts": t("part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("kind"), F.col("p_name").alias("slug")),
+        "people": t("supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_nationkey").cast("string").alias("group"), F.col("s_name").alias("slug")),
+    }
+    out = [df.select(F.lit(name).alias("relation"), "slug") for name, df in inventory.narrow(own).items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT n_name AS slug FROM nation WHERE n_nationkey BETWEEN 3 AND 9 OR n_regionkey BETWEEN 3 AND 9")
+def pages_in_range(spark, sf):
+    rows = table(spark, sf, "nation").select(F.col("n_name").alias("slug"), F.array("n_nationkey", "n_regionkey").alias("pdf_pages"))
+    return inventory.in_page_range(rows, 3, 9).select("slug")
+
+
+# Texts and pages ----------------------------------------------------------------------
+
+
+@query(f"""WITH {SQL_NOTES}
+SELECT path, 'd' || (i + 2) AS wikilink, {sql_path('i + 3')} AS resolved, lower(replace(title, ' ', '-')) || '-in-s' AS person,
+  octet_length(encode(path)) AS byte_length, sha256(path) AS sha256, folder || ', ' || i AS fenced, i % 7 = 0 AS slug_ok FROM n""")
+def text_marks(spark, sf):
+    """Link targets, slugs, fences and byte records made of every note's number."""
+    i, path = F.col("doc_id"), F.col("path")
+    record = T.bytes_record(path.cast("binary"))
+    fence = _joined("intro\n````text\n", T.parent(path), ", ", i, "\n````\nafter")
+    own = notes(spark, sf).filter("doc_id IS NOT NULL").withColumn("to", F.regexp_extract("text", r"\[next\]\(([^)]*)\)", 1))
+    return own.select(
+        "path", T.wikilink_target(_joined(" d", i + 2, "#part|shown")).alias("wikilink"), T.resolve(path, F.col("to")).alias("resolved"),
+        T.person_slug(_joined("Title ", F.pmod(i, F.lit(40))), F.lit("s")).alias("person"), record["byte_length"].cast("long").alias("byte_length"),
+        record["sha256"].alias("sha256"), T.fenced_text(fence).alias("fenced"), T.is_slug(F.when(i % 7 == 0, _joined("a-", i)).otherwise(_joined("A_", i))).alias("slug_ok"),
+    )
+
+
+@query("SELECT doc_id AS page, len(string_split(text, 'e')) - 1 AS soft_hyphens FROM documents WHERE contains(text, 'e')")
+def hyphen_counts(spark, sf):
+    """Soft hyphens per page, one put in place of every e."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.replace("text", F.lit("e"), F.lit(scoping.SOFT_HYPHEN)).alias("text"))
+    return scoping.soft_hyphens(rows)
+
+
+@query("""SELECT page, coalesce(max(quality)::VARCHAR, '') AS text FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM documents))) AS page) d
+LEFT JOIN labels ON doc_id = page GROUP BY page""")
+def every_page(spark, sf):
+    """A text for every page number up to the count of documents, empty where no label is."""
+    found = table(spark, sf, "labels").groupBy(F.col("doc_id").cast("int").alias("page")).agg(F.max("quality").cast("string").alias("text"))
+    return extraction.all_pages_text(found, table(spark, sf, "documents").count()).select(F.col("page").cast("long").alias("page"), "text")
+
+
+@query("SELECT doc_id AS page FROM documents WHERE n_chars % 6 = 0")
+def pages_to_recognise(spark, sf):
+    """Documents whose length divides by six stand for pages without native text."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), (F.col("n_chars") % 6).alias("native_text_characters"))
+    return extraction.ocr_targets(rows, "missing").select("page")
+
+
+@query("""SELECT 'page_record_count' AS "check", true AS ok UNION ALL SELECT 'occurrences_have_pages', (SELECT max(l_orderkey) FROM lineitem) <= (SELECT count(*) FROM documents)
+UNION ALL SELECT 'listed_objects_extracted', (SELECT count(DISTINCT l_partkey) FROM lineitem) = (SELECT count(*) FROM part)
+UNION ALL SELECT 'image_count_matches', true UNION ALL SELECT 'no_image_missed', false""")
+def extraction_checks(spark, sf):
+    """Documents as pages, lines as image occurrences, parts as image objects."""
+    t = lambda n: table(spark, sf, n)
+    pages, objects = t("documents").select(F.col("doc_id").alias("page")), t("part").select(F.col("p_partkey").alias("xref"))
+    seen = t("lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("xref"))
+    n = seen.count()
+    return extraction.checks(pages, seen, objects, pages.count(), listed=seen.select("xref").distinct(), counted_images=n, written_images=n + 1)
