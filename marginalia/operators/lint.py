@@ -63,12 +63,6 @@ def _quoted(x: Column) -> Column:
     return F.when(x.isNull(), F.lit("None")).otherwise(F.concat(F.lit("'"), x, F.lit("'")))
 
 
-def _one_of(df: DataFrame, kind: str, findings: list[tuple[Column, Column]]) -> DataFrame:
-    """Every finding whose condition holds, in one pass over the notes."""
-    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), d) for c, d in findings]))
-    return df.select(F.lit(kind).alias("kind"), F.col("path").alias("file"), F.explode(found).alias("detail"))
-
-
 def parsed(notes: DataFrame) -> DataFrame:
     """notes with fm, the fields of the leading block."""
     return notes.withColumn("fm", front_matter(F.col("text")))
@@ -89,7 +83,7 @@ def lint(notes: DataFrame, files: DataFrame | None = None) -> DataFrame:
     rules = [_issues(every.filter("text IS NULL"), "bad-encoding", F.lit("file is not valid UTF-8"))]
     rules += link_rules(linking, every, files)
     rules += catalogue_rules(readable, files)
-    rules += note_rules(parsed(G.checked(readable)))
+    rules.append(note_rules(parsed(G.checked(readable))))
     titled = G.checked(readable).select("path", T.first_line(T.without_block(F.col("text"))).alias("line")).filter("line LIKE '# %'")
     shared = titled.groupBy(T.strip(F.substr("line", F.lit(3))).alias("title")).agg(F.array_sort(F.collect_list("path")).alias("paths")).filter(F.size("paths") > 1)
     rules.append(_issues(shared.withColumn("path", F.col("paths")[0]), "duplicate-title", F.concat(
@@ -130,41 +124,42 @@ def catalogue_rules(readable: DataFrame, files: DataFrame) -> list[DataFrame]:
     ]
 
 
-def note_rules(notes: DataFrame) -> list[DataFrame]:
-    """Rules over one note each. notes: path, text, fm."""
+def note_rules(notes: DataFrame) -> DataFrame:
+    """Rules over one note each, in one pass. notes: path, text, fm."""
     text, kind = F.col("text"), F.col("fm.type")
     line = T.first_line(T.without_block(text))
     limits = F.regexp_extract(text, LIMITS, 1)
     has_limits = text.rlike(LIMITS)
     lone = F.array_except(F.col("fm.pages"), cited_pages(text))
     pages = F.col("fm.pages_kind")
-    return [
-        _one_of(notes, "no-sources", [(~(text.rlike(SOURCES) | text.rlike(CITATION)), F.lit("no '## Sources' section and no inline citation line"))]),
-        _one_of(notes, "no-title", [(~line.startswith("# "), F.lit("first line is not an H1 title"))]),
-        _one_of(notes, "no-instances", [((kind == "Concept") & ~text.rlike(INSTANCES), F.lit("a Concept must list its instances under '## Instances in scope'"))]),
-        _one_of(notes, "no-guardrail", [((kind == "Concept") & ~text.rlike(GUARDRAIL), F.lit("a Concept must state what it licenses or its evidence status"))]),
-        _one_of(notes, "no-evidence-limits", [
-            ((kind == "Case Dossier") & ~has_limits, F.lit("a Case Dossier must have an '## Evidence limits' section")),
-            ((kind == "Case Dossier") & has_limits & ~limits.rlike(ABSENCE), F.lit("the 'Evidence limits' section names no absence")),
-        ]),
-        _one_of(notes, "bad-locators", [
-            (pages == "not-list", F.lit("'pdf_pages' must be a list of page numbers")),
-            (pages == "not-number", F.lit("'pdf_pages' contains a non-numeric entry")),
-            ((pages == "list") & (F.size(lone) > 0), F.concat(F.lit("front matter claims pages that the body never links: "), F.array_join(F.transform(lone, lambda p: p.cast("string")), ", "))),
-        ]),
-        block_rules(notes, line),
+    rules = [
+        ("no-sources", ~(text.rlike(SOURCES) | text.rlike(CITATION)), F.lit("no '## Sources' section and no inline citation line")),
+        ("no-title", ~line.startswith("# "), F.lit("first line is not an H1 title")),
+        ("no-instances", (kind == "Concept") & ~text.rlike(INSTANCES), F.lit("a Concept must list its instances under '## Instances in scope'")),
+        ("no-guardrail", (kind == "Concept") & ~text.rlike(GUARDRAIL), F.lit("a Concept must state what it licenses or its evidence status")),
+        ("no-evidence-limits", (kind == "Case Dossier") & ~has_limits, F.lit("a Case Dossier must have an '## Evidence limits' section")),
+        ("no-evidence-limits", (kind == "Case Dossier") & has_limits & ~limits.rlike(ABSENCE), F.lit("the 'Evidence limits' section names no absence")),
+        ("bad-locators", pages == "not-list", F.lit("'pdf_pages' must be a list of page numbers")),
+        ("bad-locators", pages == "not-number", F.lit("'pdf_pages' contains a non-numeric entry")),
+        ("bad-locators", (pages == "list") & (F.size(lone) > 0), F.concat(
+            F.lit("front matter claims pages that the body never links: "), F.array_join(F.transform(lone, lambda p: p.cast("string")), ", "))),
+        *[("bad-front-matter", c, d) for c, d in block_rules(line)],
     ]
+    issue = lambda kind, detail: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))
+    cut_short = F.transform(F.col("fm.truncated"), lambda k: issue(
+        "bad-front-matter", F.concat(F.lit("unquoted '#' in front-matter '"), k, F.lit("' - double-quote the value"))))
+    found = F.concat(cut_short, F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), issue(k, d)) for k, c, d in rules])))
+    return notes.select(F.col("path").alias("file"), F.explode(found).alias("i")).select("i.kind", "file", "i.detail")
 
 
-def block_rules(notes: DataFrame, line: Column) -> DataFrame:
-    """The metadata contract; gateways answer for structure and title only."""
+def block_rules(line: Column) -> list[tuple[Column, Column]]:
+    """The metadata contract as (condition, detail); gateways answer for structure and title only."""
     path, fm = F.col("path"), F.col("fm")
     closed, own = fm["closed"], ~G.is_gateway(F.col("path"))
     title, wanted = T.strip(fm["title"]), expected_type(F.col("path"))
     heading = T.strip(F.substr(line, F.lit(3)))
     rest = closed & own
-    structure = F.transform(fm["truncated"], lambda k: F.concat(F.lit("unquoted '#' in front-matter '"), k, F.lit("' - double-quote the value")))
-    findings = [
+    return [
         (~fm["opened"], F.lit("note does not start with a '---' front-matter block")),
         (fm["opened"] & ~closed, F.lit("front-matter block has no closing '---'")),
         (closed & fm["title"].isNull(), F.lit("front matter has no 'title'")),
@@ -179,8 +174,6 @@ def block_rules(notes: DataFrame, line: Column) -> DataFrame:
         (rest & (fm["sources"] < 1), F.lit("'sources' must be a non-empty list of source locators")),
         (rest & (fm["sources"] > 0) & fm["sources_bad"], F.lit("each source entry needs a non-empty 'resource'")),
     ]
-    found = F.concat(structure, F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), d) for c, d in findings])))
-    return notes.select(F.lit("bad-front-matter").alias("kind"), path.alias("file"), F.explode(found).alias("detail"))
 
 
 def audit(notes: DataFrame, *carry: str) -> DataFrame:
