@@ -172,6 +172,13 @@ def _blocks(n: int, dim: int, tasks: int) -> int:
     return max(1, -(-n * max(dim, 1) // BLOCK_NUMBERS), min(tasks, n // LEAST_ROWS))
 
 
+def _in_blocks(rows: DataFrame, n: int, name: str, *order) -> DataFrame:
+    """Adds the number of each row's block, ``n`` ranges of an order; one block needs none."""
+    if n == 1:
+        return rows.withColumn(name, F.lit(0))
+    return rows.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id())
+
+
 def _top_k(spark, base: DataFrame, dim: int, n: int, every: int, k: int) -> DataFrame:
     wanted = max(1, SAMPLE_NUMBERS // max(dim, 1))
     share = min(1.0, wanted / max(n, 1))
@@ -205,13 +212,12 @@ def _top_k(spark, base: DataFrame, dim: int, n: int, every: int, k: int) -> Data
     # The length below which no candidate counts for a query.
     needed = F.when(F.col("norm2") > 0, F.col("bound") / F.sqrt("norm2")).otherwise(F.lit(float(LOWEST)))
     queries = cut(
-        asked.withColumn("needed", needed).repartitionByRange(_blocks(asked.count(), dim, 1), "needed", "row_no")
-        .select(F.spark_partition_id().alias("q_block"), "vec_id", "v", "bound", "needed"),
+        _in_blocks(asked.withColumn("needed", needed), _blocks(asked.count(), dim, 1), "q_block", "needed", "row_no")
+        .select("q_block", "vec_id", "v", "bound", "needed"),
         "query-blocks",
     )
     ranged = cut(
-        base.repartitionByRange(_blocks(n, dim, tasks), F.desc("norm2"), "row_no")
-        .select(F.spark_partition_id().alias("block"), "vec_id", "v", "norm2"),
+        _in_blocks(base, _blocks(n, dim, tasks), "block", F.desc("norm2"), "row_no").select("block", "vec_id", "v", "norm2"),
         "blocks",
     )
     longest = ranged.groupBy("block").agg(F.sqrt(F.max("norm2")).alias("longest"))
