@@ -171,9 +171,11 @@ def decide_in_order(docs: DataFrame, index: DigestIndex) -> DataFrame:
         cut(index.ingest(own.filter(part), name), "half") for name, part in (("lower", lower), ("upper", ~lower))
     ]
     both = halves[0].unionByName(halves[1])
-    sizes = (
+    # Written, so that the join below has two plain sides and a hot digest can be split.
+    sizes = cut(
         halves[0].select("digest", "group_size").distinct().unionByName(halves[1].select("digest", "group_size").distinct())
-        .groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+        .groupBy("digest").agg(F.sum("group_size").alias("group_size")),
+        "sizes",
     )
     return both.drop("group_size").join(sizes, "digest").select("doc_id", "digest", "keep_id", "group_size", "kept")
 
