@@ -1,4 +1,4 @@
-"""python -m marginalia: query, lint, verify, status and profile checks over a note folder."""
+"""python -m marginalia: query, lint, verify, status, profiles and their locks over a note folder."""
 
 from __future__ import annotations
 
@@ -72,6 +72,21 @@ def run_status(spark, args) -> int:
     return 5 if faults else 0
 
 
+def run_profile_init(spark, args) -> int:
+    """A starter profile beside an extraction that left metadata.json and page texts."""
+    try:
+        known = files.json_document(spark, f"{args.extraction}/metadata.json", "metadata").get("pdf", {}).get("metadata", {})
+        rows = spark.createDataFrame([(k, v) for k, v in known.items() if isinstance(v, str)], "key string, value string")
+        name = args.extraction.rstrip("/").rsplit("/", 1)[-1]
+        data = profiles.infer_profile(rows, files.page_texts(spark, args.extraction).select("page"), args.pdf, name)
+        sinks.atomic_text(spark, args.output, files.dumps(data), overwrite=False)
+    except (ValueError, FileExistsError) as e:
+        print(e, file=sys.stderr)
+        return 2
+    print(profiles.sha256_json(data))
+    return 0
+
+
 def run_profile(spark, args) -> int:
     try:
         own = profiles.check_profile(files.json_document(spark, args.profile, "profile"))
@@ -116,6 +131,7 @@ def parser() -> argparse.ArgumentParser:
     verify.add_argument("--checksums")
     add("status", run_status, "run")
     add("init", run_init, "output")
+    add("profile-init", run_profile_init, "extraction", "pdf", "output")
     own = add("profile", run_profile, "action", "profile")
     own.add_argument("--extraction")
     own.add_argument("--output")

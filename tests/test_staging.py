@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia import cli
 from marginalia.operators import extraction, leakscan, linkgraph, scoping
 from marginalia.plans import profile as P
 from marginalia.sources import sinks
@@ -63,6 +64,20 @@ def test_a_plan_is_frozen_once(spark, tmp_path):
     assert json.load(open(f"{tmp_path}/plan.json")) == record
 
 
+def test_profile_init_from_the_command_line(spark, tmp_path, capsys):
+    folder = tmp_path / "tide"
+    (folder / "text" / "native-pages").mkdir(parents=True)
+    for k in (1, 2):
+        (folder / "text" / "native-pages" / f"page-{k:04}.txt").write_text(f"page {k}")
+    (folder / "metadata.json").write_text(json.dumps({"pdf": {"metadata": {"title": "The Tide", "pages": 2}}}))
+    out = f"{tmp_path}/profile.json"
+    assert cli.main(["profile-init", str(folder), "the_tide.pdf", out], spark) == 0
+    data = json.load(open(out))
+    assert data["document"]["id"] == "the-tide" and data["scope"]["primary_pages"] == [1, 2] and data["source"] == {"pdf": "the_tide.pdf", "extraction": "tide"}
+    assert capsys.readouterr().out.strip() == P.check_profile(data).sha256
+    assert cli.main(["profile-init", str(folder), "the_tide.pdf", out], spark) == 2
+
+
 def test_extraction_checks(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     own = frame([(1,), (2,)], "page int")
