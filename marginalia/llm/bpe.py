@@ -34,7 +34,7 @@ _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 # The same pattern for texts of ASCII and Latin letters alone, where its classes are short.
 LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 PLAIN = re.compile(f"[\t-\r -~{LETTER}]*")
-_PLAIN_WORD = re.compile(
+PLAIN_WORD = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+"
     rf"| ?[^\t-\r {LETTER}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
@@ -149,7 +149,7 @@ class MergeRounds:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         plain = [bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        cut_up = [_PLAIN_WORD.findall(t) if p else self._chunks(t) for t, p in zip(texts, plain, strict=True)]
+        cut_up = [PLAIN_WORD.findall(t) if p else self._chunks(t) for t, p in zip(texts, plain, strict=True)]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         # A plain text's word and another text's chunk of the same letters have the same ids.
