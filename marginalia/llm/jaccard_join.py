@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import cut, delete, keep_rows, map_texts, portions, release, scratch_path, text_key
+from marginalia.llm.common import cut, delete, hash_bitmap, keep_rows, map_texts, portions, release, scratch_path, text_key
 from marginalia.llm.components import components
 
 WORDS = 5
@@ -47,8 +47,6 @@ MAX_HEAVY = 200_000
 BLOCK, LEAST = 2_000_000, 4
 #: Fragments of the global order; as many more, doubling, as keep parts near LARGEST_PART.
 FRAGMENTS, LARGEST_PART = 4, 16_384
-#: Bound on the bitmap of rows to read again; 8 MB.
-MAX_FILTER_BITS = 1 << 26
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -295,41 +293,6 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ).mapInArrow(run, "a long, b long, size_a long, size_b long")
 
 
-def row_filter(wanted: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A bitmap of the wanted rows (``n`` at most) by hash, and the bits to shift a hash by.
-
-    16 bits a row, MAX_FILTER_BITS at most: what it lets through beyond the wanted rows
-    (a sixteenth at first, more once the bound is met) only costs a shuffle.
-    """
-    log = 16
-    while (1 << log) < min(16 * n, MAX_FILTER_BITS):
-        log += 1
-    chunk = 16  # bits of a chunk of the map, as a logarithm
-
-    def mark(batches):
-        import pyarrow as pa
-
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slots = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - log)
-            for c in np.unique(slots >> np.uint64(chunk)).tolist():
-                bits = own.setdefault(c, np.zeros(1 << chunk, dtype=bool))
-                bits[(slots[slots >> np.uint64(chunk) == c] & np.uint64((1 << chunk) - 1)).astype(np.int64)] = True
-        d = {"chunk": list(own), "bits": [np.packbits(b, bitorder="little").tobytes() for b in own.values()]}
-        yield pa.RecordBatch.from_arrays([pa.array(d["chunk"], pa.int64()), pa.array(d["bits"], pa.binary())], names=list(d))
-
-    rows = (
-        wanted.select(F.xxhash64("doc_id", "text_key").alias("h"))
-        .repartition(1 << max(0, log - 22), F.shiftrightunsigned("h", 64 - log + chunk))
-        .mapInArrow(mark, "chunk long, bits binary").collect()
-    )
-    bits = np.zeros(1 << (log - 3), dtype=np.uint8)
-    size = 1 << (chunk - 3)
-    for r in rows:
-        bits[r["chunk"] * size : (r["chunk"] + 1) * size] |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return bits, 64 - log
-
-
 def fragments_of(size: int) -> int:
     """Fragments that a pair is counted in, by the size of its larger set."""
     n = FRAGMENTS
@@ -361,18 +324,16 @@ class Fragments:
         self.name = self.path.rsplit("/", 1)[1].replace("-", "_")
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         wanted = classes.join(ends, "cls", "left_semi").select("doc_id", "text_key")
-        sent = spark.sparkContext.broadcast(row_filter(wanted, 2 * n_pairs))
+        sent = spark.sparkContext.broadcast(hash_bitmap(wanted.select(F.xxhash64("doc_id", "text_key").alias("h")), 2 * n_pairs))
 
         def run(batches):
             import pyarrow as pa
             import xxhash
 
-            bits, shift = sent.value
             sent_on: set[int] = set()  # classes of this task: copies that slipped through go once
             for batch in batches:
-                slots = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)
-                hit = (bits[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
-                for texts in portions(batch.column(1).filter(pa.array(hit.astype(bool)))):
+                hit = sent.value.holds(batch.column(0).to_numpy())
+                for texts in portions(batch.column(1).filter(pa.array(hit))):
                     d = {"cls": [], "cuts": [], "fragment": [], "part": []}
                     for text in texts:
                         own = shingle_hashes(text)

@@ -97,6 +97,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(rows.unionByName(probe)))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import token_counts
 
@@ -107,6 +113,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_exact_topk, op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op7_quality_classifier,
-        op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting, op13_token_counts,
+        op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting, op12_filter_audit, op13_token_counts,
     )
 }
