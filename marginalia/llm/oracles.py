@@ -60,6 +60,44 @@ FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN least_of ON least_of.u = sets.rep
 """
 
 
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, part, min({{'d': xx - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'k': k}}) AS best
+  FROM p JOIN c{r} USING (part) GROUP BY rid, part
+)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT part, k, coalesce(m.c, b.c) AS c FROM c{r} b LEFT JOIN (
+    SELECT part, k, list(mean ORDER BY j) AS c FROM (
+      SELECT part, best.k AS k, j, floor(sum(x[j]) / count(*)) AS mean
+      FROM a{r} JOIN p USING (rid, part), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS j) GROUP BY part, best.k, j
+    ) GROUP BY part, k
+  ) m USING (part, k)
+)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, [floor(4096 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+p AS MATERIALIZED (
+  SELECT *, list_inner_product(x, x) AS xx FROM (
+    SELECT rid, part, e[1 + part * len(e) // {parts}:(1 + part) * len(e) // {parts}] AS x FROM v, (SELECT unnest(range({parts})) AS part)
+  )
+),
+c0 AS MATERIALIZED (
+  SELECT part, k, x AS c FROM p JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS k FROM v) USING (rid) WHERE k < {entries}
+),{",".join(steps)},
+f AS (SELECT rid, string_agg(printf('%02x', best.k), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string([x::BIGINT FOR x IN c], ','), ',' ORDER BY part, k)) FROM c{rounds}) AS codebooks_sha256
+FROM v JOIN f USING (rid)
+"""
+
+
 OP12 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -159,4 +197,4 @@ FROM d LEFT JOIN one USING (rid)
 """
 
 
-ORACLES = {"op2_exact_topk": OP2, "op4_exact_dedup": OP4, "op8_ngram_jaccard": OP8, "op9_secret_scans": _op9(), "op12_filter_audit": OP12}
+ORACLES = {"op2_exact_topk": OP2, "op4_exact_dedup": OP4, "op8_ngram_jaccard": OP8, "op9_secret_scans": _op9(), "op11_vector_codes": _op11(), "op12_filter_audit": OP12}

@@ -97,6 +97,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(rows.unionByName(probe)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import vector_codes
+
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    rows = coded.select("row.vec_id", "row.label", F.lower(F.hex("code")).alias("code"), "error", "length")
+    labels = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    made = F.coalesce(*[F.when(F.col("length") == n, vector_codes.digest(book)) for n, book in books.items()], F.lit(None).cast("string"))
+    return rows.join(labels, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", made.alias("codebooks_sha256"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import filter_audit
 
@@ -113,6 +123,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_exact_topk, op3_best_fit_packing, op4_exact_dedup, op5_url_filters, op6_bpe, op7_quality_classifier,
-        op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting, op12_filter_audit, op13_token_counts,
+        op8_ngram_jaccard, op9_secret_scans, op10_chat_formatting, op11_vector_codes, op12_filter_audit, op13_token_counts,
     )
 }
