@@ -6,11 +6,15 @@ Two sets that link must share a shingle among their first n - ceil(0.8 n) + 1 in
 order. Equal sets are one class and meet as one row.
 
 1. ``profile``: size, class and parity bitmap of every set, and the heavy shingles.
-2. ``prefixes``: shared prefix shingles as posting rows.
+2. ``settled_order``: shingles that stand in too many prefixes, because counting missed
+   them, become heavy, until none does; then ``prefixes`` gives the shared prefix shingles
+   as posting rows.
 3. Leaders: each posting list compares its members with the one in which the shingle
    comes earliest, which joins a group of near copies by as many pairs as it has members.
 4. Exact round: pairs on a posting list that lie in different components, within the
-   size and position bounds. Groups already joined give no pairs among themselves.
+   size and position bounds: the smaller set names the sizes that its place on the list
+   leaves possible. Groups already joined give no pairs among themselves; long lists are
+   compared in squares of bounded size.
 
 Pairs pass the bitmap bound (the parity of hashed shingles differs in at most as many
 bits as the sets differ in shingles), then are counted: the order is cut into vertical
@@ -33,9 +37,8 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from marginalia.llm.common import cut, delete, hash_bitmap, keep_rows, map_texts, portions, release, scratch_path, text_key
+from marginalia.llm.common import HashBitmap, cut, delete, hash_bitmap, keep_rows, map_texts, portions, release, scratch_path, text_key
 from marginalia.llm.components import components
 
 WORDS = 5
@@ -43,6 +46,11 @@ PERCENT = 80
 #: A shingle in this share of all documents is heavy; at most MAX_HEAVY are told apart.
 HEAVY_SHARE = 0.001
 MAX_HEAVY = 200_000
+#: A list of so many times that length is heavy although lossy counting did not see it.
+MISSED = 4
+#: Sizes on a list are told apart by steps of this ratio; at most so many rows of a list
+#: and step, on either side, are compared in one square.
+SIZE_STEP, SQUARE = 1.05, 2_000
 #: Lossy counting: a block of so many shingles reports those it holds LEAST times or more.
 BLOCK, LEAST = 2_000_000, 4
 #: Fragments of the global order; as many more, doubling, as keep parts near LARGEST_PART.
@@ -142,22 +150,55 @@ def profile(docs: DataFrame) -> DataFrame:
     return map_texts(rows, run, schema)
 
 
+def heavy_at(n_docs: int) -> int:
+    return max(16, int(HEAVY_SHARE * n_docs))
+
+
 def heavy_shingles(profiled: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the heavy shingles in order of the hash, and each one's place by count."""
+    """Hashes of the heavy shingles, and their counts as far as blocks reported them."""
     rows = (
         profiled.filter("kind = 1").groupBy("cls").agg(F.sum("size").alias("n"))
-        .filter(F.col("n") >= max(16, int(HEAVY_SHARE * n_docs)))
+        .filter(F.col("n") >= heavy_at(n_docs))
         .orderBy(F.desc("n"), "cls").limit(MAX_HEAVY).collect()
     )
     hashes = np.array([r["cls"] for r in rows], dtype=np.int64).view(np.uint64)
     counts = np.array([r["n"] for r in rows], dtype=np.int64)
+    return hashes, counts
+
+
+def places(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heavy shingles in order of the hash, and each one's place by count."""
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
-    place = np.empty(len(rows), dtype=np.int64)
-    place[np.lexsort((hashes, counts))] = np.arange(len(rows))
+    place = np.empty(len(hashes), dtype=np.int64)
+    place[np.lexsort((hashes, counts))] = np.arange(len(hashes))
     return hashes, place
 
 
+def settled_order(docs: DataFrame, profiled: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """The heavy shingles, their places, and the table of shingles that several classes' prefixes hold.
+
+    Prefixes are counted with partial aggregation, so a shingle in many of them is one row
+    a task. Those that counting missed join the heavy ones, which changes the prefixes.
+    """
+    hashes, counts = heavy_shingles(profiled, n_docs)
+    while True:
+        heavy, place = places(hashes, counts)
+        lists = cut(
+            prefixes(docs, heavy, place).groupBy("shingle", "heavy")
+            .agg(F.count("*").alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high"), "lists"
+        )
+        missed = (
+            lists.filter("NOT heavy").filter(F.col("n") > MISSED * heavy_at(n_docs))
+            .orderBy(F.desc("n"), "shingle").limit(max(0, MAX_HEAVY - len(hashes))).collect()
+        )
+        if not missed:
+            return heavy, place, lists
+        release(lists)
+        hashes = np.concatenate([hashes, np.array([r["shingle"] for r in missed], dtype=np.int64).view(np.uint64)])
+        counts = np.concatenate([counts, np.array([r["n"] for r in missed], dtype=np.int64)])
+
+
 def in_order(own: np.ndarray, heavy: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
     """The set in the global order, and how many of its shingles are not heavy."""
     if not heavy.size:
@@ -168,15 +209,18 @@ def in_order(own: np.ndarray, heavy: np.ndarray, place: np.ndarray) -> tuple[np.
     return np.concatenate([rare, common[np.argsort(place[at[is_heavy]])]]), rare.size
 
 
-def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray) -> DataFrame:
-    """Posting rows: shingle, cls, at (size in the upper, position in the lower 32 bits), heavy."""
-    sent = docs.sparkSession.sparkContext.broadcast((heavy, place))
+def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray, wanted: HashBitmap | None = None) -> DataFrame:
+    """Posting rows: shingle, cls, at (size in the upper, position in the lower 32 bits), heavy.
+
+    With ``wanted``, a bitmap, only rows of shingles that it holds.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((heavy, place, wanted))
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        heavy, place = sent.value
+        heavy, place, wanted = sent.value
         names = ["shingle", "cls", "at", "heavy"]
         parts: list[list[np.ndarray]] = [[], [], [], []]
         held = 0
@@ -195,11 +239,13 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray) -> DataFrame
                     ordered, rare = in_order(own, heavy, place)
                     length = n - -(-PERCENT * n // 100) + 1
                     where = np.arange(length, dtype=np.int64)
-                    parts[0].append(_signed(ordered[:length]))
-                    parts[1].append(np.full(length, cls, dtype=np.int64))
+                    if wanted is not None:
+                        where = where[wanted.holds(ordered[:length])]
+                    parts[0].append(_signed(ordered[where]))
+                    parts[1].append(np.full(where.size, cls, dtype=np.int64))
                     parts[2].append((n << 32) | where)
                     parts[3].append(where >= rare)
-                    held += length
+                    held += where.size
                     if held >= 200_000:
                         yield ready()
                         parts, held = [[], [], [], []], 0
@@ -209,19 +255,14 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray) -> DataFrame
     return map_texts(docs.select(F.col("text").cast("string")), run, "shingle long, cls long, at long, heavy boolean")
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """Distinct posting rows of the shingles that two classes or more have.
+def postings(docs: DataFrame, heavy: np.ndarray, place: np.ndarray, lists: DataFrame) -> DataFrame:
+    """Distinct posting rows of the shingles that several classes have.
 
-    A shingle that is not heavy has few rows by definition, so a window over it is
-    small. Heavy ones are all kept, after partial aggregation.
+    Tasks drop other rows by a bitmap before the shuffle; what it lets through is a list
+    of one class, which gives no pair.
     """
-    every = Window.partitionBy("shingle")
-    shared = (
-        rows.filter("NOT heavy").select("shingle", "cls", "at")
-        .withColumns({"low": F.min("cls").over(every), "high": F.max("cls").over(every)})
-        .filter("low < high").select("shingle", "cls", "at").distinct()
-    )
-    return shared.unionByName(rows.filter("heavy").select("shingle", "cls", "at").distinct())
+    wanted = hash_bitmap(lists.select("shingle"), lists.count())
+    return prefixes(docs, heavy, place, wanted).select("shingle", "cls", "at").distinct()
 
 
 def _fits(a: str, b: str):
@@ -250,27 +291,51 @@ def leader_pairs(posts: DataFrame) -> DataFrame:
     )
 
 
-def cross_pairs(posts: DataFrame, labels: DataFrame, n_posts: int) -> DataFrame:
+def _step(size) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.lit(math.log(SIZE_STEP))).cast("int")
+
+
+def reach(at: str) -> Column:
+    """The largest size, of its own or more, that a set can link with from its place on a list."""
+    size, left = F.shiftright(F.col(at), 32), F.shiftright(F.col(at), 32) - F.col(at).bitwiseAND(F.lit(0xFFFFFFFF))
+    by_size = F.floor(F.lit(100) * size / F.lit(PERCENT))
+    return F.least(by_size, F.floor(F.lit(100 + PERCENT) * left / F.lit(PERCENT)) - size)
+
+
+def cross_pairs(posts: DataFrame, labels: DataFrame, n_posts: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of a posting list that lie in different components, and the table to release.
 
-    Sizes of a pair differ by a quarter at most, so a list is joined by classes of sizes
-    (each a little wider than that): a class with itself and with the one below.
+    The smaller set of a pair (the lesser class of equal sizes) looks for the other among
+    the steps of size that its reach allows; from the later places of a list there are
+    none. A list and step with many rows is a grid: the smaller sets are dealt into rows
+    and the larger ones into columns, and every square is joined on its own.
     """
-    size_class = F.floor(F.log(F.shiftright("at", 32).cast("double")) / F.lit(math.log(101 / PERCENT)))
     named = posts.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn(
         "label", F.coalesce("label", "cls")
     )
     mixed = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    size = F.shiftright("at", 32)
     open_lists = cut(
-        named.join(mixed.select("shingle"), "shingle", "left_semi").withColumn("sizes", size_class), "open", n_posts
+        named.join(mixed.select("shingle"), "shingle", "left_semi").withColumns({"own": _step(size), "last": _step(reach("at"))}),
+        "open", n_posts,
+    )
+    asking = open_lists.filter(reach("at") >= size).select(
+        "shingle", F.explode(F.sequence("own", "last")).alias("step"), F.col("cls").alias("a"), "at", "label"
     )
-    other = open_lists.select(
-        "shingle", F.explode(F.array("sizes", F.col("sizes") + 1)).alias("sizes"), F.col("sizes").alias("sizes_b"),
-        F.col("cls").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"),
+    asked = open_lists.select(
+        "shingle", F.col("own").alias("step"), F.col("cls").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b")
     )
+    cells = lambda rows, name: rows.groupBy("shingle", "step").agg(F.ceil(F.count("*") / F.lit(SQUARE)).alias(name))
+    grid = cells(asking, "n_rows").join(cells(asked, "n_columns"), ["shingle", "step"]).filter("n_rows > 1 OR n_columns > 1")
+    one = lambda c: F.coalesce(c, F.lit(1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), one(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (one(n) - 1).cast("int")))
+    left = asking.join(grid, ["shingle", "step"], "left").withColumns({"row": dealt("a", "n_rows"), "column": every("n_columns")})
+    right = asked.join(grid, ["shingle", "step"], "left").withColumns({"column": dealt("b", "n_columns"), "row": every("n_rows")})
+    larger = F.shiftright("at_b", 32)
     pairs = (
-        open_lists.withColumnRenamed("cls", "a").hint("merge").join(other, ["shingle", "sizes"])
-        .filter(((F.col("sizes") > F.col("sizes_b")) | (F.col("a") < F.col("b"))) & (F.col("label") != F.col("label_b")) & _fits("at", "at_b"))
+        left.drop("n_rows", "n_columns").hint("merge").join(right.drop("n_rows", "n_columns"), ["shingle", "step", "row", "column"])
+        .filter(((larger > size) | ((larger == size) & (F.col("a") < F.col("b")))) & (F.col("label") != F.col("label_b")) & _fits("at", "at_b"))
         .select(*_pair()).distinct()
     )
     return pairs, open_lists
@@ -293,19 +358,14 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ).mapInArrow(run, "a long, b long, size_a long, size_b long")
 
 
-def fragments_of(size: int) -> int:
-    """Fragments that a pair is counted in, by the size of its larger set."""
-    n = FRAGMENTS
-    while n * LARGEST_PART < size:
-        n *= 2
-    return n
+def fragment_steps(largest_part: int) -> list[tuple[int, int]]:
+    """(largest size, number of fragments) in which a pair with a larger set of that size is counted."""
+    return [(largest_part * FRAGMENTS << k, FRAGMENTS << k) for k in range(32)]
 
 
-def _fragments_of(size: Column) -> Column:
-    out, n = F.lit(1 << 40), 1 << 30
-    while n >= FRAGMENTS:
-        out, n = F.when(size <= n * LARGEST_PART, F.lit(n)).otherwise(out), n // 2
-    return out
+def fragments_of(size: int, steps: list[tuple[int, int]] | None = None) -> int:
+    """Fragments that a pair is counted in, by the size of its larger set."""
+    return next(n for most, n in steps or fragment_steps(LARGEST_PART) if size <= most)
 
 
 class Fragments:
@@ -319,6 +379,8 @@ class Fragments:
 
     def __init__(self, docs: DataFrame, pairs: DataFrame, n_pairs: int, classes: DataFrame):
         spark = docs.sparkSession
+        # The driver settles the steps once; tasks and the join of pairs use these.
+        self.steps = steps = fragment_steps(LARGEST_PART)
         self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = scratch_path(spark, "fragments")
         self.name = self.path.rsplit("/", 1)[1].replace("-", "_")
@@ -343,7 +405,7 @@ class Fragments:
                         if cls in sent_on:
                             continue
                         sent_on.add(cls)
-                        for cuts in {fragments_of(own.size), fragments_of(100 * own.size // PERCENT)}:
+                        for cuts in {fragments_of(own.size, steps), fragments_of(100 * own.size // PERCENT, steps)}:
                             pivots = np.arange(1, cuts, dtype=np.uint64) << np.uint64(64 - cuts.bit_length() + 1)
                             at = [0, *np.searchsorted(own, pivots).tolist(), own.size]
                             for k in range(cuts):
@@ -373,7 +435,8 @@ class Fragments:
         side = lambda x: self.rows.select(
             F.col("cls").alias(x), F.col("cuts").alias(f"cuts_{x}"), "fragment", F.col("part").alias(f"part_{x}")
         )
-        asked = pairs.withColumn("cuts", _fragments_of(F.greatest("size_a", "size_b")))
+        size = F.greatest("size_a", "size_b")
+        asked = pairs.withColumn("cuts", F.coalesce(*[F.when(size <= most, n) for most, n in self.steps]))
         partial = (
             asked.join(side("a"), "a").filter("cuts = cuts_a").join(side("b"), ["b", "fragment"]).filter("cuts - cuts_b = 0")
             .select("a", "b", "size_a", "size_b", F.size(F.array_intersect("part_a", "part_b")).alias("n"))
@@ -409,14 +472,15 @@ def join(docs: DataFrame) -> DataFrame:
     profiled = cut(profile(docs), "profile")
     rows = profiled.filter("kind = 0")
     n_docs = rows.count()
-    heavy, place = heavy_shingles(profiled, n_docs)
+    heavy, place, lists = settled_order(docs, profiled, n_docs)
     classes = cut(
         rows.filter("cls IS NOT NULL").groupBy("cls").agg(
             F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "size", "bits")).alias("first")
         ).select("cls", "first.doc_id", "first.text_key", "first.size", "first.bits"),
         "classes", 8 * n_docs,  # bitmaps make these rows wide
     )
-    posts = cut(postings(prefixes(docs, heavy, place)), "postings")
+    posts = cut(postings(docs, heavy, place, lists), "postings")
+    release(lists)
     n_posts = posts.count()
     links, n_links = counted(docs, leader_pairs(posts), classes, n_posts)
     labels = cut(components(links, n_links), "labels", n_links)

@@ -139,3 +139,55 @@ def test_parts_of_large_sets_stay_small(spark, monkeypatch):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.join(frame).collect()), key=repr)
     assert got == brute(rows)
     assert {j.fragments_of(n) for n in (32, 33, 64, 65)} == {4, 8, 16}
+
+
+def test_shingles_that_counting_missed_become_heavy(spark, monkeypatch):
+    """No list of a shingle that is not heavy is long, even if lossy counting saw none."""
+    monkeypatch.setattr(j, "LEAST", 10**9)
+    rng = random.Random(11)
+    shared = [f"s{k}" for k in range(40)]
+    rows = [(k, " ".join(shared[: rng.choice([20, 30, 40])] + [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, 2, 4, 12]))])) for k in range(160)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    profiled = j.profile(frame).cache()
+    heavy, place, lists = j.settled_order(frame, profiled, len(rows))
+    longest = j.MISSED * j.heavy_at(len(rows))
+    assert len(heavy) and lists.filter("NOT heavy").agg({"n": "max"}).first()[0] <= longest
+    assert sorted(place.tolist()) == list(range(len(heavy)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.join(frame).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_unlinked_texts_with_shared_boilerplate_give_no_pairs(spark, monkeypatch):
+    """Four fifths of each text are the same; none links, and none looks for another one."""
+    monkeypatch.setattr(j, "LEAST", 10**9)
+    rng = random.Random(12)
+    rows = [(k, " ".join([f"s{i}" for i in range(84)] + [f"x{rng.randrange(10**9)}" for _ in range(20)])) for k in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    heavy, place, lists = j.settled_order(frame, j.profile(frame), len(rows))
+    posts = j.postings(frame, heavy, place, lists).cache()
+    none = spark.createDataFrame([], "node long, label long")
+    assert posts.groupBy("shingle").count().agg({"count": "max"}).first()[0] == len(rows)
+    pairs, _ = j.cross_pairs(posts, none, posts.count())
+    assert pairs.count() == 0 and posts.filter(j.reach("at") >= j.F.shiftright("at", 32)).count() == 0
+    assert {r.component_id for r in j.join(frame).collect()} == set(range(120))
+
+
+@pytest.mark.parametrize("square", [1, 7])
+def test_squares_of_a_long_list_lose_nothing(spark, monkeypatch, square):
+    monkeypatch.setattr(j, "SQUARE", square)
+    rows = corpus(13, 60)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.join(frame).collect()), key=repr)
+    assert got == brute(rows)
+    # Without labels every pair within the bounds comes out, whatever the squares.
+    heavy, place, lists = j.settled_order(frame, j.profile(frame), len(rows))
+    posts = j.postings(frame, heavy, place, lists).cache()
+    pairs, _ = j.cross_pairs(posts, spark.createDataFrame([], "node long, label long"), posts.count())
+    sets = defaultdict(list)
+    for r in posts.collect():
+        sets[r.shingle].append((r.cls, r.at >> 32, (r.at >> 32) - (r.at & 0xFFFFFFFF)))
+    want = {
+        (min(a, b), max(a, b)) for own in sets.values() for a, m, left in own for b, n, other in own
+        if a < b and 100 * min(m, n) >= 80 * max(m, n) and min(left, other) >= -(-80 * (m + n) // 180)
+    }
+    assert {tuple(r) for r in pairs.collect()} == want
