@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from py4j.protocol import Py4JJavaError
@@ -34,8 +35,43 @@ def shared_dir(spark: SparkSession) -> str:
 _OWN: str | None = None
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one.
+
+    The store is told to delete it when the driver's JVM ends, with or without a session.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{RUN}{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        where, store = _store(spark, path)
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+        _RUNS.add(path)
+    return path
+
+
+RUN = "marginalia-"
+_RUNS: set[str] = set()
+
+
+def sweep(spark: SparkSession, hours: float) -> list[str]:
+    """Delete the folders of runs that have written nothing for so long, as after a killed driver."""
+    root = shared_dir(spark).rstrip("/")
+    now = spark.sparkContext._jvm.java.lang.System.currentTimeMillis()
+    gone = []
+    for name in listed(spark, root):
+        path = f"{root}/{name}"
+        if not name.startswith(RUN) or path in _RUNS:
+            continue
+        where, store = _store(spark, path)
+        latest = max([store.getFileStatus(where).getModificationTime(), *[f.getModificationTime() for f in store.listStatus(where)]])
+        if now - latest >= hours * 3_600_000:
+            store.delete(where, True)
+            gone.append(name)
+    return gone
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 #: Rows of a narrow table in one file, where the number of rows is known.
@@ -49,28 +85,38 @@ def cut(df: DataFrame, what: str = "cut", rows: int | None = None) -> DataFrame:
     them. The columns keep their names and types. ``rows``, the rough number of rows,
     keeps narrow tables from becoming one small file per shuffle partition: they are
     dealt anew, so the work before them runs in as many tasks as it would without.
-    What is not released is deleted when this process ends.
+    What is not released is deleted when the driver's JVM ends.
     """
     path = scratch_path(df.sparkSession, what)
     (df if rows is None else df.repartition(1 + rows // FILE_ROWS)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
-    _WRITTEN.append(path)
+    if _WITHIN:
+        _WITHIN[-1].append(out)
     return out
 
 
-_WRITTEN: list[str] = []
+_WITHIN: list[list[DataFrame]] = []
+
 
+@contextmanager
+def temporary():
+    """Deletes at the end what is cut inside, but for frames handed to the function it gives."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
 
-@atexit.register
-def _clean() -> None:
-    """Delete the scratch files that this process wrote, if its JVM still answers."""
-    spark = SparkSession.getActiveSession()
-    for path in _WRITTEN if spark else []:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  at exit the JVM may be gone already
-            return
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _WITHIN.append(own)
+    try:
+        yield keep
+    finally:
+        _WITHIN.pop()
+        release(*[df for df in own if not any(df is k for k in kept)])
+        if _WITHIN:
+            _WITHIN[-1].extend(kept)
 
 
 def _store(spark: SparkSession, path: str):
@@ -181,15 +227,8 @@ def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     return kept.filter(F.col(n) == 1).unionByName(repeats).select(*own_columns(docs))
 
 
-#: Rows of an Arrow batch of texts: texts may be long, and a worker holds a batch whole.
-BATCH_ROWS = 1_000
-
-
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` over rows with texts, in small batches unless the session says how large."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` over rows with texts; the session bounds a batch, in rows and in bytes."""
     return df.mapInArrow(run, schema)
 
 

@@ -28,7 +28,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
-    """node, label for every node of an edge (u, v); label is the component's least node.
+    """node, label for every node of an edge (u, v); label is the component's least node. A cut frame.
 
     ``rows``: the rough number of edges, if it is known. A round is both stars and one
     write; it is the last when it leaves the edges as they were.
@@ -44,6 +44,10 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         state = now
         before, edges = edges, cut(_star(_star(edges, True), False), "star", now[0])
         release(before)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    labels = cut(
+        edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
+            edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+        ), "labels", rows,
     )
+    release(edges)
+    return labels

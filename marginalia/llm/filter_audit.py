@@ -33,7 +33,7 @@ from itertools import combinations, permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import cut, hash_bitmap, map_texts, release
+from marginalia.llm.common import cut, hash_bitmap, map_texts, release, temporary
 
 #: Filters of a text alone, in order of their bits; the last letter marks duplicates.
 LETTERS = "ABCDE"
@@ -158,14 +158,14 @@ def audit(docs: DataFrame, labels: DataFrame, hashed: Callable[[Column], Column]
         "doc_id", "part", "mask", F.length(text).alias("n_chars"), block_hashes(text, hashed).alias("blocks"),
         F.monotonically_increasing_id().alias("row_no"),
     )
-    rows = cut(measured, "measured")
-    found = cut(repeats(docs, rows, hashed), "repeats")
-    moved = F.explode(F.array(
-        F.struct("mask", F.lit(-1).alias("weight")), F.struct(F.col("mask").bitwiseOR(DUPLICATE).alias("mask"), F.lit(1).alias("weight"))
-    )).alias("to")
-    weighted = rows.select("doc_id", "part", "mask", F.lit(1).alias("weight")).unionByName(
-        found.select("doc_id", "part", moved).select("doc_id", "part", "to.mask", "to.weight")
-    )
-    counts = cut(tallies(weighted, labels), "tallies")
-    release(rows, found)
+    with temporary() as keep:
+        rows = cut(measured, "measured")
+        found = cut(repeats(docs, rows, hashed), "repeats")
+        moved = F.explode(F.array(
+            F.struct("mask", F.lit(-1).alias("weight")), F.struct(F.col("mask").bitwiseOR(DUPLICATE).alias("mask"), F.lit(1).alias("weight"))
+        )).alias("to")
+        weighted = rows.select("doc_id", "part", "mask", F.lit(1).alias("weight")).unionByName(
+            found.select("doc_id", "part", moved).select("doc_id", "part", "to.mask", "to.weight")
+        )
+        counts = keep(cut(tallies(weighted, labels), "tallies"))
     return by_order(counts)

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import HashBitmap, cut, delete, hash_bitmap, keep_rows, map_texts, portions, release, scratch_path, text_key
+from marginalia.llm.common import HashBitmap, cut, delete, hash_bitmap, keep_rows, map_texts, portions, release, scratch_path, temporary, text_key
 from marginalia.llm.components import components
 
 WORDS = 5
@@ -302,8 +302,8 @@ def reach(at: str) -> Column:
     return F.least(by_size, F.floor(F.lit(100 + PERCENT) * left / F.lit(PERCENT)) - size)
 
 
-def cross_pairs(posts: DataFrame, labels: DataFrame, n_posts: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a posting list that lie in different components, and the table to release.
+def cross_pairs(posts: DataFrame, labels: DataFrame, n_posts: int) -> DataFrame:
+    """Pairs of a posting list that lie in different components.
 
     The smaller set of a pair (the lesser class of equal sizes) looks for the other among
     the steps of size that its reach allows; from the later places of a list there are
@@ -333,12 +333,11 @@ def cross_pairs(posts: DataFrame, labels: DataFrame, n_posts: int) -> tuple[Data
     left = asking.join(grid, ["shingle", "step"], "left").withColumns({"row": dealt("a", "n_rows"), "column": every("n_columns")})
     right = asked.join(grid, ["shingle", "step"], "left").withColumns({"column": dealt("b", "n_columns"), "row": every("n_rows")})
     larger = F.shiftright("at_b", 32)
-    pairs = (
+    return (
         left.drop("n_rows", "n_columns").hint("merge").join(right.drop("n_rows", "n_columns"), ["shingle", "step", "row", "column"])
         .filter(((larger > size) | ((larger == size) & (F.col("a") < F.col("b")))) & (F.col("label") != F.col("label_b")) & _fits("at", "at_b"))
         .select(*_pair()).distinct()
     )
-    return pairs, open_lists
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -469,37 +468,37 @@ def counted(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_posts: int)
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiled = cut(profile(docs), "profile")
-    rows = profiled.filter("kind = 0")
-    n_docs = rows.count()
-    heavy, place, lists = settled_order(docs, profiled, n_docs)
-    classes = cut(
-        rows.filter("cls IS NOT NULL").groupBy("cls").agg(
-            F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "size", "bits")).alias("first")
-        ).select("cls", "first.doc_id", "first.text_key", "first.size", "first.bits"),
-        "classes", 8 * n_docs,  # bitmaps make these rows wide
-    )
-    posts = cut(postings(docs, heavy, place, lists), "postings")
-    release(lists)
-    n_posts = posts.count()
-    links, n_links = counted(docs, leader_pairs(posts), classes, n_posts)
-    labels = cut(components(links, n_links), "labels", n_links)
-    pairs, open_lists = cross_pairs(posts, labels, n_posts)
-    more, n_more = counted(docs, pairs, classes, n_posts)
-    # Further links join components, so their ends are known by the first labels.
-    name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    merged = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(
-        F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v")
-    )
-    second = cut(components(merged, n_more), "labels", n_more)
-    release(posts, open_lists, links, more)
-    labelled = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn(
-        "one", F.coalesce("label", "cls")
-    ).join(second.select(F.col("node").alias("one"), F.col("label").alias("label2")), "one", "left").select(
-        "cls", "doc_id", F.coalesce("label2", "one").alias("label")
-    )
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = cut(labelled.join(least, "label").select("cls", "component_id"), "named", n_docs)
+    with temporary() as keep:
+        profiled = keep(cut(profile(docs), "profile"))
+        rows = profiled.filter("kind = 0")
+        n_docs = rows.count()
+        heavy, place, lists = settled_order(docs, profiled, n_docs)
+        classes = cut(
+            rows.filter("cls IS NOT NULL").groupBy("cls").agg(
+                F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "size", "bits")).alias("first")
+            ).select("cls", "first.doc_id", "first.text_key", "first.size", "first.bits"),
+            "classes", 8 * n_docs,  # bitmaps make these rows wide
+        )
+        posts = cut(postings(docs, heavy, place, lists), "postings")
+        release(lists)
+        n_posts = posts.count()
+        links, n_links = counted(docs, leader_pairs(posts), classes, n_posts)
+        labels = components(links, n_links)
+        pairs = cross_pairs(posts, labels, n_posts)
+        more, n_more = counted(docs, pairs, classes, n_posts)
+        # Further links join components, so their ends are known by the first labels.
+        name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+        merged = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(
+            F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v")
+        )
+        second = components(merged, n_more)
+        labelled = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn(
+            "one", F.coalesce("label", "cls")
+        ).join(second.select(F.col("node").alias("one"), F.col("label").alias("label2")), "one", "left").select(
+            "cls", "doc_id", F.coalesce("label2", "one").alias("label")
+        )
+        least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        named = keep(cut(labelled.join(least, "label").select("cls", "component_id"), "named", n_docs))
     linked = rows.filter("cls IS NOT NULL").join(named, "cls").select(
         "doc_id", "text_key", F.col("size").alias("n_shingles"), "component_id"
     )

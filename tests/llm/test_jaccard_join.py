@@ -167,7 +167,7 @@ def test_unlinked_texts_with_shared_boilerplate_give_no_pairs(spark, monkeypatch
     posts = j.postings(frame, heavy, place, lists).cache()
     none = spark.createDataFrame([], "node long, label long")
     assert posts.groupBy("shingle").count().agg({"count": "max"}).first()[0] == len(rows)
-    pairs, _ = j.cross_pairs(posts, none, posts.count())
+    pairs = j.cross_pairs(posts, none, posts.count())
     assert pairs.count() == 0 and posts.filter(j.reach("at") >= j.F.shiftright("at", 32)).count() == 0
     assert {r.component_id for r in j.join(frame).collect()} == set(range(120))
 
@@ -182,7 +182,7 @@ def test_squares_of_a_long_list_lose_nothing(spark, monkeypatch, square):
     # Without labels every pair within the bounds comes out, whatever the squares.
     heavy, place, lists = j.settled_order(frame, j.profile(frame), len(rows))
     posts = j.postings(frame, heavy, place, lists).cache()
-    pairs, _ = j.cross_pairs(posts, spark.createDataFrame([], "node long, label long"), posts.count())
+    pairs = j.cross_pairs(posts, spark.createDataFrame([], "node long, label long"), posts.count())
     sets = defaultdict(list)
     for r in posts.collect():
         sets[r.shingle].append((r.cls, r.at >> 32, (r.at >> 32) - (r.at & 0xFFFFFFFF)))
