@@ -102,18 +102,32 @@ def test_most_pairs_are_never_scored(spark):
         assert sorted((-s, i) for s, i, k in zip(best.score.tolist(), best.id.tolist(), best.q.tolist(), strict=True) if k == q) == wanted
 
 
-def test_blocks_of_short_vectors_meet_no_query(spark, monkeypatch):
-    """A few long vectors answer every query; most blocks are too short to matter."""
+def test_candidates_that_are_too_short_are_not_read(spark, monkeypatch):
+    """A few long vectors answer most queries; rounds of those read the long ones alone."""
     monkeypatch.setattr(topk, "BLOCK_NUMBERS", 400)
-    met, search = [], topk.cut
-    monkeypatch.setattr(topk, "cut", lambda df, what, *a: (lambda out: (what == "meeting" and met.append(out.count()), out)[1])(search(df, what, *a)))
+    monkeypatch.setattr(topk, "ROUND_NUMBERS", 160)
+    monkeypatch.setattr(topk, "SEEDS", 30)
+    read, enough = [], topk.long_enough
+    monkeypatch.setattr(topk, "long_enough", lambda *a: (lambda out: (read.append(out.count()), out)[1])(enough(*a)))
     rng = random.Random(12)
     rows = [(i, [abs(rng.gauss(0, 1)) * (20.0 if i % 50 == 7 else 0.02) for _ in range(4)]) for i in range(1000)]
     check(spark, rows)
-    blocks = -(-1000 * 4 // 400)
-    assert met[0] < blocks * max(1, -(-200 * 4 // 400))
+    assert len(read) == -(-200 * 4 // 160) and sum(read) < 0.5 * len(read) * 1000
+
+
+def test_candidates_are_not_copied(spark, monkeypatch):
+    """However many rounds there are, candidates are written once and no plan of a round shuffles them."""
+    monkeypatch.setattr(topk, "ROUND_NUMBERS", 60)
+    written, cut = [], topk.cut
+    monkeypatch.setattr(topk, "cut", lambda df, what, *a: (written.append((what, df._jdf.queryExecution().toString())), cut(df, what, *a))[1])
+    rng = random.Random(3)
+    check(spark, [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)])
+    assert [w for w, _ in written].count("candidates") == 1
+    rounds = [plan for w, plan in written if w == "best"]
+    assert len(rounds) == 6 and not any("Exchange" in plan for plan in rounds)
 
 
 def test_ties_in_length_are_split_among_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_NUMBERS", 100)
+    monkeypatch.setattr(topk, "ROUND_NUMBERS", 50)
     check(spark, [(i, [1.0, 1.0] if i % 3 else [-1.0, 1.0]) for i in range(300)])
