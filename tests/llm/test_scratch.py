@@ -7,18 +7,19 @@ import time
 
 import pytest
 
-from marginalia.llm import common
+from marginalia import scratch
 
 PROGRAM = """
 import os, signal, sys
 from marginalia.session import local_session
-from marginalia.llm import common, jaccard_join
+from marginalia import scratch
+from marginalia.llm import jaccard_join
 spark = local_session(2, 2, spark__checkpoint__dir={folder!r}, spark__sql__warehouse__dir={folder!r} + "-warehouse")
 before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
 docs = spark.createDataFrame([(k, "one two three four five six " + str(k % 3)) for k in range(9)], "doc_id long, text string")
 out = jaccard_join.join(docs)
 assert len(out.collect()) == 9
-assert len(os.listdir(common.run_folder(spark))) == 2, os.listdir(common.run_folder(spark))  # what the result reads
+assert len(os.listdir(scratch.run_folder(spark))) == 2, os.listdir(scratch.run_folder(spark))  # what the result reads
 assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 {end}
 """
@@ -33,33 +34,33 @@ def test_a_stopped_session_leaves_nothing(tmp_path):
     done = program(folder, "spark.stop()")
     assert done.returncode == 0, done.stderr[-2000:]
     for _ in range(100):  # the JVM ends a moment after the program
-        if not any(name.startswith(common.RUN) for name in os.listdir(folder)):
+        if not any(name.startswith(scratch.RUN) for name in os.listdir(folder)):
             break
         time.sleep(0.1)
     # Spark itself leaves an empty folder there for its own checkpoints.
     assert [path for path, folders, files in os.walk(folder) if files] == []
-    assert not any(name.startswith(common.RUN) for name in os.listdir(folder))
+    assert not any(name.startswith(scratch.RUN) for name in os.listdir(folder))
 
 
 def test_sweep_deletes_folders_of_dead_runs(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
-    own = common.scratch_path(spark, "own")
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    own = scratch.scratch_path(spark, "own")
     spark.range(3).write.parquet(own)
     spark.range(3).write.parquet(str(tmp_path / "marginalia-dead" / "x"))
     spark.range(3).write.parquet(str(tmp_path / "others"))
-    assert common.sweep(spark, 1) == []
-    assert common.sweep(spark, 0) == ["marginalia-dead"]
+    assert scratch.sweep(spark, 1) == []
+    assert scratch.sweep(spark, 0) == ["marginalia-dead"]
     assert sorted(os.listdir(tmp_path)) == sorted(["others", os.path.basename(os.path.dirname(own))])
 
 
 def test_temporary_keeps_what_it_is_told(spark):
-    with common.temporary() as outer:
-        with common.temporary() as keep:
-            a, b = common.cut(spark.range(3)), keep(common.cut(spark.range(4)))
+    with scratch.temporary() as outer:
+        with scratch.temporary() as keep:
+            a, b = scratch.cut(spark.range(3)), keep(scratch.cut(spark.range(4)))
         assert not os.path.exists(a.cut_path) and b.count() == 4
-        c = outer(common.cut(spark.range(5)))
+        c = outer(scratch.cut(spark.range(5)))
     assert not os.path.exists(b.cut_path) and c.count() == 5
-    with pytest.raises(ValueError), common.temporary():
-        d = common.cut(spark.range(2))
+    with pytest.raises(ValueError), scratch.temporary():
+        d = scratch.cut(spark.range(2))
         raise ValueError
     assert not os.path.exists(d.cut_path)
