@@ -6,9 +6,8 @@ Two sets that link must share a shingle among their first n - ceil(0.8 n) + 1 in
 order. Equal sets are one class and meet as one row.
 
 1. ``profile``: size, class and parity bitmap of every set, and the heavy shingles.
-2. ``settled_order``: shingles that stand in too many prefixes, because counting missed
-   them, become heavy, until none does; then ``prefixes`` gives the shared prefix shingles
-   as posting rows.
+2. ``settled_order``: the shared prefix shingles as posting rows. Shingles with too long a
+   list, because counting missed them, become heavy, until there is none.
 3. Leaders: each posting list compares its members with the one in which the shingle
    comes earliest, which joins a group of near copies by as many pairs as it has members.
 4. Exact round: pairs on a posting list that lie in different components, within the
@@ -48,9 +47,9 @@ HEAVY_SHARE = 0.001
 MAX_HEAVY = 200_000
 #: A list of so many times that length is heavy although lossy counting did not see it.
 MISSED = 4
-#: Sizes on a list are told apart by steps of this ratio; at most so many rows of a list
-#: and step, on either side, are compared in one square.
-SIZE_STEP, SQUARE = 1.05, 2_000
+#: Sizes on a list are told apart by steps a little wider than a pair may differ; at most
+#: so many rows of a list, on either side, are compared in one square.
+SIZE_STEP, SQUARE = 101 / PERCENT, 2_000
 #: Lossy counting: a block of so many shingles reports those it holds LEAST times or more.
 BLOCK, LEAST = 2_000_000, 4
 #: Fragments of the global order; as many more, doubling, as keep parts near LARGEST_PART.
@@ -175,42 +174,18 @@ def places(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes, place
 
 
-def settled_order(docs: DataFrame, profiled: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """The heavy shingles, their places, and the table of shingles that several classes' prefixes hold.
-
-    Prefixes are counted with partial aggregation, so a shingle in many of them is one row
-    a task. Those that counting missed join the heavy ones, which changes the prefixes.
-    """
-    hashes, counts = heavy_shingles(profiled, n_docs)
-    while True:
-        heavy, place = places(hashes, counts)
-        lists = cut(
-            prefixes(docs, heavy, place).groupBy("shingle", "heavy")
-            .agg(F.count("*").alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high"), "lists"
-        )
-        missed = (
-            lists.filter("NOT heavy").filter(F.col("n") > MISSED * heavy_at(n_docs))
-            .orderBy(F.desc("n"), "shingle").limit(max(0, MAX_HEAVY - len(hashes))).collect()
-        )
-        if not missed:
-            return heavy, place, lists
-        release(lists)
-        hashes = np.concatenate([hashes, np.array([r["shingle"] for r in missed], dtype=np.int64).view(np.uint64)])
-        counts = np.concatenate([counts, np.array([r["n"] for r in missed], dtype=np.int64)])
-
-
-def in_order(own: np.ndarray, heavy: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
-    """The set in the global order, and how many of its shingles are not heavy."""
+def in_order(own: np.ndarray, heavy: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The set in the global order."""
     if not heavy.size:
-        return own, own.size
+        return own
     at = np.minimum(np.searchsorted(heavy, own), heavy.size - 1)
     is_heavy = heavy[at] == own
-    rare, common = own[~is_heavy], own[is_heavy]
-    return np.concatenate([rare, common[np.argsort(place[at[is_heavy]])]]), rare.size
+    common = own[is_heavy]
+    return np.concatenate([own[~is_heavy], common[np.argsort(place[at[is_heavy]])]])
 
 
 def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray, wanted: HashBitmap | None = None) -> DataFrame:
-    """Posting rows: shingle, cls, at (size in the upper, position in the lower 32 bits), heavy.
+    """Posting rows: shingle, cls, at (size in the upper, position in the lower 32 bits).
 
     With ``wanted``, a bitmap, only rows of shingles that it holds.
     """
@@ -221,8 +196,8 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray, wanted: Hash
         import xxhash
 
         heavy, place, wanted = sent.value
-        names = ["shingle", "cls", "at", "heavy"]
-        parts: list[list[np.ndarray]] = [[], [], [], []]
+        names = ["shingle", "cls", "at"]
+        parts: list[list[np.ndarray]] = [[], [], []]
         held = 0
 
         def ready():
@@ -236,7 +211,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray, wanted: Hash
                     if not n:
                         continue
                     cls = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
-                    ordered, rare = in_order(own, heavy, place)
+                    ordered = in_order(own, heavy, place)
                     length = n - -(-PERCENT * n // 100) + 1
                     where = np.arange(length, dtype=np.int64)
                     if wanted is not None:
@@ -244,25 +219,53 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray, wanted: Hash
                     parts[0].append(_signed(ordered[where]))
                     parts[1].append(np.full(where.size, cls, dtype=np.int64))
                     parts[2].append((n << 32) | where)
-                    parts[3].append(where >= rare)
                     held += where.size
                     if held >= 200_000:
                         yield ready()
-                        parts, held = [[], [], [], []], 0
+                        parts, held = [[], [], []], 0
         if held:
             yield ready()
 
-    return map_texts(docs.select(F.col("text").cast("string")), run, "shingle long, cls long, at long, heavy boolean")
+    return map_texts(docs.select(F.col("text").cast("string")), run, "shingle long, cls long, at long")
 
 
-def postings(docs: DataFrame, heavy: np.ndarray, place: np.ndarray, lists: DataFrame) -> DataFrame:
-    """Distinct posting rows of the shingles that several classes have.
+def postings(docs: DataFrame, heavy: np.ndarray, place: np.ndarray) -> DataFrame:
+    """Distinct posting rows of the shingles that several classes' prefixes hold.
 
-    Tasks drop other rows by a bitmap before the shuffle; what it lets through is a list
-    of one class, which gives no pair.
+    Which shingles those are is found with partial aggregation, so a shingle in many
+    prefixes is one row a task. Tasks then drop the rows of others by a bitmap before the
+    shuffle; what it lets through is a list of one class, which gives no pair.
     """
-    wanted = hash_bitmap(lists.select("shingle"), lists.count())
-    return prefixes(docs, heavy, place, wanted).select("shingle", "cls", "at").distinct()
+    shared = cut(
+        prefixes(docs, heavy, place).groupBy("shingle").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
+        .filter("low < high").select("shingle"), "shared"
+    )
+    wanted = hash_bitmap(shared, shared.count())
+    release(shared)
+    return cut(prefixes(docs, heavy, place, wanted).distinct(), "postings")
+
+
+def settled_order(docs: DataFrame, profiled: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """The posting rows in an order in which no list of a shingle that is not heavy is long, and the lists.
+
+    A list is a shingle, its length and its leader: the member in which the shingle comes
+    earliest. Shingles that counting missed join the heavy ones, which changes the prefixes.
+    """
+    hashes, counts = heavy_shingles(profiled, n_docs)
+    while True:
+        posts = postings(docs, *places(hashes, counts))
+        lists = cut(posts.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct(
+            F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "at", "cls"
+        )).alias("first")).filter("n > 1").select("shingle", "n", F.col("first.cls").alias("b"), F.col("first.at").alias("at_b")), "lists")
+        known = set(hashes.view(np.int64).tolist())
+        # Lists that long are few: each has that share of all documents.
+        long = lists.filter(F.col("n") > MISSED * heavy_at(n_docs)).select("shingle", "n").collect()
+        missed = [r for r in long if r["shingle"] not in known][: max(0, MAX_HEAVY - len(hashes))]
+        if not missed:
+            return posts, lists
+        release(posts, lists)
+        hashes = np.concatenate([hashes, np.array([r["shingle"] for r in missed], dtype=np.int64).view(np.uint64)])
+        counts = np.concatenate([counts, np.array([r["n"] for r in missed], dtype=np.int64)])
 
 
 def _fits(a: str, b: str):
@@ -280,13 +283,10 @@ def _pair(a: str = "a", b: str = "b") -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def leader_pairs(posts: DataFrame) -> DataFrame:
-    """Each posting list's members with the member whose position is earliest."""
-    first = posts.groupBy("shingle").agg(F.min(F.struct(
-        F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "at", "cls"
-    )).alias("first")).select("shingle", F.col("first.cls").alias("b"), F.col("first.at").alias("at_b"))
+def leader_pairs(posts: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each posting list's members with its leader."""
     return (
-        posts.join(first, "shingle").filter((F.col("cls") != F.col("b")) & _fits("at", "at_b"))
+        posts.join(lists.select("shingle", "b", "at_b"), "shingle").filter((F.col("cls") != F.col("b")) & _fits("at", "at_b"))
         .select(F.col("cls").alias("a"), "b").select(*_pair()).distinct()
     )
 
@@ -307,35 +307,38 @@ def cross_pairs(posts: DataFrame, labels: DataFrame, n_posts: int) -> DataFrame:
 
     The smaller set of a pair (the lesser class of equal sizes) looks for the other among
     the steps of size that its reach allows; from the later places of a list there are
-    none. A list and step with many rows is a grid: the smaller sets are dealt into rows
-    and the larger ones into columns, and every square is joined on its own.
+    none. A list with more than ``SQUARE`` rows is dealt into a grid for every step: the
+    smaller sets into rows and the larger ones into columns, each square joined on its own.
     """
+    size = F.shiftright("at", 32)
     named = posts.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn(
         "label", F.coalesce("label", "cls")
     )
-    mixed = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    size = F.shiftright("at", 32)
-    open_lists = cut(
-        named.join(mixed.select("shingle"), "shingle", "left_semi").withColumns({"own": _step(size), "last": _step(reach("at"))}),
-        "open", n_posts,
-    )
-    asking = open_lists.filter(reach("at") >= size).select(
-        "shingle", F.explode(F.sequence("own", "last")).alias("step"), F.col("cls").alias("a"), "at", "label"
-    )
-    asked = open_lists.select(
-        "shingle", F.col("own").alias("step"), F.col("cls").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b")
-    )
-    cells = lambda rows, name: rows.groupBy("shingle", "step").agg(F.ceil(F.count("*") / F.lit(SQUARE)).alias(name))
-    grid = cells(asking, "n_rows").join(cells(asked, "n_columns"), ["shingle", "step"]).filter("n_rows > 1 OR n_columns > 1")
-    one = lambda c: F.coalesce(c, F.lit(1))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), one(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), (one(n) - 1).cast("int")))
-    left = asking.join(grid, ["shingle", "step"], "left").withColumns({"row": dealt("a", "n_rows"), "column": every("n_columns")})
-    right = asked.join(grid, ["shingle", "step"], "left").withColumns({"column": dealt("b", "n_columns"), "row": every("n_rows")})
+    mixed = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
+    open_lists = cut(named.join(mixed.select("shingle", "n"), "shingle"), "open", n_posts)
+
+    def asking(rows: DataFrame) -> DataFrame:
+        steps = F.explode(F.sequence(_step(size), _step(reach("at"))))
+        return rows.filter(reach("at") >= size).select("shingle", steps.alias("step"), F.col("cls").alias("a"), "at", "label")
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return rows.select("shingle", _step(size).alias("step"), F.col("cls").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"))
+
+    short = open_lists.filter(F.col("n") <= SQUARE)
+    met = asking(short).hint("merge").join(asked(short), ["shingle", "step"])
+    long = open_lists.filter(F.col("n") > SQUARE)
+    if not long.isEmpty():
+        cells = lambda rows, name: rows.groupBy("shingle", "step").agg(F.ceil(F.count("*") / F.lit(SQUARE)).alias(name))
+        grid = cells(asking(long), "n_rows").join(cells(asked(long), "n_columns"), ["shingle", "step"])
+        dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+        left = asking(long).join(grid, ["shingle", "step"]).withColumns({"row": dealt("a", "n_rows"), "column": every("n_columns")})
+        right = asked(long).join(grid, ["shingle", "step"]).withColumns({"column": dealt("b", "n_columns"), "row": every("n_rows")})
+        squares = left.drop("n_rows", "n_columns").hint("merge").join(right.drop("n_rows", "n_columns"), ["shingle", "step", "row", "column"])
+        met = met.unionByName(squares.drop("row", "column"))
     larger = F.shiftright("at_b", 32)
     return (
-        left.drop("n_rows", "n_columns").hint("merge").join(right.drop("n_rows", "n_columns"), ["shingle", "step", "row", "column"])
-        .filter(((larger > size) | ((larger == size) & (F.col("a") < F.col("b")))) & (F.col("label") != F.col("label_b")) & _fits("at", "at_b"))
+        met.filter(((larger > size) | ((larger == size) & (F.col("a") < F.col("b")))) & (F.col("label") != F.col("label_b")) & _fits("at", "at_b"))
         .select(*_pair()).distinct()
     )
 
@@ -472,17 +475,15 @@ def join(docs: DataFrame) -> DataFrame:
         profiled = keep(cut(profile(docs), "profile"))
         rows = profiled.filter("kind = 0")
         n_docs = rows.count()
-        heavy, place, lists = settled_order(docs, profiled, n_docs)
+        posts, lists = settled_order(docs, profiled, n_docs)
         classes = cut(
             rows.filter("cls IS NOT NULL").groupBy("cls").agg(
                 F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "size", "bits")).alias("first")
             ).select("cls", "first.doc_id", "first.text_key", "first.size", "first.bits"),
             "classes", 8 * n_docs,  # bitmaps make these rows wide
         )
-        posts = cut(postings(docs, heavy, place, lists), "postings")
-        release(lists)
         n_posts = posts.count()
-        links, n_links = counted(docs, leader_pairs(posts), classes, n_posts)
+        links, n_links = counted(docs, leader_pairs(posts, lists), classes, n_posts)
         labels = components(links, n_links)
         pairs = cross_pairs(posts, labels, n_posts)
         more, n_more = counted(docs, pairs, classes, n_posts)
