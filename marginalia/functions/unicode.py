@@ -30,6 +30,20 @@ def latin(text: str) -> tuple[str, float]:
     return "".join(ascii_only).lower(), (len(ascii_only) / all_kinds if all_kinds else 0.0)
 
 
+def comparable(text: str) -> tuple[str, str, int, int]:
+    """A source text without white space, its Latin key, and the letters that the key keeps and all of them."""
+    normal = normalised(text)
+    letters = [c for c in unicodedata.normalize("NFKD", normal) if c.isalnum()]
+    key = "".join(c for c in letters if c.isascii()).lower()
+    return normal.replace(" ", ""), key, len(key), sum(not unicodedata.combining(c) for c in letters)
+
+
+def latin_parts(parts: list[str]) -> list[str] | None:
+    """The Latin keys of a quotation's parts, if all of them may be compared so."""
+    keys = [latin(p) for p in parts]
+    return [k for k, _ in keys] if all(kept >= RETENTION and len(k) >= SHORTEST_KEY for k, kept in keys) else None
+
+
 def plain_tokens(text: str) -> list[str]:
     bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return re.sub(r"[^a-z0-9]+", " ", bare.lower()).split()
@@ -50,6 +64,18 @@ def latin_key(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([latin(t or "") for t in texts], columns=["key", "retention"])
 
 
+@F.pandas_udf(S.StructType([
+    S.StructField("tight", S.StringType()), S.StructField("latin", S.StringType()), S.StructField("kept", S.LongType()), S.StructField("letters", S.LongType())
+]))
+def comparable_forms(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([comparable(t or "") for t in texts], columns=["tight", "latin", "kept", "letters"])
+
+
+@F.pandas_udf(S.ArrayType(S.StringType()))
+def comparable_parts(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda p: latin_parts(list(p)))
+
+
 @F.pandas_udf(S.ArrayType(S.StringType()))
 def tokens(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: plain_tokens(t or ""))

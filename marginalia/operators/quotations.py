@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.functions.unicode import RETENTION, SHORTEST_KEY, latin_key, normalise
+from marginalia.functions.unicode import RETENTION, comparable_forms, comparable_parts, normalise
 from marginalia.operators import linkgraph as G
 from marginalia.operators.lint import PAGE_LINK
+from marginalia.operators.passages import PassageIndex
+from marginalia.scratch import cut, scratch_path, temporary
 
 # Shortest quotation and fragment, length of a report's quote, edge marks.
 SHORTEST, FRAGMENT, SHOWN = 40, 4, 120
 EDGES = " .,;:!?'\"-–—"
 SKIPPED_PARTS = ("_schema", ".obsidian", "reports", "audit")
 TABLE_ROW = r"(?m)^\s*\|.*\|\s*$"
+#: Characters of a scope that is searched as one text; larger ones are indexed.
+DIRECT = 1 << 20
 FIRST_BLOCK = r"(?ms)^---.*?^---\s*"
 
 
@@ -87,49 +91,86 @@ def source_pages(notes: DataFrame) -> DataFrame:
     return notes.filter(number != "").select(number.cast("int").alias("page"), T.fenced_text(F.col("text")).alias("text"))
 
 
-def running_text(rows: DataFrame, *key: str) -> DataFrame:
-    """Pages joined in order by a space, per key."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), " ")
-    return (rows.groupBy(*key) if key else rows.groupBy()).agg(joined.alias("raw"))
+def comparable_pages(pages: DataFrame) -> DataFrame:
+    """page, tight, latin, kept, letters of pages (page, text): the two forms that quotations are sought in."""
+    return pages.select("page", comparable_forms(F.coalesce("text", F.lit(""))).alias("f")).select("page", "f.*")
 
 
-def supported(rows: DataFrame, hay: str = "hay", wanted: str = "needle") -> DataFrame:
-    """Adds ok: three tests, each only for rows that the ones before it did not settle.
+def sought(asked: DataFrame) -> DataFrame:
+    """Adds tight and latin, the parts of ``needle`` in either form; latin is null where it may not be compared.
 
-    Fragments in order; the same without white space; the same over ASCII letters and
-    digits, where the text is mostly Latin and the fragments are long. Only rows that
-    fail the first two are sent to Python.
+    A part that occurs as it is occurs without white space, too, so that form stands for both.
     """
-    parts = fragments(F.col(wanted))
-    tight = F.transform(parts, T.squeeze)
-    tested = rows.withColumns({"__parts": parts, "ok": ordered_in(F.col(hay), parts) | ordered_in(T.squeeze(F.col(hay)), tight)})
-    done = tested.filter("ok").drop("__parts")
-    missed = tested.filter("NOT ok").withColumn("__hay", latin_key(F.col(hay))).filter("true")
-    keys = missed.withColumn("__id", F.monotonically_increasing_id())
-    long = keys.select("__id", "__hay", F.posexplode("__parts").alias("i", "part")).withColumn("k", latin_key(F.col("part")))
-    verdict = long.groupBy("__id", "__hay").agg(
-        F.bool_and((F.col("k.retention") >= RETENTION) & (F.length("k.key") >= SHORTEST_KEY)).alias("fit"),
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "k.key"))), lambda x: x["key"]).alias("ks"),
-    ).select("__id", (F.col("fit") & (F.col("__hay.retention") >= RETENTION) & ordered_in(F.col("__hay.key"), F.col("ks"))).alias("now"))
-    rest = keys.drop("ok", "__parts", "__hay").join(verdict, "__id", "left").withColumn("ok", F.coalesce("now", F.lit(False))).drop("__id", "now")
-    return done.unionByName(rest)
-
-
-def verify(notes: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """note, quote, status: supported by a cited page, elsewhere in the scope, or unsupported."""
-    pages = source_pages(notes).persist()
-    asked = quotations(notes, shortest)
-    cited = running_text(
-        asked.select("note", "pages").distinct().select("note", F.explode("pages").alias("page")).join(pages, "page"), "note"
-    ).select("note", normalise(F.col("raw")).alias("hay"))
-    on_page = supported(asked.join(cited, "note", "left").withColumn("hay", F.coalesce("hay", F.lit(""))))
-    found = on_page.filter("ok").withColumn("status", F.lit("supported"))
-    # The scope's text is one row; only quotations not found so far meet it.
-    whole = running_text(pages).select(normalise(F.coalesce("raw", F.lit(""))).alias("hay"))
-    second = supported(on_page.filter("NOT ok").drop("ok", "hay").crossJoin(whole))
-    other = second.withColumn("status", F.when(F.col("ok"), "elsewhere").otherwise("unsupported"))
-    cols = ["note", "ord", "quote", "status"]
-    return found.select(*cols).unionByName(other.select(*cols)).withColumn("quote", F.left("quote", F.lit(SHOWN)))
+    parts = fragments(F.col("needle"))
+    return asked.withColumns({"tight": F.transform(parts, T.squeeze), "latin": comparable_parts(parts)})
+
+
+def supported(asked: DataFrame, pages: DataFrame, direct: int = DIRECT) -> DataFrame:
+    """The (scope, needle) whose parts occur in order in the scope's pages, joined in order.
+
+    asked: scope, needle, tight, latin. pages: scope, page, tight, latin, kept, letters.
+    Scopes of up to ``direct`` characters are searched as one text each; larger ones
+    through a positional index, which holds no scope in a row or a task. The Latin form is
+    tried where the other one fails and the scope is Latin for the most part.
+    """
+    sizes = pages.groupBy("scope").agg(
+        F.sum(F.length("tight")).alias("size"), (F.sum("kept") >= RETENTION * F.sum("letters")).alias("mostly"), F.sum("kept").alias("kept")
+    ).select("scope", "size", (F.col("mostly") & (F.col("kept") > 0)).alias("mostly"))
+    with temporary() as keep:
+        sizes = cut(sizes.join(asked.select("scope").distinct(), "scope", "left_semi"), "sizes")
+        small = sizes.filter(F.col("size") <= direct)
+        joined = lambda form: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", form))), lambda p: p[form]), "").alias(form)
+        texts = pages.join(small, "scope").groupBy("scope", "mostly").agg(joined("tight"), joined("latin"))
+        if small.limit(2).count() == 1:
+            texts = F.broadcast(texts)  # one row of ``direct`` characters at most
+        near = asked.alias("q").join(texts.alias("t"), "scope").filter(
+            ordered_in(F.col("t.tight"), F.col("q.tight"))
+            | (F.col("mostly") & F.col("q.latin").isNotNull() & ordered_in(F.col("t.latin"), F.coalesce("q.latin", F.array().cast("array<string>"))))
+        ).select("scope", "needle")
+        large = sizes.filter(F.col("size") > direct)
+        if large.isEmpty():
+            return keep(cut(near.distinct(), "near"))
+        wide = asked.join(large, "scope")
+        first = _through_index(wide, pages.join(large, "scope", "left_semi"), "tight")
+        left = cut(wide.filter("mostly AND latin IS NOT NULL").join(first, ["scope", "needle"], "left_anti"), "left")
+        found = near.unionByName(first)
+        if not left.isEmpty():
+            found = found.unionByName(_through_index(left, pages.join(large.filter("mostly"), "scope", "left_semi"), "latin"))
+        return keep(cut(found.distinct(), "found"))
+
+
+def _through_index(asked: DataFrame, pages: DataFrame, form: str) -> DataFrame:
+    spark = asked.sparkSession
+    index = PassageIndex(spark, scratch_path(spark, "passages")).build(pages.select("scope", "page", F.col(form).alias("text")))
+    found = index.in_order(asked.select("scope", F.col(form).alias("parts")))
+    out = cut(asked.join(found.withColumnRenamed("parts", form), ["scope", form], "left_semi").select("scope", "needle"), "through")
+    index.drop()
+    return out
+
+
+def status(asked: DataFrame, pages: DataFrame, direct: int = DIRECT) -> DataFrame:
+    """note, ord, quote, status: supported by a cited page, elsewhere in the scope, or unsupported.
+
+    asked: note, ord, quote, needle and pages, the numbers that the note cites; a note asks a
+    needle once. pages: page, text. Every join is by what a row says, so rows that are
+    computed again, after a lost executor, come out the same.
+    """
+    with temporary() as keep:
+        forms = cut(comparable_pages(pages), "pages")
+        rows = cut(sought(asked), "asked")
+        named = rows.withColumn("scope", F.col("note"))
+        cites = rows.select(F.col("note").alias("scope"), F.explode("pages").alias("page")).distinct()
+        cited = supported(named, forms.join(cites, "page"), direct).select(F.col("scope").alias("note"), "needle")
+        rest = rows.join(cited, ["note", "needle"], "left_anti").withColumn("scope", F.lit(""))
+        anywhere = supported(rest, forms.withColumn("scope", F.lit("")), direct).select("needle", F.lit("elsewhere").alias("status"))
+        named_all = rows.join(cited.withColumn("found", F.lit(True)), ["note", "needle"], "left").join(anywhere, "needle", "left")
+        verdict = F.when(F.col("found"), "supported").otherwise(F.coalesce("status", F.lit("unsupported")))
+        return keep(cut(named_all.select("note", "ord", "quote", verdict.alias("status")), "status"))
+
+
+def verify(notes: DataFrame, shortest: int = SHORTEST, direct: int = DIRECT) -> DataFrame:
+    """note, ord, quote, status of every quotation in the semantic notes, over the gateways' page texts."""
+    return status(quotations(notes, shortest), source_pages(notes), direct).withColumn("quote", F.left("quote", F.lit(SHOWN)))
 
 
 def report(notes: DataFrame, shortest: int = SHORTEST) -> DataFrame:
