@@ -178,12 +178,17 @@ def report(notes: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     parts = T.parts(F.col("path"))
     skipped = F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_PARTS))) | G.is_gateway(F.col("path"))
     n = notes.filter(~skipped & T.is_semantic(F.col("text"))).agg(F.count("*").alias("semantic_notes"))
+    return summary(n, verify(notes, shortest))
+
+
+def summary(notes: DataFrame, found: DataFrame) -> DataFrame:
+    """The report from the number of semantic notes, one row, and the status of their quotations."""
     one = lambda s: F.count_if(F.col("status") == s)
-    counts = verify(notes, shortest).agg(
+    counts = found.agg(
         F.count("*").alias("checked"), one("supported").alias("supported"), one("elsewhere").alias("elsewhere"), one("unsupported").alias("unsupported")
     )
     rate = F.round(F.col("supported") / F.nullif("checked", F.lit(0)), 4)
-    return n.crossJoin(counts).withColumns({"support_rate": rate, "verdict": verdict()})
+    return notes.crossJoin(counts).withColumns({"support_rate": rate, "verdict": verdict()})
 
 
 def verdict() -> Column:

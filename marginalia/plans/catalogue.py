@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from marginalia.functions import text as T
 from marginalia.functions import unicode as U
 from marginalia.operators import evidence, eventlog, extraction, fulltext, integrity, inventory, leakscan, linkgraph, lint, quotations, scoping
-from marginalia.plans import fixtures
 from marginalia.session import table
 from marginalia.sources import files
 
@@ -511,49 +510,7 @@ def issues_union(spark, sf):
     return bad.unionByName(unknown)
 
 
-# Shapes that the driver tables lack: invented notes, rows only. ------------------------
-
-
-@query()
-def lint_kinds(spark, sf):
-    return eventlog.kind_counts(lint.lint(fixtures.notes(spark)))
-
-
-@query()
-def okf_pivot(spark, sf):
-    return lint.audit_table(fixtures.notes(spark).withColumn("dir", F.lit("demo")))
-
-
-@query()
-def quote_support_full(spark, sf):
-    return quotations.verify(fixtures.notes(spark))
-
-
-@query()
-def quote_report(spark, sf):
-    return quotations.report(fixtures.notes(spark))
-
-
-@query()
-def vault_links(spark, sf):
-    own = fixtures.notes(spark)
-    return linkgraph.vault_report(own, own.select("path"))["problems"]
-
-
-@query()
-def plan_violations(spark, sf):
-    broken = fixtures.INVENTORY | {"episodes": fixtures.INVENTORY["episodes"] * 2, "motifs": [" "]}
-    return inventory.violations(inventory.load_inventory(spark, broken), [1, 2], "Ada Writer", {"motifs": 2})
-
-
-@query()
-def missing_notes(spark, sf):
-    return inventory.missing_notes(inventory.load_inventory(spark, fixtures.INVENTORY), "demo", fixtures.notes(spark))
-
-
-@query()
-def lock_diff(spark, sf):
-    return integrity.document_diff(spark, {"a": {"b": 1, "c": [1, 2]}, "d": "x"}, {"a": {"b": 2, "c": [1]}, "e": "x"})
+# Shapes that SQL cannot express. --------------------------------------------------------
 
 
 @query()
