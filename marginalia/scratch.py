@@ -76,17 +76,38 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 FILE_ROWS = 400_000
 
 
-def cut(df: DataFrame, what: str = "cut", rows: int | None = None) -> DataFrame:
+#: Rows of an Arrow batch while a scratch table is written: rows with texts may be long.
+BATCH_ROWS = 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of few rows, unless the session names a number; what it said before holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    default = spark.conf.get(key) == "10000"
+    if default:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if default:
+            spark.conf.set(key, "10000")
+
+
+def cut(df: DataFrame, what: str = "cut", rows: int | None = None, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The rows survive a lost executor and later steps do not repeat the work before
     them. The columns keep their names and types. ``rows``, the rough number of rows,
     keeps narrow tables from becoming one small file per shuffle partition: they are
     dealt anew, so the work before them runs in as many tasks as it would without.
+    ``files`` bounds the last stage's tasks instead, without another shuffle.
     What is not released is deleted when the driver's JVM ends.
     """
     path = scratch_path(df.sparkSession, what)
-    (df if rows is None else df.repartition(1 + rows // FILE_ROWS)).write.parquet(path)
+    dealt = df if rows is None else df.repartition(1 + rows // FILE_ROWS)
+    with small_batches(df.sparkSession):
+        (dealt if files is None else dealt.coalesce(files)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     if _WITHIN:
