@@ -49,7 +49,7 @@ SELECT score, title, path, trim(regexp_replace(text[greatest(0, pos - 90) + 1:le
 FROM s ORDER BY score DESC, path LIMIT 10
 """.replace("\\\\", "\\"))
 def fulltext_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return fulltext.search(notes(spark, sf), "the license", 10, T.rstrip(F.split_part("text", F.lit("\n"), F.lit(1))))
+    return fulltext.search(notes(spark, sf), "the license", 10, T.rstrip(F.split_part("text", F.lit("\n"), F.lit(1))), fold="lower")
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, length(coalesce(text, '')) AS characters FROM documents")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
 from marginalia.functions.unicode import normalise
 from marginalia.operators import quotations
-from marginalia.plans.catalogue import query
+from marginalia.operators.trigrams import TrigramIndex
+from marginalia.plans.catalogue import ORACLES, notes, query
+from marginalia.scratch import scratch_path
 from marginalia.session import table
 
 # Quotations ----------------------------------------------------------------------------
@@ -94,3 +97,21 @@ def quote_report(spark, sf):
     """The report of the same quotations."""
     asked, pages = quoted_passages(spark, sf)
     return quotations.summary(asked.agg(F.countDistinct("note").alias("semantic_notes")), quotations.status(asked, pages))
+
+
+# Full text -------------------------------------------------------------------------------
+
+_GRAMS = " AND ".join(f"instr(lower(text), '{g}') > 0" for g in ("the", "lic", "ice", "cen", "ens", "nse"))
+
+
+@query(f"SELECT *, (SELECT count(*) FROM documents WHERE {_GRAMS}) AS texts_read FROM ({ORACLES['fulltext_rank']})")
+def fulltext_indexed(spark, sf):
+    """The ranked query through the trigram index, built in two batches; texts_read counts what was verified."""
+    own, title = notes(spark, sf), T.rstrip(F.split_part("text", F.lit("\n"), F.lit(1)))
+    index = TrigramIndex(spark, scratch_path(spark, "trigrams"), fold="lower")
+    middle = own.selectExpr("percentile_approx(doc_id, 0.5)").first()[0]
+    for name, part in (("lower", F.col("doc_id") <= middle), ("upper", ~(F.col("doc_id") <= middle))):
+        index.add(name, own.filter(F.coalesce(part, F.lit(name == "lower"))), title)
+    found, n = index.search_counted("the license", 10)
+    index.drop()
+    return found.withColumn("texts_read", F.lit(n).cast("long"))
