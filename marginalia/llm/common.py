@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.scratch import (  # noqa: F401  the operators take these from here
-    create_new, cut, delete, listed, read_small, release, run_folder, scratch_path, shared_dir, sweep, temporary,
+    FILE_ROWS, create_new, cut, delete, listed, read_small, release, run_folder, scratch_path, shared_dir, small_batches, sweep, temporary,
 )
 
 

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import HashBitmap, cut, delete, hash_bitmap, keep_rows, map_texts, portions, release, scratch_path, temporary, text_key
+from marginalia.llm.common import FILE_ROWS, HashBitmap, cut, delete, hash_bitmap, keep_rows, map_texts, portions, release, scratch_path, small_batches, temporary, text_key
 from marginalia.llm.components import components
 
 WORDS = 5
@@ -229,7 +229,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray, place: np.ndarray, wanted: Hash
     return map_texts(docs.select(F.col("text").cast("string")), run, "shingle long, cls long, at long")
 
 
-def postings(docs: DataFrame, heavy: np.ndarray, place: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, heavy: np.ndarray, place: np.ndarray, n_docs: int) -> DataFrame:
     """Distinct posting rows of the shingles that several classes' prefixes hold.
 
     Which shingles those are is found with partial aggregation, so a shingle in many
@@ -238,11 +238,12 @@ def postings(docs: DataFrame, heavy: np.ndarray, place: np.ndarray) -> DataFrame
     """
     shared = cut(
         prefixes(docs, heavy, place).groupBy("shingle").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-        .filter("low < high").select("shingle"), "shared"
+        .filter("low < high").select("shingle"), "shared", 4 * n_docs
     )
     wanted = hash_bitmap(shared, shared.count())
     release(shared)
-    return cut(prefixes(docs, heavy, place, wanted).distinct(), "postings")
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, 1 + 32 * n_docs // FILE_ROWS)
+    return cut(prefixes(docs, heavy, place, wanted).distinct(), "postings", files=tasks)
 
 
 def settled_order(docs: DataFrame, profiled: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -253,10 +254,10 @@ def settled_order(docs: DataFrame, profiled: DataFrame, n_docs: int) -> tuple[Da
     """
     hashes, counts = heavy_shingles(profiled, n_docs)
     while True:
-        posts = postings(docs, *places(hashes, counts))
+        posts = postings(docs, *places(hashes, counts), n_docs)
         lists = cut(posts.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct(
             F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "at", "cls"
-        )).alias("first")).filter("n > 1").select("shingle", "n", F.col("first.cls").alias("b"), F.col("first.at").alias("at_b")), "lists")
+        )).alias("first")).filter("n > 1").select("shingle", "n", F.col("first.cls").alias("b"), F.col("first.at").alias("at_b")), "lists", 4 * n_docs)
         known = set(hashes.view(np.int64).tolist())
         # Lists that long are few: each has that share of all documents.
         long = lists.filter(F.col("n") > MISSED * heavy_at(n_docs)).select("shingle", "n").collect()
@@ -421,15 +422,16 @@ class Fragments:
                          pa.array(d["part"], pa.list_(pa.int64()))], names=list(d),
                     )
 
-        (
-            map_texts(
-                docs.select(F.xxhash64("doc_id", text_key()).alias("h"), "text"), run,
-                "cls long, cuts int, fragment int, part array<long>",
-            )
-            .repartition(self.n, "cls").sortWithinPartitions("cls", "cuts", "fragment")
-            .dropDuplicates(["cls", "cuts", "fragment"])
-            .write.bucketBy(self.n, "cls").sortBy("cls").option("path", self.path).saveAsTable(self.name)
+        parts = map_texts(
+            docs.select(F.xxhash64("doc_id", text_key()).alias("h"), "text"), run,
+            "cls long, cuts int, fragment int, part array<long>",
         )
+        with small_batches(spark):
+            (
+                parts.repartition(self.n, "cls").sortWithinPartitions("cls", "cuts", "fragment")
+                .dropDuplicates(["cls", "cuts", "fragment"])
+                .write.bucketBy(self.n, "cls").sortBy("cls").option("path", self.path).saveAsTable(self.name)
+            )
         self.rows = spark.table(self.name)
 
     def links(self, pairs: DataFrame) -> DataFrame:
