@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from marginalia.functions import text as T
-from marginalia.operators import evidence
+from marginalia.operators import automata, evidence
 
 #: How a numbered entry starts; window and stride of repeated passages.
 ENTRY_START = r"(?m)^(\d{1,3})\.\s"
@@ -172,37 +172,41 @@ def entry_numbers(text, pattern: str = ENTRY_START):
     return F.transform(F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(1)), lambda n: n.cast("int"))
 
 
-def entries(pages: DataFrame, key: str, first: int = 1, pattern: str = ENTRY_START) -> DataFrame:
+def entries(pages: DataFrame, key: str, first: int = 1, pattern: str = ENTRY_START, block: int = automata.BLOCK) -> DataFrame:
     """Numbered entries: key, page, number, text.
 
-    Which start counts depends on all entries before it, and match positions have no
-    expression. So a document's pages are read in order from a sorted partition, one at a
-    time, with the number then due as the only state.
+    Which start counts depends on all entries before it. The numbers of every block of
+    pages are summarised first and composed (:mod:`marginalia.operators.automata`), so each
+    block knows the number due at its start, and a long document is read by many tasks.
     """
     compiled = re.compile(pattern)
+    own = automata.with_blocks(pages.select(key, "page", F.coalesce("text", F.lit("")).alias("text")), "page", block)
+    numbers = own.select(key, "page", "block_", entry_numbers(F.col("text"), pattern).alias("numbers_"))
+    due = automata.due_at(numbers, key, "page", "numbers_", first)
 
     def split(batches):
-        current, due, started = None, first, False
+        at, now = None, first
         for rows in batches:
             out = []
-            for own, page, text in rows[[key, "page", "text"]].itertuples(index=False):
-                if not started or own != current:
-                    current, due, started = own, first, True
+            for name, page, text, here, start in rows[[key, "page", "text", "block_", "due"]].itertuples(index=False):
+                scope = (None if pd.isna(name) else name, here)
+                if at != scope:
+                    at, now = scope, start
                 starts = []
-                for m in compiled.finditer(text or ""):
-                    if int(m[1]) == due:
+                for m in compiled.finditer(text):
+                    if int(m[1]) == now:
                         starts.append(m)
-                        due += 1
-                stops = [m.start() for m in starts[1:]] + [len(text or "")]
+                        now += 1
+                stops = [m.start() for m in starts[1:]] + [len(text)]
                 out += [
-                    (own, page, int(m[1]), re.sub(r"\s+", " ", text[m.end() : stop].strip()))
+                    (name, page, int(m[1]), re.sub(r"\s+", " ", text[m.end() : stop].strip()))
                     for m, stop in zip(starts, stops, strict=False)
                 ]
             yield pd.DataFrame(out, columns=[key, "page", "number", "text"])
 
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, page {pages.schema['page'].dataType.simpleString()}, number int, text string"
-    ordered = pages.select(key, "page", "text").repartition(key).sortWithinPartitions(key, "page")
-    return ordered.mapInPandas(split, schema)
+    ordered = automata.start_of_blocks(own, key, due).repartition(key, "block_").sortWithinPartitions(key, "block_", "page")
+    return ordered.select(key, "page", "text", "block_", "due").mapInPandas(split, schema)
 
 
 def entries_per_page(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions.unicode import normalise
-from marginalia.operators import quotations
+from marginalia.operators import automata, quotations
 from marginalia.operators.trigrams import TrigramIndex
 from marginalia.plans.catalogue import ORACLES, notes, query
 from marginalia.scratch import scratch_path
@@ -115,3 +115,21 @@ def fulltext_indexed(spark, sf):
     found, n = index.search_counted("the license", 10)
     index.drop()
     return found.withColumn("texts_read", F.lit(n).cast("long"))
+
+
+# Numbers in turn -------------------------------------------------------------------------
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT l_orderkey * 8 + l_linenumber AS place, l_partkey AS number FROM lineitem),
+r AS (
+  SELECT min(place) AS place, 1::BIGINT AS number FROM o WHERE number = 1 HAVING count(*) > 0
+  UNION ALL SELECT min(o.place), r.number + 1 FROM r JOIN o ON o.number = r.number + 1 AND o.place > r.place GROUP BY r.number
+)
+SELECT place, number FROM r""")
+def parts_in_turn(spark, sf):
+    """All lines as one scope: the part numbers that come in turn, from 1 on."""
+    lines = table(spark, sf, "lineitem").select(
+        F.lit("all").alias("scope"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), F.col("l_partkey").cast("long").alias("number")
+    )
+    return automata.accepted(lines, "scope", "place", "number").select("place", "number")
