@@ -121,15 +121,13 @@ def fulltext_indexed(spark, sf):
 
 
 @query("""
-WITH RECURSIVE o AS (SELECT l_orderkey * 8 + l_linenumber AS place, l_partkey AS number FROM lineitem),
+WITH RECURSIVE o AS (SELECT o_orderkey AS place, o_custkey AS number FROM orders),
 r AS (
   SELECT min(place) AS place, 1::BIGINT AS number FROM o WHERE number = 1 HAVING count(*) > 0
   UNION ALL SELECT min(o.place), r.number + 1 FROM r JOIN o ON o.number = r.number + 1 AND o.place > r.place GROUP BY r.number
 )
 SELECT place, number FROM r""")
-def parts_in_turn(spark, sf):
-    """All lines as one scope: the part numbers that come in turn, from 1 on."""
-    lines = table(spark, sf, "lineitem").select(
-        F.lit("all").alias("scope"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), F.col("l_partkey").cast("long").alias("number")
-    )
-    return automata.accepted(lines, "scope", "place", "number").select("place", "number")
+def customers_in_turn(spark, sf):
+    """All orders as one scope: the customer numbers that come in turn, from 1 on."""
+    orders = table(spark, sf, "orders").select(F.lit("all").alias("scope"), F.col("o_orderkey").alias("place"), F.col("o_custkey").cast("long").alias("number"))
+    return automata.accepted(orders, "scope", "place", "number").select("place", "number")
