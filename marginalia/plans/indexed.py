@@ -10,6 +10,7 @@ from marginalia.functions.unicode import normalise
 from marginalia.operators import automata, quotations
 from marginalia.operators.trigrams import TrigramIndex
 from marginalia.plans.catalogue import ORACLES, notes, query
+from marginalia.plans.rounds import Repair, Rules
 from marginalia.scratch import scratch_path
 from marginalia.session import table
 
@@ -131,3 +132,54 @@ def customers_in_turn(spark, sf):
     """All orders as one scope: the customer numbers that come in turn, from 1 on."""
     orders = table(spark, sf, "orders").select(F.lit("all").alias("scope"), F.col("o_orderkey").alias("place"), F.col("o_custkey").cast("long").alias("number"))
     return automata.accepted(orders, "scope", "place", "number").select("place", "number")
+
+
+# Repair rounds -----------------------------------------------------------------------------
+
+_HREF = 'href="([^"]*)"'
+
+
+def _links(look: DataFrame) -> DataFrame:
+    return look.select("path", F.explode(F.regexp_extract_all("text", F.lit(_HREF), F.lit(1))).alias("target")).filter("target <> ''").distinct()
+
+
+def _dead(look: DataFrame, known) -> DataFrame:
+    links = _links(look)
+    there = known(links.select(F.col("target").alias("path"))).select(F.col("path").alias("target"))
+    return links.join(there, "target", "left_anti").select("path", "target")
+
+
+def _stubs(known, findings: DataFrame) -> DataFrame:
+    """A page for every missing one, which links to the folder above it."""
+    parent = F.regexp_extract("path", r"^(.*/)[^/]+/?$", 1)
+    return findings.select(F.col("target").alias("path")).distinct().select("path", F.when(
+        parent != "", F.concat(F.lit('<a href="'), parent, F.lit('">up</a>'))).otherwise("end").alias("text"))
+
+
+@query(r"""
+WITH RECURSIVE p AS (
+  SELECT path, arg_min(html, page_id) AS html
+  FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages) GROUP BY path
+),
+l AS (SELECT DISTINCT path, target FROM (SELECT path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM p) WHERE target <> ''),
+s AS (
+  SELECT DISTINCT 1 AS round, target AS path FROM l WHERE target NOT IN (SELECT path FROM p)
+  UNION SELECT round + 1, parent FROM (SELECT round, regexp_extract(path, '^(.*/)[^/]+/?$', 1) AS parent FROM s)
+  WHERE parent <> '' AND parent NOT IN (SELECT path FROM p)
+),
+f AS (SELECT path, min(round) AS round FROM s GROUP BY path),
+e AS (SELECT 0 AS made, path, target FROM l UNION ALL SELECT round, path, regexp_extract(path, '^(.*/)[^/]+/?$', 1) FROM f WHERE regexp_extract(path, '^(.*/)[^/]+/?$', 1) <> ''),
+r AS (SELECT unnest(range(0, 1 + least(9, coalesce((SELECT max(round) FROM f), 0))))::BIGINT AS round)
+SELECT round,
+  CASE WHEN round = 0 THEN (SELECT count(*) FROM p) ELSE (SELECT count(DISTINCT path) FROM (
+    SELECT path FROM f WHERE f.round = r.round UNION ALL SELECT e.path FROM e JOIN f ON e.target = f.path WHERE f.round = r.round AND e.made < r.round)) END AS looked,
+  (SELECT count(*) FROM f WHERE f.round = r.round) AS changed,
+  (SELECT count(*) FROM e JOIN f ON e.target = f.path WHERE e.made <= r.round AND f.round > r.round) AS remaining
+FROM r""")
+def repair_rounds(spark, sf):
+    """Dead links of the pages, repaired by stubs that link upwards, round by round; looked falls to what changed."""
+    path = F.regexp_extract("url", r"^[^:]+://[^/]+(/[^?#]*)", 1)
+    pages = table(spark, sf, "pages").select(path.alias("path"), F.coalesce("html", F.lit("")).alias("text"), "page_id")
+    own = pages.groupBy("path").agg(F.min_by("text", "page_id").alias("text"))
+    _, reports = Repair(spark, scratch_path(spark, "repair"), Rules(_dead, _links, _stubs)).run(own, 9)
+    return spark.createDataFrame([(r["round"], r["looked"], r["changed"], r["left"]) for r in reports], "round long, looked long, changed long, remaining long")
