@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import operator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from marginalia.functions import text as T
-from marginalia.functions.unicode import tokens
+from marginalia.functions.unicode import plain_tokens, tokens
+from marginalia.sketch import hash_bitmap
 
 LONGEST = 12
-#: Hashes of a denylist that are broadcast; some 10 MB.
-MAX_SENT = 100_000
+#: Words of a text whose runs a task holds at a time.
+WORDS_AT_ONCE = 100_000
 # Shapes of what must not be published, what they are called, and mail
 # domains and addresses that belong to nobody.
 MACHINE_PATH = r"(?i)(?<![a-z0-9])[a-z]:\\(?:users|projects)\\[^\s\"']+"
@@ -79,18 +84,102 @@ def gram_hashes(texts: DataFrame, key: str, words: Column | None = None, longest
     )
 
 
-def denied(texts: DataFrame, denylist: DataFrame, key: str = "path") -> DataFrame:
+def _hits(texts: DataFrame, key: str, find, schema: str) -> DataFrame:
+    """Rows of ``find(words)``, with key and place, for the words of texts and of names."""
+    own = texts.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for name, as_text, text in zip(rows[key], rows["name_"], rows["text"], strict=True):
+                for place, said in (("text", text), ("path", as_text)):
+                    words = [] if pd.isna(said) else plain_tokens(said)
+                    out += [(None if pd.isna(name) else name, place, *found) for found in find(words)]
+            yield pd.DataFrame(out, columns=[key, "place", *[c.split()[0] for c in schema.split(", ")]])
+
+    return texts.select(key, F.col(key).cast("string").alias("name_"), "text").mapInPandas(run, f"{key} {own}, place string, {schema}")
+
+
+def _portions(words: list[str], longest: int):
+    """The words in portions that overlap so that no run of ``longest`` is cut, and how many runs start in each."""
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        yield words[at : at + WORDS_AT_ONCE + longest - 1], min(WORDS_AT_ONCE, len(words) - at)
+
+
+def denied(texts: DataFrame, denylist: DataFrame, key: str = "path", longest: int = LONGEST) -> DataFrame:
     """key, place (text or path), sha256: n-grams of texts or names that the denylist holds.
 
-    A denylist of ``MAX_SENT`` hashes at most is sent to the n-grams, which then need no
-    shuffle; a larger one meets them by their hash.
+    Hashes are taken where the texts are: every start's digests grow word by word. A bitmap
+    of the denylist, of bounded size, lets few of them out of the task; those alone are
+    shuffled, to the denylist itself, which may be of any size.
     """
-    denylist = denylist.select("sha256").distinct()
-    if denylist.limit(MAX_SENT + 1).count() <= MAX_SENT:
-        denylist = F.broadcast(denylist)
-    body = gram_hashes(texts, key).withColumn("place", F.lit("text"))
-    names = gram_hashes(texts.select(key, F.col(key).cast("string").alias("text")), key).withColumn("place", F.lit("path"))
-    return body.unionByName(names).join(denylist, "sha256", "left_semi").select(key, "place", "sha256").distinct()
+    denylist = denylist.select("sha256").filter("sha256 IS NOT NULL").distinct()
+    held = texts.sparkSession.sparkContext.broadcast(
+        hash_bitmap(denylist.select(F.conv(F.left("sha256", F.lit(16)), 16, -10).cast("long").alias("h")), denylist.count())
+    )
+
+    def find(words: list[str]):
+        found = set()
+        for portion, starts in _portions(words, longest):
+            raw = [w.encode() for w in portion]
+            digests = []
+            for i in range(starts):
+                grown = hashlib.sha256()
+                for k, word in enumerate(raw[i : i + longest]):
+                    grown.update(b" " + word if k else word)
+                    digests.append(grown.digest())
+            heads = np.frombuffer(b"".join(d[:8] for d in digests), dtype=">i8").astype(np.int64)
+            found.update(digests[k].hex() for k in np.flatnonzero(held.value.holds(heads)).tolist())
+        return [(f,) for f in found]
+
+    return _hits(texts, key, find, "sha256 string").join(denylist, "sha256", "left_semi").select(key, "place", "sha256").distinct()
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    if len(known) > 200_000:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def run_hashes(hashes: np.ndarray, longest: int = LONGEST):
+    """For 1 to ``longest`` words: a 64-bit hash of every run of so many, each from the shorter ones."""
+    run = np.zeros(hashes.size, dtype=np.uint64)
+    for n in range(1, min(longest, hashes.size) + 1):
+        run = run[: hashes.size - n + 1] * _BASE + hashes[n - 1 :] + np.uint64(1)
+        mixed = (run ^ (run >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield n, (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def denied_phrases(texts: DataFrame, phrases: DataFrame, key: str = "path", longest: int = LONGEST) -> DataFrame:
+    """key, place, phrase: phrases of up to ``longest`` words that texts or names hold.
+
+    phrases: phrase, whose normalised words count. All lengths are hashed in one pass over
+    a text's words, and a bitmap of the phrases decides what is compared with them.
+    """
+
+    @F.pandas_udf(S.LongType())
+    def hashed(found: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        return found.map(lambda p: int(list(run_hashes(_word_hashes(p.split(" "), known), longest))[-1][1][0]))
+
+    words = tokens(F.col("phrase"))
+    phrases = phrases.select(words.alias("w")).filter(F.size("w").between(1, longest)).select(F.array_join("w", " ").alias("phrase")).distinct()
+    held = texts.sparkSession.sparkContext.broadcast(hash_bitmap(phrases.select(hashed(F.col("phrase")).alias("h")), phrases.count()))
+    known: dict[str, int] = {}
+
+    def find(words: list[str]):
+        found = set()
+        for portion, starts in _portions(words, longest):
+            for n, runs in run_hashes(_word_hashes(portion, known), longest):
+                found.update(" ".join(portion[i : i + n]) for i in np.flatnonzero(held.value.holds(runs[:starts])).tolist())
+        return [(f,) for f in found]
+
+    return _hits(texts, key, find, "phrase string").join(phrases, "phrase", "left_semi").select(key, "place", "phrase").distinct()
 
 
 def privacy_findings(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions.unicode import normalise
-from marginalia.operators import automata, quotations
+from marginalia.operators import automata, leakscan, quotations
 from marginalia.operators.trigrams import TrigramIndex
 from marginalia.plans.catalogue import ORACLES, notes, query
 from marginalia.plans.rounds import Repair, Rules
@@ -183,3 +183,24 @@ def repair_rounds(spark, sf):
     own = pages.groupBy("path").agg(F.min_by("text", "page_id").alias("text"))
     _, reports = Repair(spark, scratch_path(spark, "repair"), Rules(_dead, _links, _stubs)).run(own, 9)
     return spark.createDataFrame([(r["round"], r["looked"], r["changed"], r["left"]) for r in reports], "round long, looked long, changed long, remaining long")
+
+
+# Denied phrases --------------------------------------------------------------------------
+
+_WORDS = "string_split(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')), ' ')"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS t FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest([array_to_string(t[i:i + 11], ' ') FOR i IN range(1, len(t) - 10)]) AS phrase FROM w WHERE len(t) >= 12),
+bad AS (SELECT DISTINCT phrase FROM g WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))
+SELECT doc_id AS path, count(*) AS phrases FROM g WHERE phrase IN (SELECT phrase FROM bad) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY doc_id""")
+def rejected_phrases(spark, sf):
+    """Documents that hold twelve words in a row of a document that the labels reject."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    rejected = table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").alias("path")).distinct()
+    n = leakscan.LONGEST
+    words = docs.join(rejected, "path", "left_semi").select(leakscan.tokens(F.col("text")).alias("w")).filter(F.size("w") >= n)
+    runs = T.bound(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    found = leakscan.denied_phrases(docs.join(rejected, "path", "left_anti"), words.select(F.explode(runs).alias("phrase")).distinct())
+    return found.filter("place = 'text'").groupBy("path").agg(F.count("*").alias("phrases"))

@@ -2,12 +2,15 @@
 
 import hashlib
 import json
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia import cli
+from marginalia.functions.unicode import plain_tokens
 from marginalia.operators import extraction, leakscan, linkgraph, scoping
 from marginalia.plans import profile as P
 from marginalia.sources import sinks
@@ -156,5 +159,39 @@ def test_denylists_of_any_size(spark, monkeypatch):
     deny = spark.createDataFrame([(SHA("quick brown"),), (SHA("quick"),), (SHA("fox the"),)], "sha256 string")
     wanted = {("a b", "text", SHA("quick brown")), ("a b", "text", SHA("quick")), ("quick", "path", SHA("quick"))}
     assert {tuple(r) for r in leakscan.denied(texts, deny).collect()} == wanted
-    monkeypatch.setattr(leakscan, "MAX_SENT", 1)
+    monkeypatch.setattr(leakscan, "WORDS_AT_ONCE", 1)
     assert {tuple(r) for r in leakscan.denied(texts, deny).collect()} == wanted
+    assert leakscan.denied(texts, deny.limit(0)).count() == 0
+
+
+def runs_of(text, longest=12):
+    words = plain_tokens(text or "")
+    return {" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)}
+
+
+@pytest.mark.parametrize("at_once", [5, 100_000])
+def test_denied_runs_against_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(leakscan, "WORDS_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    words = ["Straße", "the", "of", "café", "x9", "naïve-ly", "a", "b", "c", "d"]
+    texts = [(f"n/{k} of the", " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 12, 13, 60])))) for k in range(30)] + [(None, "the of the"), ("null", None)]
+    every = sorted(set().union(*[runs_of(t) for _, t in texts]))
+    phrases = rng.sample(every, 200) + ["of the", "THE  of", "not there", "", "of the a b c d of the a b c d of the"]
+    frame = spark.createDataFrame(texts, "path string, text string").repartition(3)
+    deny = {p for p in (" ".join(plain_tokens(p)) for p in phrases) if 0 < len(p.split()) <= 12}
+    want = {(path, place, p) for path, text in texts for place, said in (("text", text), ("path", path)) for p in runs_of(said) & deny}
+    got = leakscan.denied_phrases(frame, spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    got = leakscan.denied(frame, spark.createDataFrame([(SHA(p),) for p in deny], "sha256 string")).collect()
+    assert {tuple(r) for r in got} == {(path, place, SHA(p)) for path, place, p in want} and len(got) == len(want)
+
+
+def test_a_million_denied_hashes_meet_few_runs(spark):
+    """Of all runs of the texts only those the bitmap lets through are shuffled."""
+    deny = spark.range(1_000_000).select(F.sha2(F.concat(F.lit("w"), F.col("id")), 256).alias("sha256"))
+    texts = spark.range(2_000).select(F.concat(F.lit("p"), F.col("id")).alias("path"), F.concat_ws(" ", F.lit("none of these"), F.concat(F.lit("w"), F.col("id") * 1000), F.lit("is denied")).alias("text"))
+    got = leakscan.denied(texts, deny)
+    assert got.count() == 1000
+    held = leakscan.hash_bitmap(deny.select(F.conv(F.left("sha256", F.lit(16)), 16, -10).cast("long").alias("h")), 1_000_000)
+    rng = np.random.default_rng(1)
+    assert held.holds(rng.integers(-(2**63), 2**63 - 1, 100_000)).mean() < 0.07 and held.bits.nbytes <= 8 << 20
