@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.scratch import (  # noqa: F401  the operators take these from here
     FILE_ROWS, create_new, cut, delete, listed, read_small, release, run_folder, scratch_path, shared_dir, small_batches, sweep, temporary,
 )
+from marginalia.sketch import HashBitmap, hash_bitmap  # noqa: F401
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -75,52 +75,3 @@ def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` over rows with texts; the session bounds a batch, in rows and in bytes."""
     return df.mapInArrow(run, schema)
-
-
-#: Bound on a bitmap of rows to read again; 8 MB.
-MAX_FILTER_BITS = 1 << 26
-
-
-class HashBitmap:
-    """A set of 64-bit hashes by their upper bits; it may hold more than was put in, never less."""
-
-    def __init__(self, bits: np.ndarray, shift: int):
-        self.bits, self.shift = bits, shift
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        slots = hashes.view(np.uint64) >> np.uint64(self.shift)
-        return ((self.bits[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
-
-def hash_bitmap(hashes: DataFrame, n: int) -> HashBitmap:
-    """A bitmap of the 64-bit hashes in the only column of ``hashes`` (``n`` at most).
-
-    16 bits a hash, MAX_FILTER_BITS at most: what it lets through beyond them (a sixteenth
-    at first, more once the bound is met) only costs a shuffle.
-    """
-    log = 16
-    while (1 << log) < min(16 * n, MAX_FILTER_BITS):
-        log += 1
-    chunk = 16  # bits of a chunk of the map, as a logarithm
-
-    def mark(batches):
-        import pyarrow as pa
-
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slots = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - log)
-            for c in np.unique(slots >> np.uint64(chunk)).tolist():
-                bits = own.setdefault(c, np.zeros(1 << chunk, dtype=bool))
-                bits[(slots[slots >> np.uint64(chunk) == c] & np.uint64((1 << chunk) - 1)).astype(np.int64)] = True
-        d = {"chunk": list(own), "bits": [np.packbits(b, bitorder="little").tobytes() for b in own.values()]}
-        yield pa.RecordBatch.from_arrays([pa.array(d["chunk"], pa.int64()), pa.array(d["bits"], pa.binary())], names=list(d))
-
-    rows = (
-        hashes.toDF("h").repartition(1 << max(0, log - 22), F.shiftrightunsigned("h", 64 - log + chunk))
-        .mapInArrow(mark, "chunk long, bits binary").collect()
-    )
-    bits = np.zeros(1 << (log - 3), dtype=np.uint8)
-    size = 1 << (chunk - 3)
-    for r in rows:
-        bits[r["chunk"] * size : (r["chunk"] + 1) * size] |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return HashBitmap(bits, 64 - log)
