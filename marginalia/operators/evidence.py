@@ -10,6 +10,7 @@ from marginalia.functions import text as T
 from marginalia.functions.frontmatter import front_matter
 from marginalia.operators import linkgraph as G
 from marginalia.operators.lint import PAGE_LINK
+from marginalia.scratch import cut
 
 # Notes a packet, characters a note, pages and characters of evidence.
 NOTES, NOTE_CHARACTERS, PAGES, BUDGET = 5, 6_000, 12, 50_400
@@ -31,9 +32,12 @@ def chunk(rows: DataFrame, size: int, *order, key: list[str] | None = None, name
 
 
 def numbered(rows: DataFrame, *order) -> DataFrame:
-    """Adds __n, the global place from 0 by an order, without a single-task sort."""
+    """Adds __n, the global place from 0 by an order, without a single-task sort.
+
+    The ranges are written before they are counted, so a lost executor changes no place.
+    """
     ranged = rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__part", F.shiftright("__id", 33)).persist()
+    ranged = cut(ranged.withColumn("__part", F.shiftright("__id", 33)), "numbered")
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__c"))
     before = F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.join(F.broadcast(counts.select("__part", before.alias("__b"))), "__part").withColumn(

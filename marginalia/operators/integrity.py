@@ -127,10 +127,11 @@ def stray_files(files: DataFrame, root_files: list[str], folders: list[str]) ->
 def missing_prefixes(required: DataFrame, labels: DataFrame) -> DataFrame:
     """Required stage prefixes with no label that starts with them.
 
-    A label is exploded into its prefixes at each separator, so the join is an equality.
+    A label gives its beginnings of the lengths that prefixes have, so the join is an equality.
     """
-    starts = labels.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("label")), lambda n: F.substr("label", F.lit(1), n))).alias("prefix")).distinct()
-    return required.join(starts, "prefix", "left_anti")
+    lengths = [r["n"] for r in required.select(F.length("prefix").alias("n")).distinct().collect() if r["n"] is not None]
+    starts = F.array(*[F.left("label", F.lit(n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    return required.join(labels.select(F.explode(starts).alias("prefix")).distinct(), "prefix", "left_anti")
 
 
 def unchanged(before: DataFrame, after: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -79,6 +79,9 @@ def lists_text(values: Column) -> Column:
     return (F.size(values) > 0) & F.forall(values, T.nonempty)
 
 
+# What the violations below say.
+
+
 def violations(inventory: dict[str, DataFrame], scope: list[int], author: str, floors: dict[str, int | None] | None = None) -> DataFrame:
     """rule, ord, step, violation: everything wrong with an inventory, all rules at once."""
     some = next(iter(inventory.values()))

@@ -98,9 +98,7 @@ def resolve_wikilinks(notes: DataFrame, files: DataFrame) -> DataFrame:
     In order: the path itself, with .md, beside the note, with .md there, the only note
     of that stem. Each step is one equality join; the first that finds anything counts.
     """
-    links = found_links(notes, ANY_WIKILINK).select(
-        "source", "raw", T.wikilink_target(F.col("raw")).alias("target"), F.monotonically_increasing_id().alias("link")
-    )
+    links = found_links(notes, ANY_WIKILINK).select("source", "raw", T.wikilink_target(F.col("raw")).alias("target"))
     bare = T.suffix(F.col("target")) == ""
     beside = F.concat_ws("/", F.nullif(T.parent(F.col("source")), F.lit("")), F.col("target"))
     tries = F.array(
@@ -108,14 +106,14 @@ def resolve_wikilinks(notes: DataFrame, files: DataFrame) -> DataFrame:
         T.normal_path(beside), F.when(bare, T.normal_path(F.concat(beside, F.lit(".md")))),
     )
     hits = (
-        links.select("link", F.posexplode(tries).alias("rank", "path")).filter("path IS NOT NULL AND path <> ''")
-        .join(files.select("path").distinct(), "path").groupBy("link").agg(F.min(F.struct("rank", "path")).alias("hit"))
-        .select("link", F.col("hit.path").alias("direct"))
+        links.select("source", "raw", F.posexplode(tries).alias("rank", "path")).filter("path IS NOT NULL AND path <> ''")
+        .join(files.select("path").distinct(), "path").groupBy("source", "raw").agg(F.min(F.struct("rank", "path")).alias("hit"))
+        .select("source", "raw", F.col("hit.path").alias("direct"))
     )
     stems = notes.groupBy(casefold(T.stem(F.col("path"))).alias("key")).agg(
         F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("path")), 1, SHOWN_CANDIDATES).alias("options")
     )
-    joined = links.join(hits, "link", "left").withColumn("key", casefold(T.stem(F.col("target")))).join(stems, "key", "left")
+    joined = links.join(hits, ["source", "raw"], "left").withColumn("key", casefold(T.stem(F.col("target")))).join(stems, "key", "left")
     empty, direct = F.col("target") == "", F.col("direct").isNotNull()
     return joined.select(
         "source", "raw", "target",
@@ -130,14 +128,14 @@ def resolve_markdown(notes: DataFrame, files: DataFrame) -> DataFrame:
     """source, raw, target, external, resolved, problem for every Markdown link."""
     links = found_links(notes, ANY_LINK).withColumn("target", T.markdown_target(F.col("raw")))
     path = T.resolve(F.col("source"), F.col("target"))
-    located = links.withColumns({"external": T.is_external(F.col("target")), "path": path, "link": F.monotonically_increasing_id()})
+    located = links.withColumns({"external": T.is_external(F.col("target")), "path": path})
     tries = F.array(F.col("path"), F.concat_ws("/", F.nullif(F.col("path"), F.lit("")), F.lit("index.md")))
     hits = (
-        located.filter("NOT external").select("link", F.posexplode(tries).alias("rank", "path"))
-        .join(files.select("path").distinct(), "path").groupBy("link").agg(F.min(F.struct("rank", "path")).alias("hit"))
-        .select("link", F.col("hit.path").alias("resolved"))
+        located.filter("NOT external").select("source", "raw", F.posexplode(tries).alias("rank", "path"))
+        .join(files.select("path").distinct(), "path").groupBy("source", "raw").agg(F.min(F.struct("rank", "path")).alias("hit"))
+        .select("source", "raw", F.col("hit.path").alias("resolved"))
     )
-    return located.drop("path").join(hits, "link", "left").select(
+    return located.drop("path").join(hits, ["source", "raw"], "left").select(
         "source", "raw", "target", "external", "resolved",
         F.when(~F.col("external") & F.col("resolved").isNull(), "target does not exist").alias("problem"),
     )

@@ -55,6 +55,9 @@ def cited_pages(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PAGE_LINK), F.lit(1)), lambda n: n.cast("int"))))
 
 
+# The kinds of issues below and what each says.
+
+
 def _issues(df: DataFrame, kind: str, detail: Column, file: str = "path") -> DataFrame:
     return df.select(F.lit(kind).alias("kind"), F.col(file).alias("file"), detail.alias("detail"))
 

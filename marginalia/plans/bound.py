@@ -422,15 +422,15 @@ def page_chunks(spark, sf):
     return scoping.page_ranges(table(spark, sf, "documents").select(F.col("doc_id").alias("page")), 7).select(F.col("chunk").cast("long").alias("chunk"), "first", "last")
 
 
-@query("""WITH s AS (SELECT doc_id, lang, source, CASE lang WHEN 'en' THEN 'primary_text' WHEN 'de' THEN 'citation_apparatus' END AS section,
+@query("""WITH s AS (SELECT doc_id, lang, source, CASE lang WHEN 'de' THEN 'citation_apparatus' ELSE 'primary_text' END AS section,
   regexp_replace(coalesce(text, ''), '(?m)^(Released|Licensed) under .*$', '', 'g') AS t, regexp_matches(coalesce(text, ''), '(?m)^(Released|Licensed) under .*$') AS hit, coalesce(text, '') AS native FROM documents)
 SELECT doc_id AS page, section, sha256(t) AS sha256, sha256(native) AS native_sha256, CASE WHEN hit THEN 'license' ELSE '' END AS removed, 'none' AS boundary_action, '' AS discarded
 FROM s WHERE section IS NOT NULL""")
 def scoped_documents(spark, sf):
-    """Scoping of the English documents as text and the German ones as apparatus."""
+    """Scoping of the German documents as apparatus and all others as text."""
     docs = table(spark, sf, "documents")
     pages = docs.select(F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
-    sections = docs.filter("lang IN ('en', 'de')").select(F.col("doc_id").alias("page"), F.when(F.col("lang") == "en", "primary_text").otherwise("citation_apparatus").alias("section"))
+    sections = docs.select(F.col("doc_id").alias("page"), F.when(F.col("lang") == "de", "citation_apparatus").otherwise("primary_text").alias("section"))
     none = spark.createDataFrame([], "page long, marker string, keep string, action string")
     out = scoping.scope(pages, sections, [(r"(?m)^(Released|Licensed) under [^\n]*$", "license")], none)
     return out.select("page", "section", "sha256", "native_sha256", F.array_join("furniture_removed", ",").alias("removed"), "boundary_action", "discarded")

@@ -5,6 +5,7 @@ The reference only appends and re-reads its logs; event-time windows are an exte
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marginalia.scratch import create_new, listed, read_small
+
 ACTION = (
     "sequence long, time timestamp, run_id string, phase string, action string, status string, "
     "what string, why string, how string, details string"
@@ -68,17 +71,55 @@ def windowed_counts(events: DataFrame, time: str = "ts", width: str = "5 minutes
     )
 
 
-def append_new(df: DataFrame, path: str, checkpoint: str, key: str):
-    """Writes rows whose key the target does not hold yet: a restarted run adds nothing twice."""
+#: Folders of key indexes by the key's hash.
+KEY_BUCKETS = 256
+
+
+def append_new(df: DataFrame, path: str, checkpoint: str, key: str, buckets: int = KEY_BUCKETS):
+    """Writes rows whose key the target does not hold yet: a restarted run adds nothing twice.
+
+    Every epoch of the stream writes its rows, then its keys in buckets, and is published
+    last, under the stream's own id. A batch reads the keys of the buckets that its own keys
+    fall into, and of published epochs alone: what a crash left behind is overwritten by the
+    same epoch, and never counts before that. A null key is one key.
+    """
+    path = path.rstrip("/")
+
+    def bucket(c: str):
+        return F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(buckets)).cast("int")
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        run = json.loads(read_small(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+        name, published = f"{run}-{number}", listed(spark, f"{path}/_published")
+        if name in published:
+            return
+        own = batch.dropDuplicates([key]).withColumn("bucket_", bucket(key)).persist()
         try:
-            seen = spark.read.parquet(path).select(key)
-            batch = batch.join(seen, key, "left_anti")
-        except Exception as e:  # the target does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        batch.dropDuplicates([key]).write.mode("append").parquet(path)
+            if published:
+                touched = [r["bucket_"] for r in own.select("bucket_").distinct().collect()]
+                there = spark.createDataFrame([(p,) for p in published], "epoch_ string")
+                seen = (
+                    spark.read.schema(f"key_ {batch.schema[key].dataType.simpleString()}, bucket_ int, epoch_ string").parquet(f"{path}/_keys")
+                    .filter(F.col("bucket_").isin(touched) if touched else F.lit(False)).join(F.broadcast(there), "epoch_", "left_semi")
+                )
+                fresh = own.join(seen.select("key_"), F.col(key).eqNullSafe(F.col("key_")), "left_anti")
+            else:
+                fresh = own
+            fresh.drop("bucket_").write.mode("overwrite").parquet(f"{path}/epoch={name}")
+            written = spark.read.schema(batch.schema).parquet(f"{path}/epoch={name}")
+            keys = written.select(F.col(key).alias("key_"), bucket(key).alias("bucket_"), F.lit(name).alias("epoch_"))
+            with_epoch = keys.repartition("bucket_").write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+            with_epoch.partitionBy("bucket_", "epoch_").parquet(f"{path}/_keys")
+            create_new(spark, f"{path}/_published/{name}", "")
+        finally:
+            own.unpersist()
 
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of published epochs, with the epoch's name."""
+    there = [(p,) for p in listed(spark, f"{path.rstrip('/')}/_published")]
+    rows = spark.read.schema(schema).option("basePath", path).parquet(path) if there else spark.createDataFrame([], schema).withColumn("epoch", F.lit(""))
+    return rows.join(F.broadcast(spark.createDataFrame(there, "epoch string")), "epoch", "left_semi")
