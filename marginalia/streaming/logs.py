@@ -26,14 +26,66 @@ def stream_json(spark: SparkSession, path: str, schema: str = ACTION) -> DataFra
     return spark.readStream.schema(schema).json(path)
 
 
-def sequence_faults(log: DataFrame) -> DataFrame:
-    """run_id, sequence, expected where a run's sequence does not continue.
-
-    The state per run is its next number. Rows of one trigger are ordered first.
+def sequence_faults(log: DataFrame, patience: str | None = None, expiry: str = "1 day", first: int = 1) -> DataFrame:
+    """run_id, sequence, expected, fault where a run's sequence does not continue.
+
+    Without ``patience`` the rows of a trigger are ordered and a number that is not due is a
+    gap at once. With it, numbers that come early wait, in the state, for those before them;
+    the log needs ``time``. When the watermark, ``patience`` behind the latest time, passes
+    a gap's first early number, the gap is reported (fault ``gap``: that number, and the one
+    that was due) and the run goes on from there. A number below the one due is ``late`` if
+    its gap was given up and ``repeated`` else; gaps that were given up are remembered as
+    ranges. A run that is silent for ``expiry`` of event time is forgotten; so state grows
+    with live runs and their open gaps alone.
     """
+    if patience is None:
+        return _faults_by_trigger(log, first)
+    wait, forget = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (patience, expiry))
+
+    def follow(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        due, numbers, times, lost_from, lost_to, seen = state.get if state.exists else (first, [], [], [], [], 0)
+        early, lost, out = dict(zip(numbers, times, strict=True)), list(zip(lost_from, lost_to, strict=True)), []
+        # Read again after a restart, rows come in another order: one order for all of them.
+        rows = sorted((int(n), int(t.timestamp() * 1000)) for f in frames for n, t in zip(f["sequence"], f["time"], strict=True))
+        for number, at in rows:
+            seen = max(seen, at)
+            if number < due or number in early:
+                gone = any(low <= number <= high for low, high in lost)
+                out.append((key[0], number, due, "late" if gone else "repeated"))
+                if gone:
+                    lost = [r for low, high in lost for r in ((low, min(high, number - 1)), (max(low, number + 1), high)) if r[0] <= r[1]]
+            else:
+                early[number] = at
+            while due in early:
+                early.pop(due)
+                due += 1
+        now = state.getCurrentWatermarkMs()
+        while early and early[min(early)] <= now:
+            number = min(early)
+            out.append((key[0], number, due, "gap"))
+            lost.append((due, number - 1))
+            due = number
+            while due in early:
+                early.pop(due)
+                due += 1
+        if state.hasTimedOut and not early and seen + forget <= now:
+            state.remove()
+        else:
+            order = sorted(early)
+            state.update((due, order, [early[n] for n in order], [r[0] for r in lost], [r[1] for r in lost], seen))
+            state.setTimeoutTimestamp(max(now + 1, early[order[0]] if order else seen + forget))
+        yield pd.DataFrame(out, columns=["run_id", "sequence", "expected", "fault"])
+
+    return log.select("run_id", "sequence", "time").withWatermark("time", f"{wait} milliseconds").groupBy("run_id").applyInPandasWithState(
+        follow, "run_id string, sequence long, expected long, fault string",
+        "due long, numbers array<long>, times array<long>, lost_from array<long>, lost_to array<long>, seen long",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
 
+def _faults_by_trigger(log: DataFrame, first: int) -> DataFrame:
     def follow(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due = state.get[0] if state.exists else 1
+        due = state.get[0] if state.exists else first
         bad = []
         for number in sorted(n for frame in frames for n in frame["sequence"].tolist()):
             if number != due:
