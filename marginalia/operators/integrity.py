@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.functions.unicode import canonical_json
+from marginalia.scratch import cut, temporary
 
 
 def checksum_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -62,26 +62,61 @@ def tail(lines: DataFrame, n: int = 80, order: str = "line") -> DataFrame:
     return lines.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
-def flatten(document, at: str = "lock") -> list[tuple[str, str, str]]:
-    """(location, type, canonical value) of every node of a parsed JSON document."""
-    kind = type(document).__name__
-    if isinstance(document, dict):
-        return [(at, kind, "")] + [row for k in sorted(document) for row in flatten(document[k], f"{at}.{k}")]
-    if isinstance(document, list):
-        return [(at, kind, str(len(document)))] + [row for k, v in enumerate(document) for row in flatten(v, f"{at}[{k}]")]
-    return [(at, kind, canonical_json(document))]
+#: What the kinds of JSON values are called.
+KINDS = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BIGINT": "int", "DOUBLE": "float", "DECIMAL": "float", "BOOLEAN": "bool", "VOID": "NoneType"}
 
 
-def document_diff(spark, expected, actual, at: str = "lock") -> DataFrame:
-    """location, problem for every node in which two parsed documents differ."""
-    frame = lambda d, s: spark.createDataFrame(flatten(d, at), f"location string, kind_{s} string, value_{s} string")
-    both = frame(expected, "e").join(frame(actual, "a"), "location", "full_outer")
+def flattened(documents: DataFrame, *keys: str, column: str = "document", at: str = "lock") -> DataFrame:
+    """keys, location, kind, value of every node of JSON documents; a list's value is its length.
+
+    Documents are variants and come apart level by level: every level is one explode of the
+    containers of the one before, so the work is spread as the documents are, and ends with
+    the deepest of them. A text that is no JSON has no node.
+    """
+    spark = documents.sparkSession
+    kind = F.regexp_extract(F.schema_of_variant("node"), "^[A-Z]+", 0)
+    names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    level = documents.select(*keys, F.lit(at).alias("location"), F.try_parse_json(column).alias("node")).filter("node IS NOT NULL")
+    found = None
+    with temporary() as keep:
+        while True:
+            # The children of a list are counted below it; a scalar is its canonical text.
+            own = cut(level.withColumn("shape", kind).withColumn("json", F.to_json("node")).drop("node"), "level")
+            children = own.filter("shape IN ('OBJECT', 'ARRAY')").withColumn("node", F.parse_json("json")).lateralJoin(
+                spark.tvf.variant_explode(F.col("node").outer())
+            )
+            step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+            level = children.select(*keys, F.concat("location", step).alias("location"), F.col("value").alias("node"))
+            sizes = F.size(F.from_json("json", "array<variant>")).cast("string")
+            value = F.when(F.col("shape") == "OBJECT", "").when(F.col("shape") == "ARRAY", sizes).otherwise(F.col("json"))
+            rows = own.select(*keys, "location", F.coalesce(F.try_element_at(names, F.col("shape")), F.lower("shape")).alias("kind"), value.alias("value"))
+            found = rows if found is None else found.unionByName(rows)
+            if own.filter("shape IN ('OBJECT', 'ARRAY')").isEmpty():
+                return keep(cut(found, "flat"))
+
+
+def differences(expected: DataFrame, actual: DataFrame, *keys: str, column: str = "document", at: str = "lock") -> DataFrame:
+    """keys, location, problem for every node in which two sets of JSON documents differ, document by document."""
+    side = lambda d, s: flattened(d, *keys, column=column, at=at).withColumnsRenamed({"kind": f"kind_{s}", "value": f"value_{s}"})
+    both = side(expected, "e").join(side(actual, "a"), [*keys, "location"], "full_outer")
     problem = (
         F.when(F.col("kind_e").isNull(), "unexpected field").when(F.col("kind_a").isNull(), "missing field")
         .when(F.col("kind_e") != F.col("kind_a"), F.concat(F.lit("expected "), F.col("kind_e"), F.lit(", got "), F.col("kind_a")))
         .when(F.col("value_e") != F.col("value_a"), F.concat(F.lit("expected "), F.col("value_e"), F.lit(", got "), F.col("value_a")))
     )
-    return both.select("location", problem.alias("problem")).filter("problem IS NOT NULL")
+    return both.select(*keys, "location", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def first_differences(expected: DataFrame, actual: DataFrame, *keys: str, column: str = "document", at: str = "lock") -> DataFrame:
+    """Of every document that differs the first node in order of location."""
+    found = differences(expected, actual, *keys, column=column, at=at)
+    return found.groupBy(*keys).agg(F.min(F.struct("location", "problem")).alias("first")).select(*keys, "first.*")
+
+
+def document_diff(spark, expected, actual, at: str = "lock") -> DataFrame:
+    """location, problem for every node in which two parsed documents differ."""
+    frame = lambda d: spark.createDataFrame([(json.dumps(d),)], "document string")
+    return differences(frame(expected), frame(actual), at=at)
 
 
 def first_difference(spark, expected, actual, at: str = "lock") -> str:

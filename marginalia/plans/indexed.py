@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions.unicode import normalise
-from marginalia.operators import automata, leakscan, quotations
+from marginalia.operators import automata, integrity, leakscan, quotations
 from marginalia.operators.trigrams import TrigramIndex
 from marginalia.plans.catalogue import ORACLES, notes, query
 from marginalia.plans.rounds import Repair, Rules
@@ -204,3 +204,29 @@ def rejected_phrases(spark, sf):
     runs = T.bound(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
     found = leakscan.denied_phrases(docs.join(rejected, "path", "left_anti"), words.select(F.explode(runs).alias("phrase")).distinct())
     return found.filter("place = 'text'").groupBy("path").agg(F.count("*").alias("phrases"))
+
+
+# Documents compared ------------------------------------------------------------------------
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderstatus AS s, left(o_orderpriority, 1)::INTEGER AS n FROM orders)
+SELECT o_orderkey, 'lock.status' AS location, 'missing field' AS problem FROM o WHERE s = 'P'
+UNION ALL SELECT o_orderkey, 'lock.extra', 'unexpected field' FROM o WHERE s = 'F'
+UNION ALL SELECT o_orderkey, 'lock.customer.key', 'expected int, got str' FROM o WHERE o_orderkey % 50 = 0
+UNION ALL SELECT o_orderkey, 'lock.steps', 'expected ' || n || ', got ' || (n - 1) FROM o WHERE n > 1
+UNION ALL SELECT o_orderkey, 'lock.steps[' || (n - 1) || ']' || child, 'missing field' FROM o, (SELECT unnest(['', '.step', '.even']) AS child) WHERE n > 1""")
+def lock_diff(spark, sf):
+    """A document per order against one in which fields are missing, added, of another type or shorter."""
+    c = F.col
+    orders, n = table(spark, sf, "orders"), F.left("o_orderpriority", F.lit(1)).cast("int")
+    steps = lambda last: F.transform(F.sequence(F.lit(1), last), lambda k: F.struct(k.alias("step"), (k % 2 == 0).alias("even")))
+    document = lambda status, customer, last, *more: F.to_json(F.struct(
+        c("o_orderkey").alias("key"), status.alias("status"), F.struct(customer.alias("key")).alias("customer"), steps(last).alias("steps"), *more))
+    expected = orders.select("o_orderkey", document(c("o_orderstatus"), c("o_custkey").cast("string"), n).alias("document"))
+    as_number = F.regexp_replace("document", r'"customer":\{"key":"(\d+)"\}', r'"customer":{"key":$1}')
+    actual = orders.select("o_orderkey", document(
+        F.when(c("o_orderstatus") != "P", c("o_orderstatus")), c("o_custkey").cast("string"), F.greatest(n - 1, F.lit(1)), F.when(c("o_orderstatus") == "F", True).alias("extra")
+    ).alias("document"))
+    actual = actual.withColumn("document", F.when(c("o_orderkey") % 50 == 0, c("document")).otherwise(as_number))
+    return integrity.differences(expected.withColumn("document", as_number), actual, "o_orderkey")

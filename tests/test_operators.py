@@ -1,5 +1,8 @@
 """Scoping, integrity, plans, evidence, leak scan, extraction and full-text cases."""
 
+import json
+import random
+
 import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
@@ -333,3 +336,41 @@ def test_settings():
     for bad in ({"x": 1}, {"smoke_seconds": 0}, {"smoke_seconds": True}):
         with pytest.raises(P.ProfileError):
             P.RunSettings.of(bad)
+
+
+def flat(document, at="lock"):
+    """Every node of a parsed document, as the rule says."""
+    kind = type(document).__name__
+    if isinstance(document, dict):
+        return [(at, kind, "")] + [row for k in document for row in flat(document[k], f"{at}.{k}")]
+    if isinstance(document, list):
+        return [(at, kind, str(len(document)))] + [row for k, v in enumerate(document) for row in flat(v, f"{at}[{k}]")]
+    return [(at, kind, json.dumps(document, ensure_ascii=False))]
+
+
+def test_documents_come_apart_inside_spark(spark):
+    rng = random.Random(3)
+
+    def made(depth):
+        kind = rng.randrange(8 if depth else 6)
+        if kind == 6:
+            return {rng.choice("abcdé"): made(depth - 1) for _ in range(rng.randrange(4))}
+        if kind == 7:
+            return [made(depth - 1) for _ in range(rng.randrange(4))]
+        return [None, True, rng.randrange(-5, 10**12), 0.5, "text \"q\" ü", ""][kind]
+
+    documents = [(k, {"x": made(5), "y": made(5)}) for k in range(40)]
+    changed = [(k, {"x": d["x"], "y": made(5)} if k % 2 else d) for k, d in documents] + [(99, {})]
+    frame = lambda ds: spark.createDataFrame([(k, json.dumps(d)) for k, d in ds] + [(-1, None), (-2, "{no")], "id int, document string")
+    got = [tuple(r) for r in integrity.flattened(frame(documents), "id").collect()]
+    assert sorted(got) == sorted((k, *row) for k, d in documents for row in flat(d))
+    old, new = ({(k, at): (kind, value) for k, d in ds for at, kind, value in flat(d)} for ds in (documents, changed))
+    want = {}
+    for at in old.keys() | new.keys():
+        a, b = old.get(at), new.get(at)
+        if a != b:
+            want[at] = "unexpected field" if a is None else "missing field" if b is None else f"expected {a[0]}, got {b[0]}" if a[0] != b[0] else f"expected {a[1]}, got {b[1]}"
+    diff = integrity.differences(frame(documents), frame(changed), "id")
+    assert {(r.id, r.location): r.problem for r in diff.collect()} == want and want
+    first = {r.id: r.location for r in integrity.first_differences(frame(documents), frame(changed), "id").collect()}
+    assert first == {k: min(at for i, at in want if i == k) for k, _ in want}
