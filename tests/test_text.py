@@ -101,3 +101,28 @@ def test_unicode_forms(spark):
     assert one(spark, U.first_json_object(F.col("t")), t="none") is None
     hidden = one(spark, U.redact_json(F.col("t"), ("hush",)), t='{"Token": "x", "a": ["say hush", 1]}')
     assert hidden == '{"Token":"[REDACTED]","a":["say [REDACTED]",1]}'
+
+
+def test_plain_texts_need_no_python(spark):
+    """Expressions and Python give the same; Python sees a null for a plain text."""
+    import random
+    import unicodedata
+
+    from marginalia.functions import unicode as U
+
+    rng = random.Random(2)
+    latin_1 = [chr(c) for c in range(0x20, 0x100)]
+    texts = ["", " ", "\t a\r\n b ", "Straße ÆØÅ ÀÉÎ ñ ÿ þ Ð", "½ ² ª", "“x” – y\u00ad z", "ﬁ ſ İ Σας", "a\u0301 e\u0300", "\x1c a\x0bb \x85", "日本 語", "A" * 300]
+    texts += ["".join(rng.choice(latin_1 if rng.random() < 0.5 else latin_1[:95]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    texts += ["".join(rng.choice("abcXYZ àéÖß,.12\n") for _ in range(rng.randrange(60))) for _ in range(200)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "k int, t string")
+    t = F.col("t")
+    rows = {r.k: r for r in frame.select("k", U.normalise(t).alias("n"), U.casefold(t).alias("c"), U.latin_key(t).alias("l"), U.tokens(t).alias("w")).collect()}
+    for k, text in enumerate(texts):
+        r = rows[k]
+        assert (r.n, r.c, r.w) == (U.normalised(text), text.casefold(), U.plain_tokens(text)), text
+        key, kept = U.latin(text)
+        assert r.l.key == key and abs(r.l.retention - kept) < 1e-12, text
+    assert (rows[-1].n, rows[-1].c, rows[-1].w, tuple(rows[-1].l)) == (None, None, [], ("", 0.0))
+    plain = frame.filter(t.rlike(U.PLAIN)).count()
+    assert 200 < plain < len(texts) and not unicodedata.normalize("NFKC", "½").isalpha()
