@@ -28,6 +28,28 @@ def markdown(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def published_notes(spark: SparkSession, root: str) -> DataFrame:
+    """path, text, sha256, listed of the current version of a published tree.
+
+    sha256 is taken of what is read, listed is what was written; a file that is missing or
+    beside the inventory has a null on one side. Spark reads no empty files, so one that the
+    inventory lists counts as there.
+    """
+    from marginalia.scratch import read_small
+    from marginalia.sources.sinks import CURRENT
+
+    base = f"{root.rstrip('/')}/versions/{read_small(spark, f'{root.rstrip('/')}/{CURRENT}').strip()}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/tree").select(
+        relative(f"{base}/tree", "path").alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256")
+    )
+    listed = spark.read.parquet(f"{base}/inventory").select("path", F.col("sha256").alias("listed"), "bytes")
+    nothing = F.col("text").isNull() & (F.col("bytes") == 0)
+    return raw.join(listed, "path", "full_outer").select(
+        "path", F.when(nothing, "").otherwise(F.col("text")).alias("text"),
+        F.when(nothing, F.sha2(F.lit(""), 256)).otherwise(F.col("sha256")).alias("sha256"), "listed",
+    )
+
+
 def page_texts(spark: SparkSession, root: str) -> DataFrame:
     """page, path, text, sha256 of native page texts."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "page-*.txt").load(f"{root}/text/native-pages")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.scratch import cut, temporary
 
 
 def _fs(spark: SparkSession, path: str):
@@ -105,6 +106,61 @@ def write_notes(notes: DataFrame, root: str) -> None:
     parts.foreachPartition(save)
 
 
+#: The small file of a published tree that names its current version.
+CURRENT = "current"
+
+
+def publish_notes(notes: DataFrame, root: str) -> str:
+    """Publishes a tree of notes (path, text) as a whole and gives its version.
+
+    Tasks write the files of a new version, each aside and then moved to its name, so a task
+    that runs again leaves the same file, and take checksums of what they write. These
+    become the version's inventory (path, bytes, sha256). One small file names the current
+    version and is replaced at the very end: a reader finds the old tree or the new one. A
+    path that stands twice, is absolute or leaves the tree is refused before anything is
+    written. ``root`` is any place that Arrow's file systems reach (local, hdfs, s3, gs).
+    """
+    spark = notes.sparkSession
+    version = uuid.uuid4().hex
+    base = f"{root.rstrip('/')}/versions/{version}"
+    with temporary():
+        rows = cut(notes.select("path", F.coalesce("text", F.lit("")).alias("text")), "tree")
+        steps = F.split("path", "/")
+        odd = F.col("path").isNull() | F.exists(steps, lambda s: s.isin("", ".", ".."))
+        faults = rows.filter(odd).select("path").unionByName(rows.groupBy("path").count().filter("count > 1").select("path"))
+        if bad := faults.limit(3).collect():
+            raise ValueError(f"paths that no tree can hold: {[r['path'] for r in bad]}")
+
+        def save(batches):
+            import hashlib
+
+            import pandas as pd
+            from pyarrow import fs
+
+            store, top = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+            made: set[str] = set()
+            for frame in batches:
+                out = []
+                for path, text in zip(frame["path"], frame["text"], strict=True):
+                    target, raw = f"{top}/tree/{path}", text.encode()
+                    folder, _, name = target.rpartition("/")
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(aside) as file:
+                        file.write(raw)
+                    store.move(aside, target)
+                    out.append((path, len(raw), hashlib.sha256(raw).hexdigest()))
+                yield pd.DataFrame(out, columns=["path", "bytes", "sha256"])
+
+        rows.mapInPandas(save, "path string, bytes long, sha256 string").write.parquet(f"{base}/inventory")
+        if spark.read.parquet(f"{base}/inventory").count() != rows.count():
+            raise OSError(f"version {version} is not whole")
+    atomic_text(spark, f"{root.rstrip('/')}/{CURRENT}", version)
+    return version
+
+
 def gateway_notes(scoped: DataFrame, title: str, scope_id: str, tags: list[str]) -> DataFrame:
     """path, text of one gateway note per scoped page."""
     page = F.lpad(F.col("page").cast("string"), F.greatest(F.lit(4), F.length(F.col("page").cast("string"))), F.lit("0"))
