@@ -95,30 +95,50 @@ def weak_description(spark, sf):
     return notes(spark, sf).groupBy("source").agg(F.count_if(words < lint.SHORTEST_DESCRIPTION).alias("weak"), F.count("*").alias("n"))
 
 
+#: Inner words of a passage that make its key, and tiny passages that are sent to all texts.
+KEY_WORDS, MAX_TINY = 4, 10_000
+
+
 def hits(spark, sf) -> DataFrame:
     """item_id, doc_id of the documents that hold a benchmark passage.
 
-    An equality join on each passage's second to fifth word finds the candidates, and
-    containment is then tested on them. Passages of fewer than seven words, which have no
-    such key for certain, are compared with every text.
+    A passage may start and end inside a word of the text, so its outer words are left out;
+    the first of the inner ones, four at most, are its key. An equality join on runs of as
+    many words as keys have finds the candidates, and containment is then tested on them.
+    Passages without an inner word have no key: they are counted, and sent to the texts if
+    they are few; many of them meet the texts by their first three letters.
     """
     items = table(spark, sf, "benchmark").filter("text IS NOT NULL AND length(text) > 0").select("item_id", F.col("text").alias("quote"))
-    flat = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    # A passage may start and end inside a word of the text, so its outer words are left out.
-    key = F.array_join(F.slice(flat("quote"), 2, 4), " ")
-    long_ones = items.filter(F.size(flat("quote")) >= 7).withColumn("key", key)
-    short_ones = items.filter(F.size(flat("quote")) < 7)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 4), " "))
-    keys = T.bound(flat("text"), runs)
-    wanted = long_ones.select("key").distinct()
-    found = (
-        docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(wanted, "key", "left_semi")
-        .join(long_ones.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-        .join(docs, "doc_id").join(items, "item_id").filter(F.instr("text", F.col("quote")) > 0).select("item_id", "doc_id")
+    flat = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    words = flat("quote")
+    keyed = items.filter(F.size(words) >= 3).select("item_id", F.slice(words, F.lit(2), F.least(F.size(words) - 2, F.lit(KEY_WORDS))).alias("inner")).select(
+        "item_id", F.size("inner").alias("n"), F.array_join("inner", " ").alias("key")
     )
-    few = docs.join(short_ones, F.expr("instr(text, quote) > 0")).select("item_id", "doc_id")
-    return found.unionByName(few)
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # 1 to 4
+    found = spark.createDataFrame([], "item_id long, doc_id long")
+    if lengths:
+        def runs_of(w, n: int):
+            own = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+            return F.when(F.size(w) >= n, own).otherwise(F.array().cast("array<string>"))
+
+        runs = lambda w: F.flatten(F.array(*[runs_of(w, n) for n in lengths]))
+        found = (
+            docs.select("doc_id", F.explode(F.array_distinct(T.bound(flat("text"), runs))).alias("key")).join(keyed.select("key").distinct(), "key", "left_semi")
+            .join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+            .join(docs, "doc_id").join(items, "item_id").filter(F.instr("text", F.col("quote")) > 0).select("item_id", "doc_id")
+        )
+    tiny = items.filter(F.size(words) < 3)
+    n_tiny = tiny.limit(MAX_TINY + 1).count()
+    if n_tiny > MAX_TINY:
+        starts = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(3))))).alias("start"))
+        long = tiny.filter(F.length("quote") >= 3).withColumn("start", F.left("quote", F.lit(3)))
+        near = starts.join(long.select("item_id", "start"), "start").select("doc_id", "item_id").join(docs, "doc_id").join(items, "item_id")
+        found = found.unionByName(near.filter(F.instr("text", F.col("quote")) > 0).select("item_id", "doc_id"))
+        tiny = tiny.filter(F.length("quote") < 3)
+    if n_tiny:
+        found = found.unionByName(docs.join(F.broadcast(tiny), F.expr("instr(text, quote) > 0")).select("item_id", "doc_id"))
+    return found
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0 WHERE length(b.text) > 0")
@@ -157,10 +177,14 @@ SELECT doc_id, count(*) AS denied FROM g JOIN d USING (gram) GROUP BY doc_id
 def ngram_denied(spark, sf):
     """Documents against a denylist of hashed five-word runs."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    hashes = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.sha2(F.array_join(F.slice(w, i, F.lit(5)), " "), 256)))
-    runs = lambda df, key: df.filter(F.size(words) >= 5).select(key, F.explode(T.bound(words, hashes)).alias("sha256"))
-    denylist = runs(table(spark, sf, "benchmark"), "item_id").select("sha256").distinct()
-    return runs(table(spark, sf, "documents"), "doc_id").join(denylist, "sha256", "left_semi").groupBy("doc_id").agg(F.count("*").alias("denied"))
+    every = lambda w, of: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: of(F.array_join(F.slice(w, i, F.lit(5)), " "))))
+    runs = lambda df, key, of: df.filter(F.size(words) >= 5).select(key, F.explode(T.bound(words, lambda w: every(w, of))).alias("hash"))
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    # Short hashes tell which documents may hold a run; only those are hashed in full.
+    near = runs(docs, "doc_id", F.xxhash64).join(runs(items, "item_id", F.xxhash64).select("hash").distinct(), "hash", "left_semi").select("doc_id").distinct()
+    sha = lambda run: F.sha2(run, 256)
+    found = runs(docs.join(near, "doc_id", "left_semi"), "doc_id", sha).join(runs(items, "item_id", sha).select("hash").distinct(), "hash", "left_semi")
+    return found.groupBy("doc_id").agg(F.count("*").alias("denied"))
 
 
 @query(r"""

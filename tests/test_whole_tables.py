@@ -47,3 +47,14 @@ def test_sequences_with_invented_gaps(spark, tmp_path):
 def test_every_query_reads_a_table():
     for name, f in catalogue.QUERIES.items():
         assert "sf" in inspect.getsource(f).split(":\n", 1)[1], name
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_passages_of_any_length_in_documents(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(catalogue, "MAX_TINY", most)
+    texts = [(1, "the quick brown fox jumps over the lazy dog"), (2, "quick\n brown"), (3, "xthe quick brownx"), (4, ""), (5, None), (6, "日本 語 the q")]
+    quotes = ["quick", "k", "the quick", "the quick brown", "e quick b", "quick\n brown", "jumps over the lazy", "he quick brown fox jumps over the lazy d", "日本", "日", "not there at all", "", None]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.item_id, r.doc_id) for r in catalogue.hits(spark, str(tmp_path)).collect())
+    assert got == sorted((k, i) for k, q in enumerate(quotes) if q for i, t in texts if t and q in t)
