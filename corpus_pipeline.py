@@ -10,15 +10,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm.common import cut, release, temporary
+from marginalia.llm.common import cut, release, small_batches, temporary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-labelling classifier rejects go."""
+    """Documents that the line-labelling classifier rejects go.
+
+    The result is written here, in small Arrow batches: whole rows pass through Python.
+    """
     from marginalia.llm import quality
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.keep_good(docs, quality.fit(docs, labels))
+    with small_batches(spark):
+        model = quality.fit(docs, labels)
+    return cut(quality.keep_good(docs, model), "good")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
