@@ -84,9 +84,9 @@ def quoted_passages(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query(_STATUS + "SELECT item_id, ord, status FROM st")
 def quote_support_full(spark, sf):
-    """Status of every quotation, through the positional index whatever the scope's size."""
+    """Status of every quotation: cited pages as they are, the whole scope through the positional index."""
     asked, pages = quoted_passages(spark, sf)
-    return quotations.status(asked, pages, direct=0).select(F.col("note").cast("long").alias("item_id"), "ord", "status")
+    return quotations.status(asked, pages).select(F.col("note").cast("long").alias("item_id"), "ord", "status")
 
 
 @query(_STATUS + """
