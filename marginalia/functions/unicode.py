@@ -50,7 +50,29 @@ def latin_parts(parts: list[str]) -> list[str] | None:
     return [k for k, _ in keys] if all(kept >= RETENTION and len(k) >= SHORTEST_KEY for k, kept in keys) else None
 
 
+#: Characters of Latin-1 that compatibility forms may change, but for accented letters.
+_ODD = re.compile(rb"[\x80-\xbf]")
+
+
+def latin_1(text: str) -> bytes | None:
+    """A byte per character, where compatibility forms change none but accented letters."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if _ODD.search(raw) else raw
+
+
+#: By byte: the letter or digit of a token, or a space.
+_IN_TOKENS = bytes(
+    ord(b) if (b := unicodedata.normalize("NFKD", chr(c))[0].lower()).isascii() and b.isalnum() else 32 for c in range(256)
+)
+
+
 def plain_tokens(text: str) -> list[str]:
+    raw = latin_1(text)
+    if raw is not None:
+        return raw.translate(_IN_TOKENS).decode("ascii").split()
     bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return re.sub(r"[^a-z0-9]+", " ", bare.lower()).split()
 

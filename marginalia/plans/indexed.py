@@ -187,6 +187,8 @@ def repair_rounds(spark, sf):
 
 # Denied phrases --------------------------------------------------------------------------
 
+#: Ids that are sent to every task, so that no text is shuffled; more are joined by shuffle.
+SENT_IDS = 1_000_000
 _WORDS = "string_split(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')), ' ')"
 
 
@@ -199,10 +201,9 @@ def rejected_phrases(spark, sf):
     """Documents that hold twelve words in a row of a document that the labels reject."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     rejected = table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").alias("path")).distinct()
-    n = leakscan.LONGEST
-    words = docs.join(rejected, "path", "left_semi").select(leakscan.tokens(F.col("text")).alias("w")).filter(F.size("w") >= n)
-    runs = T.bound(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
-    found = leakscan.denied_phrases(docs.join(rejected, "path", "left_anti"), words.select(F.explode(runs).alias("phrase")).distinct())
+    if rejected.limit(SENT_IDS + 1).count() <= SENT_IDS:
+        rejected = F.broadcast(rejected)
+    found = leakscan.denied_phrases(docs.join(rejected, "path", "left_anti"), leakscan.word_runs(docs.join(rejected, "path", "left_semi")))
     return found.filter("place = 'text'").groupBy("path").agg(F.count("*").alias("phrases"))
 
 

@@ -195,3 +195,22 @@ def test_a_million_denied_hashes_meet_few_runs(spark):
     held = leakscan.hash_bitmap(deny.select(F.conv(F.left("sha256", F.lit(16)), 16, -10).cast("long").alias("h")), 1_000_000)
     rng = np.random.default_rng(1)
     assert held.holds(rng.integers(-(2**63), 2**63 - 1, 100_000)).mean() < 0.07 and held.bits.nbytes <= 8 << 20
+
+
+def test_more_phrases_than_the_bitmap_tells_apart(spark, monkeypatch):
+    """Hashes meet the phrases first; of runs only those of the phrases' lengths, and only what some phrase says, leave a task."""
+    monkeypatch.setattr(leakscan, "HITS_AT_ONCE", 7)
+    texts = [(k, " ".join(f"w{(k // 5 * i) % 997}" for i in range(k // 5 % 90))) for k in range(600)] + [(600, None)]
+    frame = spark.createDataFrame(texts, "path long, text string").repartition(3)
+    phrases = leakscan.word_runs(frame.filter("path % 10 = 0"), 12)
+    said = [" ".join(w[i : i + 12]) for k, t in texts if k % 10 == 0 for w in [(t or "").split()] for i in range(len(w) - 11)]
+    assert sorted({r.phrase for r in phrases.collect()}) == sorted(set(said))
+    more = spark.range(9_000).select(F.concat_ws(" ", *[F.concat(F.lit(f"v{i}x"), F.col("id")) for i in range(12)]).alias("phrase"))
+    rest = frame.filter("path % 10 <> 0")
+    want = {(k, "text", p) for k, t in texts if k % 10 for p in runs_of(t) & set(said)}
+    sent = []
+    kept = leakscan._sent
+    monkeypatch.setattr(leakscan, "_sent", lambda wanted, n, most: sent.append(n) or kept(wanted, n, most))
+    got = leakscan.denied_phrases(rest, phrases.unionByName(more), most=1 << 16).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
+    assert sent == [9_000 + len(set(said)), len({p for _, _, p in want})]
