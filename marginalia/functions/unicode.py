@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from marginalia.functions import text as T
+
 #: Share of letters that must be ASCII, and shortest comparable key.
 RETENTION, SHORTEST_KEY = 0.80, 25
 _FOLDED = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"'} | {chr(c): "-" for c in range(0x2010, 0x2016)})
@@ -82,6 +84,9 @@ _ACCENTED = [c for c in _LATIN_1 if unicodedata.normalize("NFKD", c)[0].isascii(
 _BASES = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
 _OTHER_LETTERS = "".join(c for c in _LATIN_1 if c not in _ACCENTED)
 #: Texts that need no Python: printing ASCII, usual white space, letters of Latin-1.
+_PLAIN_CHARS = "\t\n\r" + "".join(map(chr, range(32, 127))) + "".join(_LATIN_1)
+#: What a plain character is in a Latin key; the others are left out of it.
+_IN_KEY = {c: b for c in _PLAIN_CHARS if (b := unicodedata.normalize("NFKD", c)[0].lower()).isascii() and b.isalnum()}
 PLAIN = r"\A[\t\n\r -~" + "".join(_LATIN_1) + r"]*\z"
 
 
@@ -102,7 +107,8 @@ def _normalise(texts: pd.Series) -> pd.Series:
 
 def normalise(text: Column) -> Column:
     """The form in which quotation and source are compared."""
-    return _plain_or(text, F.trim(F.regexp_replace(F.lower(text), r"[\t\n\r ]+", " ")), _normalise)
+    spaces = r"(?: [\t\n\r ]|[\t\n\r])[\t\n\r ]*"  # a single space stays as it is
+    return _plain_or(text, F.trim(F.regexp_replace(F.lower(text), spaces, " ")), _normalise)
 
 
 @F.pandas_udf(S.StringType())
@@ -121,10 +127,14 @@ def _latin_key(texts: pd.Series) -> pd.DataFrame:
 
 def latin_key(text: Column) -> Column:
     """key and retention; a null text counts as empty."""
-    key = F.lower(F.regexp_replace(_bare(text), "[^A-Za-z0-9]+", ""))
-    letters = F.length(key) + F.length(F.regexp_replace(text, f"[^{_OTHER_LETTERS}]+", ""))
-    retention = F.when(letters > 0, F.length(key) / letters).otherwise(0.0)
-    return _plain_or(text, F.struct(key.alias("key"), retention.alias("retention")), _latin_key)
+    key = F.translate(text, "".join(_IN_KEY) + "".join(c for c in _PLAIN_CHARS if c not in _IN_KEY), "".join(_IN_KEY.values()))
+    others = F.length(text) - F.length(F.translate(text, _OTHER_LETTERS, ""))
+
+    def both(p: Column) -> Column:
+        kept = F.length(p["key"])
+        return F.struct(p["key"].alias("key"), F.when(kept + p["others"] > 0, kept / (kept + p["others"])).otherwise(0.0).alias("retention"))
+
+    return _plain_or(text, T.bound(F.struct(key.alias("key"), others.alias("others")), both), _latin_key)
 
 
 @F.pandas_udf(S.StructType([

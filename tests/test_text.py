@@ -126,3 +126,14 @@ def test_plain_texts_need_no_python(spark):
     assert (rows[-1].n, rows[-1].c, rows[-1].w, tuple(rows[-1].l)) == (None, None, [], ("", 0.0))
     plain = frame.filter(t.rlike(U.PLAIN)).count()
     assert 200 < plain < len(texts) and not unicodedata.normalize("NFKC", "½").isalpha()
+
+
+def test_a_latin_key_is_made_once(spark):
+    """A text's key is one translation, whatever is asked of it, and every plain character is in it as Python says."""
+    texts = [c + "é X" for c in U._PLAIN_CHARS] + [" a  b\t\tc\n d \r\n", "", "  ", None, "a b", "\ta"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    asked = frame.select(F.round(U.latin_key(F.col("t"))["retention"], 6).alias("r"))
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2 and "regexp_replace" not in plan
+    for r in frame.select("t", U.latin_key(F.col("t")).alias("l"), U.normalise(F.col("t")).alias("n")).collect():
+        assert tuple(r.l) == U.latin(r.t or "") and r.n == (None if r.t is None else U.normalised(r.t)), r.t
