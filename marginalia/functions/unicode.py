@@ -40,12 +40,25 @@ def latin(text: str) -> tuple[str, float]:
 
 def comparable(text: str) -> tuple[str, str, int, int]:
     """A source text without white space, its Latin key, and the letters that the key keeps and all of them."""
+    raw = latin_1(text)
+    if raw is not None:
+        key = raw.translate(_KEYS, _NOT_KEYS).decode("ascii")
+        return raw.translate(_LOWER, _SPACES).decode("latin-1"), key, len(key), len(raw.translate(None, _NOT_LETTERS))
     normal = normalised(text)
     letters = [c for c in unicodedata.normalize("NFKD", normal) if c.isalnum()]
     key = "".join(c for c in letters if c.isascii()).lower()
     return normal.replace(" ", ""), key, len(key), sum(not unicodedata.combining(c) for c in letters)
 
 
+#: By byte of Latin-1: in lower case, its letter of a Latin key; and those that no form, no key or no count of letters has.
+_BASE_OF = [unicodedata.normalize("NFKD", chr(c))[0].lower() for c in range(256)]
+_LOWER = bytes(ord(low) if (low := chr(c).lower()) < "\u0100" else c for c in range(256))
+_KEYS = bytes(ord(b) if b.isascii() else 32 for b in _BASE_OF)
+_SPACES = bytes(c for c in range(128) if chr(c).isspace())
+_NOT_KEYS = bytes(c for c, b in enumerate(_BASE_OF) if not (b.isascii() and b.isalnum()))
+_NOT_LETTERS = bytes(c for c, b in enumerate(_BASE_OF) if not b.isalnum())
+
+
 def latin_parts(parts: list[str]) -> list[str] | None:
     """The Latin keys of a quotation's parts, if all of them may be compared so."""
     keys = [latin(p) for p in parts]

@@ -88,15 +88,130 @@ def windows(pages: DataFrame, span: int = SPAN, reach: int = REACH) -> DataFrame
     """
     size = F.length("text").cast("long")
     placed = offsets(pages.filter("text <> ''").withColumn("size", size), ["scope"], "page", "size", "text")
+    in_order = F.array_sort(F.collect_list(F.struct("at", "piece")))  # span + reach characters at most
+    return _dealt(placed, span, reach).groupBy("scope", "number").agg(F.array_join(F.transform(in_order, lambda p: p["piece"]), "").alias("text"))
+
+
+def _dealt(placed: DataFrame, span: int, reach: int) -> DataFrame:
+    """scope, number, at, piece: texts (scope, start, size, text) cut into what each window has of them."""
     first = F.greatest(F.lit(0), F.floor((F.col("start") - reach) / span)).cast("long")
     last = F.floor((F.col("start") + F.col("size") - 1) / span).cast("long")
     low = F.greatest(F.col("start"), F.col("number") * span)
     high = F.least(F.col("start") + F.col("size"), (F.col("number") + 1) * span + reach)
-    pieces = placed.select("*", F.explode(F.sequence(first, last)).alias("number")).filter(low < high).select(
+    return placed.select("*", F.explode(F.sequence(first, last)).alias("number")).filter(low < high).select(
         "scope", "number", low.alias("at"), F.substring("text", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("piece")
     )
-    in_order = F.array_sort(F.collect_list(F.struct("at", "piece")))  # span + reach characters at most
-    return pieces.groupBy("scope", "number").agg(F.array_join(F.transform(in_order, lambda p: p["piece"]), "").alias("text"))
+
+
+def _starts(length: int, reach: int) -> list[int]:
+    """Where a passage's segments start: they follow one another, and the last one ends with the passage."""
+    return sorted({*range(0, max(1, length - reach), reach), max(0, length - reach)})
+
+
+def _doubled(points: np.ndarray, most: int = 32):
+    """(n, hashes of every run of n characters) for n = 1, 2, 4, ... ``most``."""
+    run, n, power = points + np.uint64(1), 1, int(_BASE)
+    while True:
+        mixed = (run ^ (run >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield n, mixed ^ (mixed >> np.uint64(29))
+        if 2 * n > min(most, points.size):
+            return
+        run, n, power = run[:-n] * np.uint64(power) + run[n:], 2 * n, power * power % (1 << 64)
+
+
+class Segments:
+    """Segments of one scope's passages, found in a text by hashes of their first characters."""
+
+    def __init__(self, rows: list[tuple[str, int, int, str]]):
+        """rows: passage, its number of segments, where this one starts in it, segment."""
+        self.rows, by = rows, {}
+        for k, row in enumerate(rows):
+            n, hashes = list(_doubled(_points(row[3][:32])))[-1]
+            by.setdefault(n, {}).setdefault(int(hashes[0]), []).append(k)
+        self.known = {n: (np.sort(np.array(list(of), dtype=np.uint64)), of) for n, of in by.items()}
+        self.marks = {n: np.zeros(1 << 20, dtype=bool) for n in by}
+        for n, (keys, _) in self.known.items():
+            self.marks[n][keys >> np.uint64(44)] = True
+
+    def found(self, text: str):
+        """(row, place) of every segment in the text."""
+        if not text:
+            return
+        for n, hashes in _doubled(_points(text), max(self.known)):
+            if n in self.known:
+                keys, of = self.known[n]
+                at = np.flatnonzero(self.marks[n][hashes >> np.uint64(44)])
+                at = at[np.isin(hashes[at], keys)]
+                for place, h in zip(at.tolist(), hashes[at].tolist(), strict=True):
+                    for k in of[h]:
+                        if text.startswith(self.rows[k][3], place):
+                            yield self.rows[k], place
+
+
+def scanned(pages: DataFrame, passages: DataFrame, reach: int = REACH, span: int = SPAN) -> DataFrame:
+    """scope, passage, pos of every occurrence, as an index gives it, without one: for passages that all tasks can hold.
+
+    pages: scope, page, text; passages: scope, passage. Texts are read where they are and are
+    not shuffled. What crosses the end of a page is found in the pages' first and last
+    characters, as many as the longest segment has, put together in windows. Pages of one
+    number are in the order of those first characters, then of a hash.
+    """
+    spark = pages.sparkSession
+    own: dict[str, list] = {}
+    for scope, passage in passages.select("scope", "passage").filter("passage <> ''").distinct().collect():
+        starts = _starts(len(passage), reach)
+        own.setdefault(scope, []).extend((passage, len(starts), s, passage[s : s + reach]) for s in starts)
+    near = max((len(r[3]) for rows in own.values() for r in rows), default=1)
+    sent = spark.sparkContext.broadcast({scope: Segments(rows) for scope, rows in own.items()})
+    names = ["passage", "segments", "from", "at"]
+
+    def batch_of(rows: list, keys: list[str]):
+        import pyarrow as pa
+
+        kinds = {"scope": pa.string(), "page": pa.int64(), "tie": pa.int64(), "passage": pa.string(), "segments": pa.int32(), "from": pa.int32(), "at": pa.int64()}
+        columns = list(zip(*rows, strict=True)) or [[]] * (len(keys) + 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(columns, keys + names, strict=True)], names=keys + names)
+
+    def in_pages(batches):
+        for batch in batches:
+            for scope, page, tie, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if scope in sent.value and (rows := [(scope, page, tie, *row[:3], at) for row, at in sent.value[scope].found(text)]):
+                    yield batch_of(rows, ["scope", "page", "tie"])
+
+    def in_seams(batches):
+        for batch in batches:
+            for scope, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                joined: list[list] = []  # where a run of successive pieces starts, where it ends, and the pieces
+                for p in pieces:
+                    if joined and joined[-1][1] == p["at"]:
+                        joined[-1][1] += len(p["piece"])
+                        joined[-1][2].append(p["piece"])
+                    else:
+                        joined.append([p["at"], p["at"] + len(p["piece"]), [p["piece"]]])
+                for start, _, parts in joined:
+                    if len(parts) > 1 and (rows := [(scope, *row[:3], start + at) for row, at in sent.value[scope].found("".join(parts))]):
+                        yield batch_of(rows, ["scope"])
+
+    size, whole = F.length("text").cast("long"), F.length("text") <= 2 * near
+    of = pages.filter(F.col("text") != "").select("scope", F.col("page").cast("long").alias("page"), F.xxhash64("text").alias("tie"), "text")
+    with temporary() as keep:
+        edges = of.filter(F.col("scope").isin(*own)).select(
+            "scope", "page", "tie", size.alias("size"),
+            F.when(whole, F.col("text")).otherwise(F.left("text", F.lit(near))).alias("head"), F.when(whole, "").otherwise(F.right("text", F.lit(near))).alias("tail"),
+        )
+        placed = cut(offsets(edges, ["scope"], "page", "size", "head", "tie"), "edges")
+        ends = F.explode(F.array(
+            F.struct("start", F.col("head").alias("text")), F.struct((F.col("start") + F.col("size") - F.length("tail")).alias("start"), F.col("tail").alias("text"))
+        )).alias("e")
+        pieces = placed.select("scope", ends).select("scope", "e.start", "e.text", F.length("e.text").alias("size")).filter("size > 0")
+        windowed = _dealt(pieces, span, near).groupBy("scope", "number").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
+        kinds = "passage string, segments int, `from` int, at long"
+        seams = windowed.filter(F.size("pieces") > 1).select("scope", "pieces").mapInArrow(in_seams, f"scope string, {kinds}")
+        inside = cut(of.mapInArrow(in_pages, f"scope string, page long, tie long, {kinds}"), "inside")
+        inside = inside.join(placed.select("scope", "page", "tie", "start"), ["scope", "page", "tie"]).withColumn("at", F.col("start") + F.col("at"))
+        every = inside.select("scope", *names).unionByName(seams).withColumn("pos", F.col("at") - F.col("from")).drop("at").distinct()
+        found = every.groupBy("scope", "passage", "segments", "pos").agg(F.count("*").alias("n")).filter("n = segments").select("scope", "passage", "pos")
+        return keep(cut(found, "scanned"))
 
 
 class PassageIndex:
@@ -185,12 +300,11 @@ class PassageIndex:
             for batch in batches:
                 rows = []
                 for scope, passage in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    # Segments follow one another; the last one ends with the passage.
-                    starts = [*range(0, max(1, len(passage) - reach), reach), max(0, len(passage) - reach)]
-                    for start in sorted(set(starts)):
+                    starts = _starts(len(passage), reach)
+                    for start in starts:
                         segment = passage[start : start + reach]
                         grams, places = winnowed(_points(segment))
-                        rows += [(scope, passage, len(set(starts)), start, segment, int(g), int(p)) for g, p in zip(grams, places, strict=True)]
+                        rows += [(scope, passage, len(starts), start, segment, int(g), int(p)) for g, p in zip(grams, places, strict=True)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 7
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32()]
                 names = ["scope", "passage", "segments", "start", "segment", "gram", "place"]
@@ -251,23 +365,28 @@ class PassageIndex:
 
     def in_order(self, lists: DataFrame) -> DataFrame:
         """The distinct (scope, parts) whose parts occur in the scope, each after the end of the one before."""
-        with temporary() as keep:
-            lists = cut(lists.select("scope", "parts").filter(F.size("parts") > 0).distinct(), "lists")
-            found = cut(self.occurrences(lists.select("scope", F.explode("parts").alias("passage"))), "occurrences")
-            first = found.groupBy("scope", "passage").agg(F.min("pos").alias("pos"))
-            most = lists.agg(F.max(F.size("parts"))).first()[0] or 0
-            done = None
-            state = lists.withColumn("end", F.lit(0).cast("long"))
-            for k in range(1, most + 1):
-                own = state.withColumn("passage", F.element_at("parts", F.lit(k)))
-                if k == 1:  # the first place of a passage is one row, however often it occurs
-                    met = own.join(first, ["scope", "passage"]).select("scope", "parts", (F.col("pos") + F.length("passage")).alias("end"))
-                else:
-                    met = own.join(found, ["scope", "passage"]).filter("pos >= end").groupBy("scope", "parts", "passage").agg(
-                        F.min("pos").alias("pos")
-                    ).select("scope", "parts", (F.col("pos") + F.length("passage")).alias("end"))
-                met = cut(met, "step")
-                ready = met.filter(F.size("parts") == k).select("scope", "parts")
-                done = ready if done is None else done.unionByName(ready)
-                state = met.filter(F.size("parts") > k)
-            return keep(cut(done if done is not None else lists.select("scope", "parts"), "found"))
+        return in_order(lists, self.occurrences)
+
+
+def in_order(lists: DataFrame, occurrences) -> DataFrame:
+    """The distinct (scope, parts) whose parts occur in the scope in order, by ``occurrences`` of passages."""
+    with temporary() as keep:
+        lists = cut(lists.select("scope", "parts").filter(F.size("parts") > 0).distinct(), "lists")
+        found = cut(occurrences(lists.select("scope", F.explode("parts").alias("passage"))), "occurrences")
+        first = found.groupBy("scope", "passage").agg(F.min("pos").alias("pos"))
+        most = lists.agg(F.max(F.size("parts"))).first()[0] or 0
+        done = None
+        state = lists.withColumn("end", F.lit(0).cast("long"))
+        for k in range(1, most + 1):
+            own = state.withColumn("passage", F.element_at("parts", F.lit(k)))
+            if k == 1:  # the first place of a passage is one row, however often it occurs
+                met = own.join(first, ["scope", "passage"]).select("scope", "parts", (F.col("pos") + F.length("passage")).alias("end"))
+            else:
+                met = own.join(found, ["scope", "passage"]).filter("pos >= end").groupBy("scope", "parts", "passage").agg(
+                    F.min("pos").alias("pos")
+                ).select("scope", "parts", (F.col("pos") + F.length("passage")).alias("end"))
+            met = cut(met, "step")
+            ready = met.filter(F.size("parts") == k).select("scope", "parts")
+            done = ready if done is None else done.unionByName(ready)
+            state = met.filter(F.size("parts") > k)
+        return keep(cut(done if done is not None else lists.select("scope", "parts"), "found"))

@@ -9,7 +9,7 @@ from marginalia.functions import text as T
 from marginalia.functions.unicode import RETENTION, comparable_forms, comparable_parts, normalise
 from marginalia.operators import linkgraph as G
 from marginalia.operators.lint import PAGE_LINK
-from marginalia.operators.passages import PassageIndex
+from marginalia.operators.passages import PassageIndex, in_order, scanned
 from marginalia.scratch import cut, scratch_path, temporary
 
 # Shortest quotation and fragment, length of a report's quote, edge marks.
@@ -19,6 +19,8 @@ SKIPPED_PARTS = ("_schema", ".obsidian", "reports", "audit")
 TABLE_ROW = r"(?m)^\s*\|.*\|\s*$"
 #: Characters of a scope that is searched as one text; larger ones are indexed.
 DIRECT = 1 << 20
+#: Characters of passages that are sent to where the texts are; for more of them the texts are indexed.
+SENT = 1 << 24
 FIRST_BLOCK = r"(?ms)^---.*?^---\s*"
 
 
@@ -110,7 +112,8 @@ def supported(asked: DataFrame, pages: DataFrame, direct: int = DIRECT) -> DataF
 
     asked: scope, needle, tight, latin. pages: scope, page, tight, latin, kept, letters.
     Scopes of up to ``direct`` characters are searched as one text each; larger ones
-    through a positional index, which holds no scope in a row or a task. The Latin form is
+    passage by passage where the pages are, or, if there are very many passages, through a
+    positional index; neither holds a scope in a row or a task. The Latin form is
     tried where the other one fails and the scope is Latin for the most part.
     """
     sizes = pages.groupBy("scope").agg(
@@ -121,7 +124,8 @@ def supported(asked: DataFrame, pages: DataFrame, direct: int = DIRECT) -> DataF
         small = sizes.filter(F.col("size") <= direct)
         joined = lambda form: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", form))), lambda p: p[form]), "").alias(form)
         texts = pages.join(small, "scope").groupBy("scope", "mostly").agg(joined("tight"), joined("latin"))
-        if small.limit(2).count() == 1:
+        n = small.limit(2).count()
+        if n == 1:
             texts = F.broadcast(texts)  # one row of ``direct`` characters at most
         near = asked.alias("q").join(texts.alias("t"), "scope").filter(
             ordered_in(F.col("t.tight"), F.col("q.tight"))
@@ -133,18 +137,24 @@ def supported(asked: DataFrame, pages: DataFrame, direct: int = DIRECT) -> DataF
         wide = asked.join(large, "scope")
         first = _through_index(wide, pages.join(large, "scope", "left_semi"), "tight")
         left = cut(wide.filter("mostly AND latin IS NOT NULL").join(first, ["scope", "needle"], "left_anti"), "left")
-        found = near.unionByName(first)
+        found = near.unionByName(first) if n else first
         if not left.isEmpty():
             found = found.unionByName(_through_index(left, pages.join(large.filter("mostly"), "scope", "left_semi"), "latin"))
         return keep(cut(found.distinct(), "found"))
 
 
 def _through_index(asked: DataFrame, pages: DataFrame, form: str) -> DataFrame:
-    spark = asked.sparkSession
-    index = PassageIndex(spark, scratch_path(spark, "passages")).build(pages.select("scope", "page", F.col(form).alias("text")))
-    found = index.in_order(asked.select("scope", F.col(form).alias("parts")))
+    spark, texts = asked.sparkSession, pages.select("scope", "page", F.col(form).alias("text"))
+    lists, index = asked.select("scope", F.col(form).alias("parts")), None
+    size = lists.distinct().select(F.explode("parts").alias("p")).agg(F.sum(F.length("p"))).first()[0] or 0
+    if size <= SENT:
+        found = in_order(lists, lambda passages: scanned(texts, passages))
+    else:
+        index = PassageIndex(spark, scratch_path(spark, "passages")).build(texts)
+        found = index.in_order(lists)
     out = cut(asked.join(found.withColumnRenamed("parts", form), ["scope", form], "left_semi").select("scope", "needle"), "through")
-    index.drop()
+    if index:
+        index.drop()
     return out
 
 
@@ -156,11 +166,12 @@ def status(asked: DataFrame, pages: DataFrame, direct: int = DIRECT) -> DataFram
     computed again, after a lost executor, come out the same.
     """
     with temporary() as keep:
-        forms = cut(comparable_pages(pages), "pages")
+        forms = comparable_pages(pages)  # not written: it is made again wherever it is read, texts stay where they are
         rows = cut(sought(asked), "asked")
         named = rows.withColumn("scope", F.col("note"))
         cites = rows.select(F.col("note").alias("scope"), F.explode("pages").alias("page")).distinct()
-        cited = supported(named, forms.join(cites, "page"), direct).select(F.col("scope").alias("note"), "needle")
+        of = cut(comparable_pages(pages.join(cites.select("page").distinct(), "page", "left_semi")), "cited")
+        cited = supported(named, of.join(cites, "page"), direct).select(F.col("scope").alias("note"), "needle")
         rest = rows.join(cited, ["note", "needle"], "left_anti").withColumn("scope", F.lit(""))
         anywhere = supported(rest, forms.withColumn("scope", F.lit("")), direct).select("needle", F.lit("elsewhere").alias("status"))
         named_all = rows.join(cited.withColumn("found", F.lit(True)), ["note", "needle"], "left").join(anywhere, "needle", "left")

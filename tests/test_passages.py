@@ -63,6 +63,33 @@ def test_windows_and_occurrences(spark, tmp_path, monkeypatch, span, reach, bloc
     index.drop()
 
 
+@pytest.mark.parametrize(("span", "reach", "block"), [(50, 16, 3), (4096, 1024, 5)])
+def test_a_scan_finds_what_an_index_finds(spark, monkeypatch, span, reach, block):
+    """Passages within pages, across their ends, over whole pages and in segments, without shuffling a text."""
+    monkeypatch.setattr(P, "BLOCK", block)
+    rows = pages_of(1, 40)
+    text = {s: "".join(t for scope, _, t in rows if scope == s) for s in ("s0", "s1")}
+    rng = random.Random(2)
+    asked = set()
+    for s in text:
+        for n in (1, 2, 4, 7, 16, 17, 31, 32, 33, 41, 90, 200, 500):
+            at = rng.randrange(len(text[s]) - n)
+            asked |= {(s, text[s][at : at + n]), (s, text["s0"][at : at + n]), (s, text[s][at : at + n - 1] + "x")}
+    pages = spark.createDataFrame([*rows, ("other", 1, text["s0"])], "scope string, page long, text string").repartition(3)
+    got = {}
+    for r in P.scanned(pages, spark.createDataFrame(sorted(asked), "scope string, passage string"), reach, span).collect():
+        got.setdefault((r.scope, r.passage), []).append(r.pos)
+    want = {(s, p): find_all(text[s], p) for s, p in asked}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("text", ["", "Crème brûlée × 3\t\x1fÆß ÷ Ÿ", "Ab, c-D 9\n\x0b_ÿÞ"])
+def test_bytes_of_latin_1_have_the_same_forms(monkeypatch, text):
+    fast = U.comparable(text), U.plain_tokens(text)
+    monkeypatch.setattr(U, "latin_1", lambda text: None)
+    assert fast == (U.comparable(text), U.plain_tokens(text))
+
+
 def test_lists_in_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(P, "SHORT_AT_ONCE", 5)
     rows = pages_of(3, 30, "ab字")
@@ -133,6 +160,14 @@ def brute_status(asked, pages):
     return out
 
 
+def test_few_quotations_need_no_index(spark, monkeypatch):
+    """Quotations are brought to the pages; postings of all pages are not written."""
+    monkeypatch.setattr(P.PassageIndex, "build", None)
+    pages = spark.createDataFrame([(1, "The harbour lay quiet"), (2, "under the tide.")], "page int, text string")
+    asked = spark.createDataFrame([("n", 0, "q", "quiet under", [7]), ("n", 1, "r", "quiet tide", [7])], "note string, ord int, quote string, needle string, pages array<int>")
+    assert {(r.quote, r.status) for r in Q.status(asked, pages, 0).collect()} == {("q", "elsewhere"), ("r", "unsupported")}
+
+
 @pytest.mark.parametrize("direct", [0, 300, 1 << 20])
 def test_status_is_the_same_through_the_index(spark, direct):
     rng = random.Random(6)
